@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,6 +54,12 @@ def remove(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Has the driver drop what it no longer refers to, so that finished steps' shuffle files leave the executors' disks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def utf8(column: pa.Array) -> Iterator[bytes]:
     """The values of a string column as bytes; a null is empty."""
     if not len(column):

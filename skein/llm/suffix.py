@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import POWERS, mix, signed, utf8, written
+from .common import POWERS, mix, remove, signed, tidy, utf8, written
 
 LENGTH, PART, RUN = 100, 24, 16
 #: Distinct pieces of one m in a collection, and bytes of a collection, at most (about).
@@ -96,7 +96,8 @@ class Columns:
     """The transform (bwt) and common prefixes (lcp) of a growing collection, in sequential files."""
 
     def __init__(self, folder: str, strings: list[bytes]) -> None:
-        self.folder = Path(folder)
+        # the two files stay open and are written over: making a file anew each round would wait for the disk
+        self.files = [open(Path(folder) / name, "w+b", buffering=0) for name in ("bwt", "lcp")]
         order = sorted(range(len(strings)), key=lambda i: -len(strings[i]))
         self.names = np.array(order, np.int32)
         self.sizes = np.array([len(strings[i]) for i in order])
@@ -106,11 +107,18 @@ class Columns:
         self.put(np.zeros(len(order), np.uint8), np.zeros(len(order), np.uint8))
 
     def put(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
-        bwt.tofile(self.folder / "bwt")
-        lcp.tofile(self.folder / "lcp")
+        for f, values in zip(self.files, (bwt, lcp)):
+            f.seek(0)
+            f.write(values)
 
-    def get(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.fromfile(self.folder / "bwt", np.uint8), np.fromfile(self.folder / "lcp", np.uint8)
+    def get(self) -> list[np.ndarray]:
+        for f in self.files:
+            f.seek(0)
+        return [np.fromfile(f, np.uint8) for f in self.files]
+
+    def close(self) -> None:
+        for f in self.files:
+            f.close()
 
     def insert(self, j: int) -> None:
         """Round j: the suffixes of length j + 1 of all strings longer than j."""
@@ -173,6 +181,7 @@ def repeats(strings: list[bytes], order: np.ndarray, length: int = LENGTH) -> tu
         columns = Columns(folder, strings)
         columns.build()
         (_, lcp), (sid, off) = columns.get(), columns.suffixes()
+        columns.close()
     joined = lcp >= length
     group = np.cumsum(~joined)
     size = np.bincount(group)
@@ -271,22 +280,31 @@ def intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = _all_pieces(docs, length)
     often = found.groupBy("m").count().filter("count > 1").select("m")
     twice = written(found.join(often, "m"), "suffix-pieces")
+    del found, often
+    tidy(docs.sparkSession)
     first = written(twice.groupBy("m", "ph").agg(F.min(F.struct("doc", "th", "start", "size")).alias("f")), "suffix-first")
+    tidy(docs.sparkSession)
     mixed = first.groupBy("m").count().filter("count > 1")
     want = first.join(mixed, "m").select("f.doc", "f.th", F.struct("f.start", "f.size", (F.col("count") > HOT).alias("hot")).alias("w"))
     want = want.groupBy("doc", "th").agg(F.collect_list("w").alias("want")).withColumnsRenamed({"doc": "doc_", "th": "th_"})
     here = F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("th") == F.col("th_"))
     texts = docs.join(want, here).select("doc", "th", "text", "want")
-    again = _found(_wanted(texts, length), length)
+    again = written(_found(_wanted(texts, length), length), "suffix-repeats")
+    del texts, want
+    tidy(docs.sparkSession)
     later = twice.join(first, ["m", "ph"]).filter(F.struct("doc", "th", "start") != F.struct("f.doc", "f.th", "f.start"))
     later = later.select("doc", "th", F.col("start").alias("a"), (F.col("start") + F.col("size").bitwiseAND(255) + (length - 1)).alias("b"))
-    return again.unionByName(later).groupBy("doc", "th").agg(F.collect_list(F.struct("a", "b")).alias("cut"))
+    cut = again.unionByName(later).groupBy("doc", "th").agg(F.collect_list(F.struct("a", "b")).alias("cut"))
+    cut = written(cut, "suffix-cut")
+    remove(docs.sparkSession, twice, first)
+    tidy(docs.sparkSession)
+    return cut
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """id, n_bytes, n_removed, n_spans (maximal removed runs), spans (their starts and ends), kept (binary)."""
     named = docs.select(F.col(id_col).cast("long").alias("doc"), F.hash(text_col).alias("th"), F.col(text_col).alias("text"))
-    cut = written(intervals(named, length), "suffix-cut").withColumnsRenamed({"doc": "doc_", "th": "th_"})
+    cut = intervals(named, length).withColumnsRenamed({"doc": "doc_", "th": "th_"})
     both = named.join(cut, F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("th") == F.col("th_")), "left").select("doc", "text", "cut.a", "cut.b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
