@@ -278,13 +278,15 @@ def _found(strings: DataFrame, length: int) -> DataFrame:
 def intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc, th, cut (array of byte intervals that aren't merged) for documents (doc, th, text) that lose bytes."""
     found = _all_pieces(docs, length)
-    often = found.groupBy("m").count().filter("count > 1").select("m")
+    often = written(found.groupBy("m").count().filter("count > 1").select("m"), "suffix-often")
+    tidy(docs.sparkSession)
     twice = written(found.join(often, "m"), "suffix-pieces")
     del found, often
     tidy(docs.sparkSession)
     first = written(twice.groupBy("m", "ph").agg(F.min(F.struct("doc", "th", "start", "size")).alias("f")), "suffix-first")
     tidy(docs.sparkSession)
-    mixed = first.groupBy("m").count().filter("count > 1")
+    mixed = written(first.groupBy("m").count().filter("count > 1"), "suffix-mixed")
+    tidy(docs.sparkSession)
     want = first.join(mixed, "m").select("f.doc", "f.th", F.struct("f.start", "f.size", (F.col("count") > HOT).alias("hot")).alias("w"))
     want = want.groupBy("doc", "th").agg(F.collect_list("w").alias("want")).withColumnsRenamed({"doc": "doc_", "th": "th_"})
     here = F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("th") == F.col("th_"))
