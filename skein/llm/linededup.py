@@ -10,8 +10,8 @@ lines are judged on the input, not on what is left. Lines without words stay.
 2. Lines with equal sets are one class; all but the first line of a class go at once.
 3. A class goes to the tokens of its prefix, the |x| - ceil(percent * |x| / 100) + 1 rarest. Classes that meet at a token
    are compared there by length, position and a 96-bit parity map of their words (its differing bits are no more than
-   the words that differ), all of them exact bounds. Each class hands on its first possible partner; after
-   verification, classes without a match hand on all.
+   the words that differ), all of them exact bounds. Each class hands on up to 50 possible partners of
+   a token; classes that have more and no match among those hand on all.
 4. Tokens with very many classes are dealt out as pairs of blocks.
 5. Survivors are verified on the words of the lines themselves.
 
@@ -34,15 +34,18 @@ from .common import LOWER, mix, remove, signed, utf8, words, written
 SHARE = 16384
 #: Classes in a token's block, and the part of the classes that tells which tokens are larger.
 BLOCK, SAMPLE = 20_000, 64
-_SPAN = 256
+#: Possible partners of a class that a token hands on before any is verified.
+FEW = 50
+_SPAN = 1 << 16
 
 
-def _tokens(text: bytes, heavy: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Numbers of the lines that have words, and their distinct words as 64-bit codes in the order of rarity."""
+def _tokens(text: bytes, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the lines that have words, where each one's words begin, and all lines' distinct words as 64-bit codes
+    in the order of rarity."""
     text = text.translate(LOWER)
     starts, _, h = words(text)
     if not len(h):
-        return np.zeros(0, np.int64), []
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), h
     code = h >> np.uint64(1)
     if len(heavy):
         at = np.minimum(np.searchsorted(heavy["h"], h), len(heavy) - 1)
@@ -54,7 +57,7 @@ def _tokens(text: bytes, heavy: np.ndarray) -> tuple[np.ndarray, list[np.ndarray
     new[1:] = (code[1:] != code[:-1]) | (line[1:] != line[:-1])
     code, line = code[new], line[new]
     first = np.flatnonzero(np.diff(line, prepend=-1))
-    return line[first], np.split(code, first[1:])
+    return line[first], first, code
 
 
 def _heavy(docs: DataFrame) -> np.ndarray:
@@ -90,70 +93,85 @@ def _lines(docs: DataFrame, heavy: np.ndarray, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = shipped.value
         for batch in batches:
-            doc, th = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows: list[tuple] = []
+            held, count = [], 0
             for i, text in enumerate(utf8(batch.column(2))):
-                for line, s in zip(*_tokens(text, heavy)):
-                    n = len(s)
-                    bit = mix(s) % np.uint64(96)
-                    odd = np.flatnonzero(np.bincount(bit.astype(np.int64), minlength=96) & 1).tolist()
-                    low = sum(1 << b for b in odd if b < 63), sum(1 << (b - 63) for b in odd if b >= 63)
-                    rows.append((doc[i], th[i], line, xxhash.xxh3_128_digest(s.tobytes()), n, low, signed(s[: n + (-percent * n // 100) + 1])))
-                if len(rows) > 20_000:
-                    yield pack(rows)
-                    rows = []
-            if rows:
-                yield pack(rows)
-
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-
-    def pack(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc", "th", "line", "cls", "n", "maps", "prefix"])
+                line, first, code = _tokens(text, heavy)
+                if len(line):
+                    held.append((i, line, first, code))
+                    count += len(code)
+                if count > 1 << 20:
+                    yield pack(batch, held)
+                    held, count = [], 0
+            if held:
+                yield pack(batch, held)
+
+    def pack(batch: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
+        line, code = (np.concatenate([h[k] for h in held]) for k in (1, 3))
+        shift = np.cumsum([0, *(len(h[3]) for h in held)])
+        first = np.concatenate([h[2] + s for h, s in zip(held, shift)])
+        n = np.diff(first, append=len(code))
+        bit = mix(code) % np.uint64(96)
+        one = np.uint64(1) << bit % np.uint64(48)
+        maps = np.stack([np.bitwise_xor.reduceat(np.where(side, one, np.uint64(0)), first) for side in (bit < 48, bit >= 48)], 1)
+        raw = memoryview(code).cast("B")
+        cls = [xxhash.xxh3_128_digest(raw[8 * a : 8 * (a + k)]) for a, k in zip(first.tolist(), n.tolist())]
+        size = n + (-percent * n // 100) + 1
+        head = np.arange(len(code)) - np.repeat(first, n) < np.repeat(size, n)
+        lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(signed(flat))) for ends, flat in ((2 * np.arange(len(n) + 1), maps.ravel()), (np.concatenate(([0], np.cumsum(size))), code[head]))]
+        who = pa.array(np.repeat([h[0] for h in held], [len(h[1]) for h in held]))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(line.astype(np.int32)), pa.array(cls, pa.binary()), pa.array(n.astype(np.int32)), *lists], ["doc", "th", "line", "cls", "n", "maps", "prefix"])
 
     return docs.mapInArrow(run, _LINES)
 
 
 def _partners(percent: int, every: bool):
-    """For rows sorted by (token, i, j): possible partners of each class; ra and rb order the classes."""
-
-    def compare(g: dict[str, np.ndarray], out: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        size = len(g["cls"])
-        own = g["i"][0] == g["j"][0]
-        for a in range(0, size, _SPAN):
-            x = {k: v[a : a + _SPAN, None] for k, v in g.items()}
-            y = {k: v[None, : min(size, a + _SPAN) if own else size] for k, v in g.items()}
-            ok = y["n"] * 100 >= percent * x["n"]
-            ok &= x["n"] * 100 >= percent * y["n"]
-            ok &= x["open"] & ((y["d"] < x["d"]) | (y["d"] == x["d"]) & ((y["t"] < x["t"]) | (y["t"] == x["t"]) & (y["l"] < x["l"])))
-            if not own:
-                ok &= x["blk"] != y["blk"]
-            xs, ys = np.nonzero(ok)
-            if not len(xs):
-                continue
-            nx, ny, px, py = x["n"][xs, 0], y["n"][0, ys], x["pos"][xs, 0], y["pos"][0, ys]
-            need = -(-percent * (nx + ny) // (100 + percent))
-            ok = np.minimum(nx - px, ny - py) >= need
-            xs, ys, nx, ny, need = xs[ok], ys[ok], nx[ok], ny[ok], need[ok]
-            differ = np.bitwise_count(x["m0"][xs, 0] ^ y["m0"][0, ys]).astype(np.int64) + np.bitwise_count(x["m1"][xs, 0] ^ y["m1"][0, ys])
-            ok = differ <= nx + ny - 2 * need
-            xs, ys = xs[ok], ys[ok]
-            if not every and len(xs):
-                xs, first = np.unique(xs, return_index=True)  # rows come in the classes' order, so this is the earliest
-                ys = ys[first]
-            out.append((x["cls"][xs, 0], y["cls"][0, ys]))
+    """For rows sorted by (token, i, j): possible partners of each class; (d, t, l) is the classes' order."""
+
+    def passing(g: dict[str, np.ndarray], xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of rows that no bound rules out, the later class first."""
+        nx, ny = g["n"][xs], g["n"][ys]
+        differ = np.bitwise_count(g["m0"][xs] ^ g["m0"][ys]).astype(np.int32) + np.bitwise_count(g["m1"][xs] ^ g["m1"][ys])
+        both = nx + ny
+        ok = differ * (100 + percent) <= both * (100 - percent)
+        xs, ys, nx, ny, both = xs[ok], ys[ok], nx[ok], ny[ok], both[ok]
+        need = -(-percent * both // (100 + percent))
+        ok = (ny * 100 >= percent * nx) & (nx * 100 >= percent * ny) & (np.minimum(nx - g["pos"][xs], ny - g["pos"][ys]) >= need)
+        ok &= (g["i"][xs] == g["j"][xs]) | (g["blk"][xs] != g["blk"][ys])
+        xs, ys = xs[ok], ys[ok]
+        x, y = ({c: g[c][k] for c in "dtl"} for k in (xs, ys))
+        swap = (x["d"] < y["d"]) | (x["d"] == y["d"]) & ((x["t"] < y["t"]) | (x["t"] == y["t"]) & (x["l"] < y["l"]))
+        xs, ys = np.where(swap, ys, xs), np.where(swap, xs, ys)
+        return xs[g["open"][xs]], ys[g["open"][xs]]
+
+    def compare(g: dict[str, np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs within groups of equal number."""
+        rows = np.arange(len(group))
+        first = np.maximum.accumulate(np.where(np.diff(group, prepend=-1) > 0, rows, 0))
+        found = []
+        step, at = 1, rows[rows > first]
+        while len(at):  # all rows against the row `step` before them, as long as it is in their group
+            for a in range(0, len(at), _SPAN):
+                found.append(passing(g, at[a : a + _SPAN], at[a : a + _SPAN] - step))
+            step += 1
+            at = at[at - step >= first[at]]
+        xs, ys = (np.concatenate(v) for v in zip(*found)) if found else (rows[:0], rows[:0])
+        if every or not len(xs):
+            return g["cls"][xs], g["cls"][ys]
+        order = np.lexsort((ys, xs))
+        xs, ys = xs[order], ys[order]
+        nth = np.arange(len(xs)) - np.maximum.accumulate(np.where(np.diff(xs, prepend=-1) > 0, np.arange(len(xs)), 0))
+        more = g["cls"][xs[nth == FEW]]  # a pair with itself says that there are more
+        return np.concatenate((g["cls"][xs[nth < FEW]], more)), np.concatenate((g["cls"][ys[nth < FEW]], more))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
 
         def done(part: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
             key = np.stack([part[c] for c in ("token", "i", "j")], 1)
-            cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            bounds = np.concatenate(([0], cut, [len(key)]))
-            out: list[tuple[np.ndarray, np.ndarray]] = []
-            for k in np.flatnonzero(np.diff(bounds) > 1).tolist():
-                compare({c: v[bounds[k] : bounds[k + 1]] for c, v in part.items()}, out)
-            if out:
-                a, b = (np.concatenate(v) for v in zip(*out))
+            group = np.cumsum(np.concatenate(([False], (key[1:] != key[:-1]).any(1))))
+            met = np.bincount(group)[group] > 1
+            a, b = compare({c: v[met] for c, v in part.items()}, group[met])
+            if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
@@ -182,7 +200,8 @@ def _sets(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
             cls, sets, size = [], [], 0
             for text, want in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
                 want = set(want)
-                for line, s in zip(*_tokens(text, heavy)):
+                lines, first, code = _tokens(text, heavy)
+                for line, s in zip(lines.tolist(), np.split(code, first[1:])):
                     if line in want:
                         cls.append(int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "big", signed=True))
                         sets.append(signed(s))
@@ -215,7 +234,7 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("blk", F.pmod("cls64", F.col("blocks")).cast("int"))
         rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.select("token", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", F.col("cls64").alias("cls"), F.col("f.doc").alias("d"), F.col("f.th").alias("t"), F.col("f.line").alias("l"), F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), F.col("maps")[0].alias("m0"), F.col("maps")[1].alias("m1"), "open")
-        return rows.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j", "d", "t", "l")
+        return rows.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs' later classes that do match."""
@@ -231,15 +250,14 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         return out
 
     pairs = written(dealt(first.withColumn("open", F.lit(True))).mapInArrow(_partners(percent, False), "a long, b long").distinct(), "lines-pairs")
-    matched = verified(pairs)
-    again = pairs.select("a").distinct().join(matched, "a", "left_anti")
+    matched = verified(pairs.filter("a != b"))
+    again = pairs.filter("a = b").select("a").join(matched, "a", "left_anti")
     if again.limit(1).count():
-        # only the tokens of classes whose first partners failed are dealt again
+        # only classes of a length that can match theirs are dealt again
         again = written(again, "lines-again")
         flagged = first.join(again.select(F.col("a").alias("cls64"), F.lit(True).alias("open")), "cls64", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        tokens = flagged.filter("open").select(F.explode("prefix").alias("token")).distinct()
-        near = flagged.select("cls64", F.explode("prefix").alias("token")).join(tokens, "token", "left_semi").select("cls64").distinct()
-        flagged = flagged.join(near, "cls64", "left_semi")
+        low, high = flagged.filter("open").agg(F.min("n"), F.max("n")).first()
+        flagged = flagged.filter((100 * F.col("n") >= percent * low) & (percent * F.col("n") <= 100 * high))
         more = written(dealt(flagged).mapInArrow(_partners(percent, True), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "lines-pairs")
         matched = matched.unionByName(verified(more))
     lost = first.join(matched.withColumnRenamed("a", "cls64").distinct().withColumn("lost", F.lit(True)), "cls64", "left").select("cls", "f", F.coalesce("lost", F.lit(False)).alias("lost"))

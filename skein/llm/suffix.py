@@ -7,8 +7,8 @@ document) is removed; strings are judged on the input, and never cross documents
    stand. Consecutive starts with the same m are one piece (77 starts at most), with the bytes of all its strings.
    Only pieces whose m stands in two places or more can hold a repeat; this is counted over all documents.
 2. Equal pieces (m and hash of the bytes) are one: of all but the first, every string starts earlier elsewhere.
-3. The distinct pieces that share an m with another are cut into blocks of 16 starts, counted from the place of m, and
-   dealt out by the 85 bytes that all strings of a block hold. Equal ones again are one; those that share the bytes and
+3. The distinct pieces that share an m with another are cut into blocks of 24 starts, counted from the place of m, and
+   dealt out by the 77 bytes that all strings of a block hold. Equal ones again are one; those that share the bytes and
    differ beside them are the collection. A task builds the Burrows-Wheeler transform of
    its pieces column by column from the right: each round inserts one symbol of each piece, finds the places of the new
    suffixes by the rank of their symbol, and updates the transform and the common prefixes, which lie in sequential files
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import POWERS, mix, remove, signed, tidy, utf8, written
 
-LENGTH, PART, RUN = 100, 24, 16
+LENGTH, PART, RUN = 100, 24, 24
 #: Distinct pieces of one m in a collection, and bytes of a collection, at most (about).
 HOT, COLLECTION = 4000, 512 << 10
 
