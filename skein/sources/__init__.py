@@ -1 +1,118 @@
+"""Sources and sinks: JSON lines, parquet, CSV, graph and model folders, an article source with paging."""
 
+from __future__ import annotations
+
+import json
+import random
+import time
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+ARTICLE = "title string, text string, categories array<string>, links array<string>"
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str = ARTICLE) -> DataFrame:
+    """JSON lines; blank and malformed ones are skipped."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
+def resume(spark: SparkSession, path: str, fresh: DataFrame) -> DataFrame:
+    """fresh without the titles already in path."""
+    return fresh.join(read_jsonl(spark, path).select("title"), "title", "left_anti")
+
+
+def write_graph(edges: DataFrame, nodes: DataFrame, path: str) -> None:
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    edges.write.mode("overwrite").partitionBy("layer").parquet(f"{path}/edges")
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """With a header and doubled quotes; an empty frame is an error."""
+    if df.isEmpty():
+        raise ValueError("nothing to export")
+    df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+
+
+def write_metrics(df: DataFrame, path: str) -> None:
+    df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
+
+
+def snapshot(spark: SparkSession, paths: dict[str, str], target: str) -> None:
+    """Copies tables (summaries too) as the baseline of later runs."""
+    for name, path in paths.items():
+        spark.read.parquet(path).write.mode("overwrite").parquet(f"{target}/{name}")
+
+
+def file_stats(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
+
+
+def backoff(attempt: int, base: float = 1.0, most: float = 60.0, draw: Callable[[], float] = random.random) -> float:
+    return min(most, base * 2**attempt) * (0.8 + 0.4 * draw())
+
+
+class TokenBucket:
+    """At most `rate` a second, bursts of half of that, for one partition's reader."""
+
+    def __init__(self, rate: float, clock: Callable[[], float] = time.monotonic) -> None:
+        self.rate, self.burst, self.clock = rate, max(1.0, rate / 2), clock
+        self.tokens, self.at = self.burst, clock()
+
+    def wait(self) -> float:
+        """Seconds to wait before the next request."""
+        now = self.clock()
+        self.tokens, self.at = min(self.burst, self.tokens + (now - self.at) * self.rate), now
+        self.tokens -= 1
+        return max(0.0, -self.tokens / self.rate)
+
+
+class ArticleSource(DataSource):
+    """Articles of one or more queries from JSON-line files, a partition for each query; stands in for a web API offline.
+
+    Options: path (a folder with <query>.jsonl), queries (comma-separated), limit.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "articles"
+
+    def schema(self) -> str:
+        return "query string, position long, title string, text string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _ArticleReader(self.options)
+
+
+class _ArticleReader(DataSourceReader):
+    def __init__(self, options) -> None:
+        self.path, self.queries, self.limit = options["path"], options["queries"].split(","), int(options.get("limit", "10"))
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(q) for q in self.queries]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        try:
+            f = open(f"{self.path}/{partition.value}.jsonl", encoding="utf-8")
+        except FileNotFoundError:
+            return
+        with f:
+            n = 0
+            for line in f:
+                try:
+                    row = json.loads(line)
+                except ValueError:
+                    continue
+                if n < self.limit and row.get("title"):
+                    yield partition.value, n, row["title"], row.get("text") or ""
+                    n += 1

@@ -1 +1,39 @@
+"""Structured Streaming twins: request metrics by window, progress on change, log append, incremental ingest."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def request_windows(requests: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """Counts, mean latency and errors by window and endpoint of a stream (timestamp, endpoint, latency_ms, status_code)."""
+    w = F.window("timestamp", width, slide) if slide else F.window("timestamp", width)
+    grouped = requests.withWatermark("timestamp", late).groupBy(w, "endpoint") if requests.isStreaming else requests.groupBy(w, "endpoint")
+    return grouped.agg(F.count("*").alias("requests"), F.avg("latency_ms").alias("avg_ms"), F.count_if(F.col("status_code") >= 400).alias("errors")).select(F.col("window.start").alias("start"), "endpoint", "requests", "avg_ms", "errors")
+
+
+def progress_changes(states: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Progress states without repeated ones, as a feed hands them on (run_id, state, timestamp)."""
+    s = states.withWatermark("timestamp", late) if states.isStreaming else states
+    return s.dropDuplicatesWithinWatermark(["run_id", "state"]) if states.isStreaming else s.dropDuplicates(["run_id", "state"])
+
+
+def append_lines(spark: SparkSession, source: str, target: str, checkpoint: str):
+    """Text lines appended to a log table; DEBUG lines are left out."""
+    lines = spark.readStream.text(source).filter(~F.col("value").startswith("DEBUG:"))
+    return lines.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target)
+
+
+def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, per_trigger: int = 1000):
+    """New JSON-line files into a table; a rerun goes on where the last one stopped."""
+    rows = spark.readStream.schema(schema).option("mode", "DROPMALFORMED").option("maxFilesPerTrigger", per_trigger).json(source)
+    return rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target)
+
+
+def run_to_table(stream: DataFrame, name: str, checkpoint: str | None = None, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what is there and returns its result from memory."""
+    w = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    q = (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
+    q.awaitTermination()
+    return stream.sparkSession.table(name)
