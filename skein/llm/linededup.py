@@ -29,11 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, remove, signed, utf8, words, written
+from .common import LOWER, mix, remove, signed, tidy, utf8, words, written
 
 SHARE = 16384
 #: Classes in a token's block, and the part of the classes that tells which tokens are larger.
 BLOCK, SAMPLE = 20_000, 64
+#: Passes over the tokens.
+PASSES = 3
 #: Possible partners of a class that a token hands on before any is verified.
 FEW = 50
 _SPAN = 1 << 16
@@ -125,7 +127,7 @@ def _lines(docs: DataFrame, heavy: np.ndarray, percent: int) -> DataFrame:
 
 
 def _partners(percent: int, every: bool):
-    """For rows sorted by (token, i, j): possible partners of each class; (d, t, l) is the classes' order."""
+    """For rows sorted by token and block pair: possible partners of each class; (d, l) is the classes' order."""
 
     def passing(g: dict[str, np.ndarray], xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pairs of rows that no bound rules out, the later class first."""
@@ -136,10 +138,10 @@ def _partners(percent: int, every: bool):
         xs, ys, nx, ny, both = xs[ok], ys[ok], nx[ok], ny[ok], both[ok]
         need = -(-percent * both // (100 + percent))
         ok = (ny * 100 >= percent * nx) & (nx * 100 >= percent * ny) & (np.minimum(nx - g["pos"][xs], ny - g["pos"][ys]) >= need)
-        ok &= (g["i"][xs] == g["j"][xs]) | (g["blk"][xs] != g["blk"][ys])
+        ok &= g["own"][xs] | (g["side"][xs] != g["side"][ys])
         xs, ys = xs[ok], ys[ok]
-        x, y = ({c: g[c][k] for c in "dtl"} for k in (xs, ys))
-        swap = (x["d"] < y["d"]) | (x["d"] == y["d"]) & ((x["t"] < y["t"]) | (x["t"] == y["t"]) & (x["l"] < y["l"]))
+        x, y = ({c: g[c][k] for c in "dl"} for k in (xs, ys))
+        swap = (x["d"] < y["d"]) | (x["d"] == y["d"]) & (x["l"] < y["l"])
         xs, ys = np.where(swap, ys, xs), np.where(swap, xs, ys)
         return xs[g["open"][xs]], ys[g["open"][xs]]
 
@@ -167,19 +169,22 @@ def _partners(percent: int, every: bool):
         held: dict[str, np.ndarray] | None = None
 
         def done(part: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            key = np.stack([part[c] for c in ("token", "i", "j")], 1)
-            group = np.cumsum(np.concatenate(([False], (key[1:] != key[:-1]).any(1))))
+            token, ij = part["token"], part["at"] >> 34
+            group = np.cumsum(np.concatenate(([False], (token[1:] != token[:-1]) | (ij[1:] != ij[:-1]))))
             met = np.bincount(group)[group] > 1
-            a, b = compare({c: v[met] for c, v in part.items()}, group[met])
+            g = {c: v[met] for c, v in part.items()}
+            at, size = g.pop("at"), g.pop("size")
+            g |= {"own": at >> 49 == at >> 34 & 0x7FFF, "side": at >> 33 & 1, "open": (at >> 32 & 1).astype(bool), "pos": at & 0xFFFFFFFF, "l": size >> 32, "n": size & 0xFFFFFFFF}
+            a, b = compare(g, group[met])
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = {c: batch.column(i).fill_null(-(1 << 62)).to_numpy(zero_copy_only=False) if c == "d" else batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names)}
+            new = {c: batch.column(i).to_numpy() for i, c in enumerate(batch.schema.names)}
             held = new if held is None else {c: np.concatenate((held[c], new[c])) for c in new}
-            last = np.flatnonzero((held["token"] != held["token"][-1]) | (held["i"] != held["i"][-1]) | (held["j"] != held["j"][-1]))
+            last = np.flatnonzero((held["token"] != held["token"][-1]) | (held["at"] >> 34 != held["at"][-1] >> 34))
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
                 yield from done({c: v[:cut] for c, v in held.items()})
@@ -224,17 +229,29 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     lines = written(_lines(docs, heavy, percent), "lines")
     first = lines.groupBy("cls").agg(F.min(F.struct("doc", "th", "line")).alias("f"), F.first("n").alias("n"), F.first("maps").alias("maps"), F.first("prefix").alias("prefix"))
     cls64 = F.conv(F.hex(F.substring("cls", 1, 8)), 16, -10).cast("long")
-    first = written(first.select("cls", cls64.alias("cls64"), "f", "n", "maps", "prefix"), "lines-classes")
-
-    hot = first.filter(F.pmod("cls64", F.lit(SAMPLE)) == 0).select(F.explode("prefix").alias("token")).groupBy("token").count().filter(F.col("count") * SAMPLE > BLOCK).select("token", F.ceil(F.col("count") * SAMPLE / BLOCK).cast("int").alias("blocks"))
+    placed = F.transform("prefix", lambda t, i: F.struct(i.alias("pos"), t.alias("token")))
+    first = written(first.select("cls", cls64.alias("cls64"), "f", "n", "maps", "prefix"), "lines-classes").withColumn("prefix", placed)
+    slim = written(lines.select("doc", "th", "line", "cls"), "lines-slim")
+    remove(spark, lines)
+    lines = slim
+    tidy(spark)
+
+    hot = first.filter(F.pmod("cls64", F.lit(SAMPLE)) == 0).select(F.explode("prefix.token").alias("token")).groupBy("token").count().filter(F.col("count") * SAMPLE > BLOCK).select("token", F.ceil(F.col("count") * SAMPLE / BLOCK).cast("int").alias("blocks"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
 
     def dealt(classes: DataFrame) -> DataFrame:
-        rows = classes.select("cls64", "f", "n", "maps", "open", F.posexplode("prefix").alias("pos", "token")).join(hot, "token", "left")
+        rows = classes.select("cls64", "f", "n", "maps", "open", F.explode("prefix").alias("e")).select("*", "e.pos", "e.token").join(hot, "token", "left")
         rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("blk", F.pmod("cls64", F.col("blocks")).cast("int"))
         rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("token", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", F.col("cls64").alias("cls"), F.col("f.doc").alias("d"), F.col("f.th").alias("t"), F.col("f.line").alias("l"), F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), F.col("maps")[0].alias("m0"), F.col("maps")[1].alias("m1"), "open")
-        return rows.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j")
+
+        def bits(c, shift: int):
+            return F.shiftleft(c.cast("long"), shift)
+
+        # seven numbers a row: at is i, j (blocks), the row's side, whether it is open, and the token's position
+        at = bits(F.least("blk", "o"), 49) + bits(F.greatest("blk", "o"), 34) + bits(F.col("blk") > F.col("o"), 33) + bits(F.col("open"), 32) + F.col("pos")
+        size = bits(F.col("f.line"), 32) + F.col("n")
+        rows = rows.select("token", at.alias("at"), F.col("cls64").alias("cls"), F.coalesce("f.doc", F.lit(-(1 << 62))).alias("d"), size.alias("size"), F.col("maps")[0].alias("m0"), F.col("maps")[1].alias("m1"))
+        return rows.repartition(parts, "token", F.shiftrightunsigned("at", 34)).sortWithinPartitions("token", "at")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs' later classes that do match."""
@@ -244,12 +261,21 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         sets = written(_sets(texts, heavy), "lines-sets")
         both = F.size(F.array_intersect("sa", "sb"))
         full = pairs.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
-        full = full.select("a", both.alias("x"), (F.size("sa") + F.size("sb")).alias("t"))
-        out = written(full.filter(100 * F.col("x") >= percent * (F.col("t") - F.col("x"))).select("a").distinct(), "lines-matched")
+        full = full.select("a", "b", both.alias("x"), (F.size("sa") + F.size("sb")).alias("t"))
+        link = full.filter(100 * F.col("x") >= percent * (F.col("t") - F.col("x"))).select("a", "b")
+        order = [first.select(F.col("cls64").alias(c), F.col("f").alias(f"f{c}")) for c in "ab"]
+        out = written(link.join(order[0], "a").join(order[1], "b").select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("a")).distinct(), "lines-matched")
+        tidy(spark)
         remove(spark, sets)
         return out
 
-    pairs = written(dealt(first.withColumn("open", F.lit(True))).mapInArrow(_partners(percent, False), "a long, b long").distinct(), "lines-pairs")
+    pairs = None
+    for k in range(PASSES):  # a pass for each part of the tokens bounds what the shuffle has on disk at once
+        some = first.withColumn("prefix", F.filter("prefix", lambda t: F.pmod(t["token"], F.lit(PASSES)) == k)) if PASSES > 1 else first
+        part = written(dealt(some.withColumn("open", F.lit(True))).mapInArrow(_partners(percent, False), "a long, b long").distinct(), "lines-pairs")
+        pairs = part if pairs is None else pairs.unionByName(part)
+        tidy(spark)
+    pairs = pairs.distinct()
     matched = verified(pairs.filter("a != b"))
     again = pairs.filter("a = b").select("a").join(matched, "a", "left_anti")
     if again.limit(1).count():

@@ -1,14 +1,15 @@
 """Token ids in Arrow files of fixed-size lists.
 
 Every range of documents (ascending id) is one shard: `shard-00007.arrow`, an Arrow IPC file whose record batches hold
-fixed-size lists `ids` (uint32) and `mask` (uint8), all of the same length, so that sequence i is found by arithmetic
+fixed-size lists `ids` (uint16, or uint32 for larger vocabularies) and `mask` (one bit each), all of the same length, so that sequence i is found by arithmetic
 and read without a copy from a memory map; `shard-00007.docs.arrow` lists doc_id, start and n_tokens of the shard's
 documents. The last sequence of a shard is padded, with mask 0. A shard is written under a name of its own attempt
 and moved into place, so a repeated task only replaces it by the same bytes. Files go through pyarrow.fs to the folder
 that the driver and all executors share.
 
-Texts are encoded by the tokenizers library. Its normalization and splitting never look across ASCII white space, so
-each distinct run of other characters in a batch is encoded once and put together again.
+Texts are encoded by the tokenizers library. Its normalization (composition, lower case) and splitting never look across
+ASCII white space, so each distinct run of other characters is encoded once and put together again. This holds for
+tokenizers that drop white space and lower-case, as the vocabulary used here does.
 
 Defined results: a null or empty text has just the end id. Rows with a null id come first. Repeated rows each have
 their ids. An empty table makes no sequences. Other columns are ignored.
@@ -16,6 +17,8 @@ their ids. An empty table makes no sequences. Other columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import new_path, utf8
+from .common import LOWER, new_path, utf8
 
 LENGTH, BATCH = 2048, 64
 _MEMO = 400_000
@@ -40,27 +43,50 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
-def schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def schema(length: int, kind: type) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class Encoder:
-    """Ids of texts, with a bounded memo of runs between white space."""
+    """Ids of texts, with a memo of runs between white space; of two generations, the older goes when the newer is full."""
 
     def __init__(self, path: str, end: int) -> None:
-        self.tokenizer, self.end, self.memo = tokenizer(path), end, {}
+        self.tokenizer, self.end = tokenizer(path), end
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.memo, self.older = {}, {}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.split() for t in texts]
-        new = [w for w in set(chain.from_iterable(split)) if w not in self.memo]
-        if len(self.memo) + len(new) > _MEMO:
-            self.memo = {}
-            new = list(set(chain.from_iterable(split)))
+        if len(self.memo) > _MEMO:
+            self.memo, self.older = {}, self.memo
+        new = []
+        for w in set(chain.from_iterable(split)).difference(self.memo):
+            if (ids := self.older.get(w)) is not None:
+                self.memo[w] = ids
+            else:
+                new.append(w)
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
             self.memo.update(zip(some, (e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
         get = self.memo.__getitem__
-        return [np.fromiter(chain(chain.from_iterable(map(get, s)), (self.end,)), np.uint32) for s in split]
+        return [np.fromiter(chain(chain.from_iterable(map(get, s)), (self.end,)), self.kind) for s in split]
+
+
+#: A point or comma between an ASCII letter and white space is a match of its own.
+_STOP = re.compile(r"(?<=[a-z])([.,])(?=[ \n])")
+
+
+def plain(text: bytes) -> str:
+    """The text with A-Z in lower case, as the normalizer makes them, and single stops set apart: the ids are the same,
+    and there are fewer distinct runs."""
+    return _STOP.sub(r" \1", text.translate(LOWER).decode("utf-8", "replace"))
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, end: int) -> Encoder:
+    """One for each Python worker, so that its tasks share the memo."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    return Encoder(path, end)
 
 
 def _fs(uri: str) -> tuple[pa.fs.FileSystem, str]:
@@ -70,9 +96,9 @@ def _fs(uri: str) -> tuple[pa.fs.FileSystem, str]:
 class _Shard:
     """Writes sequences as ids come; at most one batch of them is held."""
 
-    def __init__(self, fs: pa.fs.FileSystem, path: str, length: int) -> None:
-        self.length, self.out = length, fs.open_output_stream(path)
-        self.file = pa.ipc.new_file(self.out, schema(length))
+    def __init__(self, fs: pa.fs.FileSystem, path: str, length: int, kind: type) -> None:
+        self.length, self.out, self.schema = length, fs.open_output_stream(path), schema(length, kind)
+        self.file = pa.ipc.new_file(self.out, self.schema)
         self.held: list[np.ndarray] = []
         self.n = self.total = 0
 
@@ -88,11 +114,11 @@ class _Shard:
             self.held, self.n = [flat[full:]], len(flat) - full
 
     def _write(self, flat: np.ndarray, used: int | None) -> None:
-        mask = np.ones(len(flat), np.uint8)
+        mask = np.ones(len(flat), bool)
         if used is not None:
-            mask[used:] = 0
+            mask[used:] = False
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, mask)]
-        self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=schema(self.length)))
+        self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def close(self) -> None:
         if self.n:
@@ -112,17 +138,18 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end: int = 2, length: i
         shard, attempt = task.partitionId(), task.taskAttemptId()
         fs, root = _fs(folder)
         name, names = f"{root}/shard-{shard:05d}", []
-        out = index = encoder = None
+        out = index = code = None
         n_docs = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             if out is None:
                 fs.create_dir(root, recursive=True)
-                out, encoder = _Shard(fs, f"{name}.arrow.{attempt}", length), Encoder(vocabulary, end)
+                code = encoder(vocabulary, end)
+                out = _Shard(fs, f"{name}.arrow.{attempt}", length, code.kind)
                 index = pa.ipc.new_file(sink := fs.open_output_stream(f"{name}.docs.arrow.{attempt}"), _DOCS)
                 names = [f"{name}.arrow", f"{name}.docs.arrow"]
-            texts = [t.decode("utf-8", "replace") for t in utf8(batch.column(1))]
+            texts = [plain(t) for t in utf8(batch.column(1))]
             starts, counts = [], []
             at = 0
             while at < len(texts):
@@ -130,7 +157,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end: int = 2, length: i
                 while at < len(texts) and size < 4_000_000:
                     size += len(texts[at])
                     at += 1
-                for ids in encoder(texts[some:at]):
+                for ids in code(texts[some:at]):
                     starts.append(out.total)
                     counts.append(len(ids))
                     out.add(ids)
@@ -159,10 +186,11 @@ def sequences(path: str) -> tuple[pa.ipc.RecordBatchFileReader, int]:
     return reader, sum(reader.get_batch(i).num_rows for i in range(reader.num_record_batches))
 
 
-def sequence(reader: pa.ipc.RecordBatchFileReader, i: int) -> tuple[np.ndarray, np.ndarray]:
+def sequence(reader: pa.ipc.RecordBatchFileReader, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
     """Sequence i and its mask, as views of the mapped file (all batches but the last hold BATCH sequences)."""
     batch = reader.get_batch(i // BATCH)
-    return tuple(batch.column(k).slice(i % BATCH, 1).flatten().to_numpy(zero_copy_only=True) for k in (0, 1))
+    ids, mask = (batch.column(k).slice(i % BATCH, 1).flatten() for k in (0, 1))
+    return ids.to_numpy(zero_copy_only=True), mask
 
 
 def read(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
@@ -203,8 +231,9 @@ def _stream(reader: pa.ipc.RecordBatchFileReader):
             if not held:
                 b = reader.get_batch(batch)
                 batch += 1
-                flat, mask = (b.column(k).flatten().to_numpy(zero_copy_only=True) for k in (0, 1))
-                held = memoryview(flat[mask.view(bool)].astype("<u4", copy=False)).cast("B")
+                flat = b.column(0).flatten().to_numpy(zero_copy_only=True)
+                used = b.column(1).flatten().true_count  # padding stands at the end
+                held = memoryview(flat[:used].astype("<u4")).cast("B")
             got = held[: 4 * n]
             out.append(bytes(got))
             held = held[len(got) :]
