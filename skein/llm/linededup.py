@@ -10,7 +10,7 @@ lines are judged on the input, not on what is left. Lines without words stay.
 2. Lines with equal sets are one class; all but the first line of a class go at once.
 3. A class goes to the tokens of its prefix, the |x| - ceil(percent * |x| / 100) + 1 rarest. Classes that meet at a token
    are compared there by length, position and a 96-bit parity map of their words (its differing bits are no more than
-   the words that differ), all of them exact bounds. Each class hands on up to 50 possible partners of
+   the words that differ), all of them exact bounds. Each class hands on up to 8 possible partners of
    a token; classes that have more and no match among those hand on all.
 4. Tokens with very many classes are dealt out as pairs of blocks.
 5. Survivors are verified on the words of the lines themselves.
@@ -37,7 +37,7 @@ BLOCK, SAMPLE = 20_000, 64
 #: Passes over the tokens.
 PASSES = 3
 #: Possible partners of a class that a token hands on before any is verified.
-FEW = 50
+FEW = 8
 _SPAN = 1 << 16
 
 
@@ -137,7 +137,7 @@ def _partners(percent: int, every: bool):
         ok = differ * (100 + percent) <= both * (100 - percent)
         xs, ys, nx, ny, both = xs[ok], ys[ok], nx[ok], ny[ok], both[ok]
         need = -(-percent * both // (100 + percent))
-        ok = (ny * 100 >= percent * nx) & (nx * 100 >= percent * ny) & (np.minimum(nx - g["pos"][xs], ny - g["pos"][ys]) >= need)
+        ok = (np.minimum(nx - g["pos"][xs], ny - g["pos"][ys]) >= need)
         ok &= g["own"][xs] | (g["side"][xs] != g["side"][ys])
         xs, ys = xs[ok], ys[ok]
         x, y = ({c: g[c][k] for c in "dl"} for k in (xs, ys))
@@ -146,12 +146,14 @@ def _partners(percent: int, every: bool):
         return xs[g["open"][xs]], ys[g["open"][xs]]
 
     def compare(g: dict[str, np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs within groups of equal number."""
+        """Pairs within groups of equal number, whose rows come by size."""
         rows = np.arange(len(group))
         first = np.maximum.accumulate(np.where(np.diff(group, prepend=-1) > 0, rows, 0))
         found = []
         step, at = 1, rows[rows > first]
-        while len(at):  # all rows against the row `step` before them, as long as it is in their group
+        n = g["n"]
+        while len(at):  # all rows against the row `step` before them, as long as that is in their group and not too short
+            at = at[n[at - step] * 100 >= percent * n[at]]
             for a in range(0, len(at), _SPAN):
                 found.append(passing(g, at[a : a + _SPAN], at[a : a + _SPAN] - step))
             step += 1
@@ -174,7 +176,7 @@ def _partners(percent: int, every: bool):
             met = np.bincount(group)[group] > 1
             g = {c: v[met] for c, v in part.items()}
             at, size = g.pop("at"), g.pop("size")
-            g |= {"own": at >> 49 == at >> 34 & 0x7FFF, "side": at >> 33 & 1, "open": (at >> 32 & 1).astype(bool), "pos": at & 0xFFFFFFFF, "l": size >> 32, "n": size & 0xFFFFFFFF}
+            g |= {"own": at >> 49 == at >> 34 & 0x7FFF, "side": size >> 1 & 1, "open": (size & 1).astype(bool), "pos": size >> 2 & 0xFFFFFFFF, "l": size >> 34, "n": at & 0x3FFFFFFFF}
             a, b = compare(g, group[met])
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -247,9 +249,10 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         def bits(c, shift: int):
             return F.shiftleft(c.cast("long"), shift)
 
-        # seven numbers a row: at is i, j (blocks), the row's side, whether it is open, and the token's position
-        at = bits(F.least("blk", "o"), 49) + bits(F.greatest("blk", "o"), 34) + bits(F.col("blk") > F.col("o"), 33) + bits(F.col("open"), 32) + F.col("pos")
-        size = bits(F.col("f.line"), 32) + F.col("n")
+        # seven numbers a row: at is i, j (blocks) and the size, so that rows come by size; size is the line, the token's
+        # position, the row's side and whether it is open
+        at = bits(F.least("blk", "o"), 49) + bits(F.greatest("blk", "o"), 34) + F.col("n")
+        size = bits(F.col("f.line"), 34) + bits(F.col("pos"), 2) + bits(F.col("blk") > F.col("o"), 1) + F.col("open").cast("long")
         rows = rows.select("token", at.alias("at"), F.col("cls64").alias("cls"), F.coalesce("f.doc", F.lit(-(1 << 62))).alias("d"), size.alias("size"), F.col("maps")[0].alias("m0"), F.col("maps")[1].alias("m1"))
         return rows.repartition(parts, "token", F.shiftrightunsigned("at", 34)).sortWithinPartitions("token", "at")
 
@@ -269,14 +272,19 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         remove(spark, sets)
         return out
 
-    pairs = None
+    pairs = matched = None
     for k in range(PASSES):  # a pass for each part of the tokens bounds what the shuffle has on disk at once
-        some = first.withColumn("prefix", F.filter("prefix", lambda t: F.pmod(t["token"], F.lit(PASSES)) == k)) if PASSES > 1 else first
-        part = written(dealt(some.withColumn("open", F.lit(True))).mapInArrow(_partners(percent, False), "a long, b long").distinct(), "lines-pairs")
-        pairs = part if pairs is None else pairs.unionByName(part)
+        some = first.withColumn("prefix", F.filter("prefix", lambda t: F.pmod(t["token"], F.lit(PASSES)) == k))
+        if matched is None:
+            some = some.withColumn("open", F.lit(True))
+        else:  # a class that has a match needs no other
+            some = some.join(matched.select(F.col("a").alias("cls64"), F.lit(False).alias("open")), "cls64", "left").withColumn("open", F.coalesce("open", F.lit(True)))
+        part = written(dealt(some).mapInArrow(_partners(percent, False), "a long, b long").distinct(), "lines-pairs")
         tidy(spark)
+        new = verified(part.filter("a != b") if pairs is None else part.filter("a != b").join(pairs, ["a", "b"], "left_anti"))
+        pairs = part if pairs is None else pairs.unionByName(part)
+        matched = new if matched is None else matched.unionByName(new).distinct()
     pairs = pairs.distinct()
-    matched = verified(pairs.filter("a != b"))
     again = pairs.filter("a = b").select("a").join(matched, "a", "left_anti")
     if again.limit(1).count():
         # only classes of a length that can match theirs are dealt again
