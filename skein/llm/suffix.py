@@ -281,24 +281,28 @@ def intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     often = written(found.groupBy("m").count().filter("count > 1").select("m"), "suffix-often")
     tidy(docs.sparkSession)
     twice = written(found.join(often, "m"), "suffix-pieces")
-    del found, often
+    del found
     tidy(docs.sparkSession)
     first = written(twice.groupBy("m", "ph").agg(F.min(F.struct("doc", "th", "start", "size")).alias("f")), "suffix-first")
     tidy(docs.sparkSession)
-    mixed = written(first.groupBy("m").count().filter("count > 1"), "suffix-mixed")
+    later = twice.join(first, ["m", "ph"]).filter(F.struct("doc", "th", "start") != F.struct("f.doc", "f.th", "f.start"))
+    later = written(later.select("doc", "th", F.col("start").alias("a"), (F.col("start") + F.col("size").bitwiseAND(255) + (length - 1)).alias("b")), "suffix-later")
+    remove(docs.sparkSession, twice, often)
     tidy(docs.sparkSession)
+    mixed = written(first.groupBy("m").count().filter("count > 1"), "suffix-mixed")
     want = first.join(mixed, "m").select("f.doc", "f.th", F.struct("f.start", "f.size", (F.col("count") > HOT).alias("hot")).alias("w"))
-    want = want.groupBy("doc", "th").agg(F.collect_list("w").alias("want")).withColumnsRenamed({"doc": "doc_", "th": "th_"})
+    want = written(want.groupBy("doc", "th").agg(F.collect_list("w").alias("want")).withColumnsRenamed({"doc": "doc_", "th": "th_"}), "suffix-want")
+    remove(docs.sparkSession, first, mixed)
+    tidy(docs.sparkSession)
     here = F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("th") == F.col("th_"))
     texts = docs.join(want, here).select("doc", "th", "text", "want")
     again = written(_found(_wanted(texts, length), length), "suffix-repeats")
+    remove(docs.sparkSession, want)
     del texts, want
     tidy(docs.sparkSession)
-    later = twice.join(first, ["m", "ph"]).filter(F.struct("doc", "th", "start") != F.struct("f.doc", "f.th", "f.start"))
-    later = later.select("doc", "th", F.col("start").alias("a"), (F.col("start") + F.col("size").bitwiseAND(255) + (length - 1)).alias("b"))
     cut = again.unionByName(later).groupBy("doc", "th").agg(F.collect_list(F.struct("a", "b")).alias("cut"))
     cut = written(cut, "suffix-cut")
-    remove(docs.sparkSession, twice, first)
+    remove(docs.sparkSession, later, again)
     tidy(docs.sparkSession)
     return cut
 

@@ -66,10 +66,19 @@ class Encoder:
             else:
                 new.append(w)
         for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            self.memo.update(zip(some, (e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
+            self.learn(new[i : i + 20_000])
         get = self.memo.__getitem__
-        return [np.fromiter(chain(chain.from_iterable(map(get, s)), (self.end,)), self.kind) for s in split]
+        end = np.array([self.end], self.kind).tobytes()
+        return [np.frombuffer(b"".join(map(get, s)) + end, self.kind) for s in split]
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes words, joined by blanks in one text; the ids' offsets tell whose they are."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(found.ids, self.kind).tobytes()
+        at = np.array([a for a, _ in found.offsets], np.int64)
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+        cuts = (np.searchsorted(at, starts) * np.dtype(self.kind).itemsize).tolist()
+        self.memo.update((w, ids[cuts[k] : cuts[k + 1]]) for k, w in enumerate(words))
 
 
 #: A point or comma between an ASCII letter and white space is a match of its own.
