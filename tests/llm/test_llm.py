@@ -125,6 +125,13 @@ def test_token_file_round_trip(spark):
     assert tokenfile.write(odd_docs(spark, True), new_path(spark, "t"), path).count() == 0
 
 
+def test_runs_between_white_space_encode_as_the_whole_text():
+    e = tokenfile.Encoder(public_tokenizers.path("word_bpe_49k.json"), 2)
+    odd = ["e\u0301a", "\u0130stanbul", "\u01c5x", "\ufb01ne", "a\u0300\u0301b.", "\u0301x", "x\u00a0y", "\u3000", "<|endoftext|>", "\u03a3\u03b1\u03c2", "\x1cq", "a\x1fb", "\u200b", "\u00df"]
+    for text in (*odd, " ".join(odd), " ".join(reversed(odd))):
+        assert e([tokenfile.plain(text.encode())])[0].tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids + [2]
+
+
 def brute_repeats(docs):
     seen, out = set(), {}
     for i, t in docs:
