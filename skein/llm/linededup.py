@@ -4,14 +4,14 @@ A line is what stands between newlines; its set is its distinct words, A-Z lower
 line (smaller id, or an earlier line of the same document) has a set with 100 * |intersection| >= percent * |union|;
 lines are judged on the input, not on what is left. Lines without words stay.
 
-1. Order: words that make up more than 1/16384 of all words are ordered by their count, after all rarer ones, whose
-   order is that of their hashes. At most 16384 words pass that bound, so their list is small whatever the corpus.
-   Counts are summed over all documents.
+1. Order: words are ordered by how often their bucket of 2**19 occurs in all documents (in steps of a sixth of a binary
+   logarithm), then by hash. The table of buckets has one size whatever the corpus; words that share a bucket only come
+   later than they could.
 2. Lines with equal sets are one class; all but the first line of a class go at once.
 3. A class goes to the tokens of its prefix, the |x| - ceil(percent * |x| / 100) + 1 rarest. Classes that meet at a token
-   are compared there by length, position and a 96-bit parity map of their words (its differing bits are no more than
-   the words that differ), all of them exact bounds. Each class hands on up to 8 possible partners of
-   a token; classes that have more and no match among those hand on all.
+   are compared there by length, position and a 126-bit parity map of their words (its differing bits are no more than
+   the words that differ), all of them exact bounds. Each class hands on up to 2 possible partners of
+   a token, those first that the maps tell least apart; classes that have more and no match among those hand on all.
 4. Tokens with very many classes are dealt out as pairs of blocks.
 5. Survivors are verified on the words of the lines themselves.
 
@@ -31,27 +31,25 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, mix, remove, signed, tidy, utf8, words, written
 
-SHARE = 16384
+#: Buckets of words, and the parts in which their counts are added up.
+BUCKETS, CHUNKS = 1 << 19, 64
 #: Classes in a token's block, and the part of the classes that tells which tokens are larger.
 BLOCK, SAMPLE = 20_000, 64
 #: Passes over the tokens.
 PASSES = 3
 #: Possible partners of a class that a token hands on before any is verified.
-FEW = 8
+FEW = 2
 _SPAN = 1 << 16
 
 
-def _tokens(text: bytes, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tokens(text: bytes, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of the lines that have words, where each one's words begin, and all lines' distinct words as 64-bit codes
     in the order of rarity."""
     text = text.translate(LOWER)
     starts, _, h = words(text)
     if not len(h):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), h
-    code = h >> np.uint64(1)
-    if len(heavy):
-        at = np.minimum(np.searchsorted(heavy["h"], h), len(heavy) - 1)
-        code = np.where(heavy["h"][at] == h, heavy["rank"][at] | np.uint64(1 << 63), code)
+    code = rarity[(h % np.uint64(BUCKETS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8)
     line = np.searchsorted(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), starts)
     order = np.lexsort((code, line))
     code, line = code[order], line[order]
@@ -62,42 +60,51 @@ def _tokens(text: bytes, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return line[first], first, code
 
 
-def _heavy(docs: DataFrame) -> np.ndarray:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rarity(docs: DataFrame) -> np.ndarray:
+    """The step of each bucket's count, 0 to 255. Tasks count into arrays, which are added up chunk by chunk."""
+    kind = "chunk int, n binary"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            held, total = [], 0
+            held, size = [], 0
             for i, text in enumerate(utf8(batch.column(0))):
-                held.append(words(text.translate(LOWER))[2])
-                total += len(held[-1])
-                if total > 1 << 20 or i + 1 == batch.num_rows:
-                    u, n = np.unique(np.concatenate(held), return_counts=True)
-                    some = n > total / SHARE / 2
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(u[some])), pa.array(n[some], pa.int64()), pa.array([total] + [0] * (int(some.sum()) - 1) if some.any() else [], pa.int64())], ["h", "n", "total"])
-                    held, total = [], 0
-
-    counts = docs.mapInArrow(run, "h long, n long, total long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    counts = written(counts, "lines-words")
-    total = counts.agg(F.sum("total")).first()[0] or 0
-    rows = counts.filter(F.col("n") > total / SHARE).select("h", "n").collect()  # SHARE rows at most
-    out = np.zeros(len(rows), [("h", np.uint64), ("rank", np.uint64)])
-    rows.sort(key=lambda r: (r["n"], r["h"]))
-    out["h"] = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
-    out["rank"] = np.arange(len(rows))
-    return np.sort(out, order="h")
+                held.append((words(text.translate(LOWER))[2] % np.uint64(BUCKETS)).astype(np.int64))
+                size += len(held[-1])
+                if size > 1 << 20 or i + 1 == batch.num_rows:
+                    total += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                    held, size = [], 0
+        yield from rows(dict(enumerate(total.reshape(CHUNKS, -1))))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, n in zip(batch.column(0).to_pylist(), batch.column(1)):
+                total[chunk] = total.get(chunk, 0) + np.frombuffer(n.as_buffer(), np.int64)
+        yield from rows(total)
+
+    def rows(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        total = {k: v for k, v in total.items() if v.any()}
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["chunk", "n"])
+
+    out = np.zeros((CHUNKS, BUCKETS // CHUNKS), np.int64)
+    for r in docs.mapInArrow(count, kind).repartition(8, "chunk").mapInArrow(add, kind).collect():  # CHUNKS rows at most
+        out[r["chunk"]] = np.frombuffer(r["n"], np.int64)
+    return np.minimum(6 * np.log2(np.maximum(out.ravel(), 1)), 255).astype(np.uint8)
 
 
 _LINES = "doc long, th long, line int, cls binary, n int, maps array<long>, prefix array<long>"
 
 
-def _lines(docs: DataFrame, heavy: np.ndarray, percent: int) -> DataFrame:
-    shipped = docs.sparkSession.sparkContext.broadcast(heavy)
+def _lines(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
+    shipped = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = shipped.value
+        rarity = shipped.value
         for batch in batches:
             held, count = [], 0
             for i, text in enumerate(utf8(batch.column(2))):
-                line, first, code = _tokens(text, heavy)
+                line, first, code = _tokens(text, rarity)
                 if len(line):
                     held.append((i, line, first, code))
                     count += len(code)
@@ -112,9 +119,9 @@ def _lines(docs: DataFrame, heavy: np.ndarray, percent: int) -> DataFrame:
         shift = np.cumsum([0, *(len(h[3]) for h in held)])
         first = np.concatenate([h[2] + s for h, s in zip(held, shift)])
         n = np.diff(first, append=len(code))
-        bit = mix(code) % np.uint64(96)
-        one = np.uint64(1) << bit % np.uint64(48)
-        maps = np.stack([np.bitwise_xor.reduceat(np.where(side, one, np.uint64(0)), first) for side in (bit < 48, bit >= 48)], 1)
+        bit = mix(code) % np.uint64(126)
+        one = np.uint64(1) << bit % np.uint64(63)
+        maps = np.stack([np.bitwise_xor.reduceat(np.where(side, one, np.uint64(0)), first) for side in (bit < 63, bit >= 63)], 1)
         raw = memoryview(code).cast("B")
         cls = [xxhash.xxh3_128_digest(raw[8 * a : 8 * (a + k)]) for a, k in zip(first.tolist(), n.tolist())]
         size = n + (-percent * n // 100) + 1
@@ -129,21 +136,22 @@ def _lines(docs: DataFrame, heavy: np.ndarray, percent: int) -> DataFrame:
 def _partners(percent: int, every: bool):
     """For rows sorted by token and block pair: possible partners of each class; (d, l) is the classes' order."""
 
-    def passing(g: dict[str, np.ndarray], xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs of rows that no bound rules out, the later class first."""
+    def passing(g: dict[str, np.ndarray], xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs of rows that no bound rules out, the later class first, and the maps' differing bits."""
         nx, ny = g["n"][xs], g["n"][ys]
         differ = np.bitwise_count(g["m0"][xs] ^ g["m0"][ys]).astype(np.int32) + np.bitwise_count(g["m1"][xs] ^ g["m1"][ys])
         both = nx + ny
         ok = differ * (100 + percent) <= both * (100 - percent)
-        xs, ys, nx, ny, both = xs[ok], ys[ok], nx[ok], ny[ok], both[ok]
+        xs, ys, nx, ny, both, differ = xs[ok], ys[ok], nx[ok], ny[ok], both[ok], differ[ok]
         need = -(-percent * both // (100 + percent))
         ok = (np.minimum(nx - g["pos"][xs], ny - g["pos"][ys]) >= need)
         ok &= g["own"][xs] | (g["side"][xs] != g["side"][ys])
-        xs, ys = xs[ok], ys[ok]
+        xs, ys, differ = xs[ok], ys[ok], differ[ok]
         x, y = ({c: g[c][k] for c in "dl"} for k in (xs, ys))
         swap = (x["d"] < y["d"]) | (x["d"] == y["d"]) & (x["l"] < y["l"])
         xs, ys = np.where(swap, ys, xs), np.where(swap, xs, ys)
-        return xs[g["open"][xs]], ys[g["open"][xs]]
+        ok = g["open"][xs]
+        return xs[ok], ys[ok], differ[ok]
 
     def compare(g: dict[str, np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs within groups of equal number, whose rows come by size."""
@@ -158,10 +166,10 @@ def _partners(percent: int, every: bool):
                 found.append(passing(g, at[a : a + _SPAN], at[a : a + _SPAN] - step))
             step += 1
             at = at[at - step >= first[at]]
-        xs, ys = (np.concatenate(v) for v in zip(*found)) if found else (rows[:0], rows[:0])
+        xs, ys, differ = (np.concatenate(v) for v in zip(*found)) if found else (rows[:0],) * 3
         if every or not len(xs):
             return g["cls"][xs], g["cls"][ys]
-        order = np.lexsort((ys, xs))
+        order = np.lexsort((ys, differ, xs))
         xs, ys = xs[order], ys[order]
         nth = np.arange(len(xs)) - np.maximum.accumulate(np.where(np.diff(xs, prepend=-1) > 0, np.arange(len(xs)), 0))
         more = g["cls"][xs[nth == FEW]]  # a pair with itself says that there are more
@@ -197,17 +205,17 @@ def _partners(percent: int, every: bool):
     return run
 
 
-def _sets(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
+def _sets(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
     """cls64 and set of the wanted lines (an array `want` beside each text)."""
-    shipped = docs.sparkSession.sparkContext.broadcast(heavy)
+    shipped = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = shipped.value
+        rarity = shipped.value
         for batch in batches:
             cls, sets, size = [], [], 0
             for text, want in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
                 want = set(want)
-                lines, first, code = _tokens(text, heavy)
+                lines, first, code = _tokens(text, rarity)
                 for line, s in zip(lines.tolist(), np.split(code, first[1:])):
                     if line in want:
                         cls.append(int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "big", signed=True))
@@ -227,8 +235,8 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     docs: columns doc, th and text.
     """
     spark = docs.sparkSession
-    heavy = _heavy(docs.select("text"))
-    lines = written(_lines(docs, heavy, percent), "lines")
+    rarity = _rarity(docs.select("text"))
+    lines = written(_lines(docs, rarity, percent), "lines")
     first = lines.groupBy("cls").agg(F.min(F.struct("doc", "th", "line")).alias("f"), F.first("n").alias("n"), F.first("maps").alias("maps"), F.first("prefix").alias("prefix"))
     cls64 = F.conv(F.hex(F.substring("cls", 1, 8)), 16, -10).cast("long")
     placed = F.transform("prefix", lambda t, i: F.struct(i.alias("pos"), t.alias("token")))
@@ -239,6 +247,7 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     tidy(spark)
 
     hot = first.filter(F.pmod("cls64", F.lit(SAMPLE)) == 0).select(F.explode("prefix.token").alias("token")).groupBy("token").count().filter(F.col("count") * SAMPLE > BLOCK).select("token", F.ceil(F.col("count") * SAMPLE / BLOCK).cast("int").alias("blocks"))
+    hot = written(hot, "lines-hot")  # broadcast while its files are small
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
 
     def dealt(classes: DataFrame) -> DataFrame:
@@ -261,7 +270,7 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("cls64")).distinct()
         want = first.join(ids, "cls64").groupBy("f.doc", "f.th").agg(F.collect_list("f.line").alias("want"))
         texts = docs.join(want.withColumnsRenamed({"doc": "doc_", "th": "th_"}), F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("th") == F.col("th_"))).select("text", "want")
-        sets = written(_sets(texts, heavy), "lines-sets")
+        sets = written(_sets(texts, rarity), "lines-sets")
         both = F.size(F.array_intersect("sa", "sb"))
         full = pairs.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
         full = full.select("a", "b", both.alias("x"), (F.size("sa") + F.size("sb")).alias("t"))
@@ -274,16 +283,13 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     pairs = matched = None
     for k in range(PASSES):  # a pass for each part of the tokens bounds what the shuffle has on disk at once
-        some = first.withColumn("prefix", F.filter("prefix", lambda t: F.pmod(t["token"], F.lit(PASSES)) == k))
-        if matched is None:
-            some = some.withColumn("open", F.lit(True))
-        else:  # a class that has a match needs no other
-            some = some.join(matched.select(F.col("a").alias("cls64"), F.lit(False).alias("open")), "cls64", "left").withColumn("open", F.coalesce("open", F.lit(True)))
+        some = first.withColumn("prefix", F.filter("prefix", lambda t: F.pmod(t["token"], F.lit(PASSES)) == k)).withColumn("open", F.lit(True))
         part = written(dealt(some).mapInArrow(_partners(percent, False), "a long, b long").distinct(), "lines-pairs")
         tidy(spark)
-        new = verified(part.filter("a != b") if pairs is None else part.filter("a != b").join(pairs, ["a", "b"], "left_anti"))
+        # a class that has a match needs no other
+        new = verified(part.filter("a != b") if pairs is None else part.filter("a != b").join(matched, "a", "left_anti").join(pairs, ["a", "b"], "left_anti"))
         pairs = part if pairs is None else pairs.unionByName(part)
-        matched = new if matched is None else matched.unionByName(new).distinct()
+        matched = new if matched is None else matched.unionByName(new)
     pairs = pairs.distinct()
     again = pairs.filter("a = b").select("a").join(matched, "a", "left_anti")
     if again.limit(1).count():
