@@ -51,7 +51,9 @@ def _tokens(text: bytes, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         return np.zeros(0, np.int64), np.zeros(0, np.int64), h
     code = rarity[(h % np.uint64(BUCKETS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8)
     line = np.searchsorted(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), starts)
-    order = np.lexsort((code, line))
+    order = np.argsort(code)
+    # 16-bit numbers are sorted by radix
+    order = order[np.argsort(line[order].astype(np.uint16) if line[-1] < 1 << 16 else line[order], kind="stable")]
     code, line = code[order], line[order]
     new = np.ones(len(code), bool)
     new[1:] = (code[1:] != code[:-1]) | (line[1:] != line[:-1])
@@ -134,7 +136,7 @@ def _lines(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
 
 
 def _partners(percent: int, every: bool):
-    """For rows sorted by token and block pair: possible partners of each class; (d, l) is the classes' order."""
+    """For rows sorted by token and block pair: possible partners of each class; d is the id of its first line's document."""
 
     def passing(g: dict[str, np.ndarray], xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The pairs of rows that no bound rules out, the later class first, and the maps' differing bits."""
@@ -147,14 +149,17 @@ def _partners(percent: int, every: bool):
         ok = (np.minimum(nx - g["pos"][xs], ny - g["pos"][ys]) >= need)
         ok &= g["own"][xs] | (g["side"][xs] != g["side"][ys])
         xs, ys, differ = xs[ok], ys[ok], differ[ok]
-        x, y = ({c: g[c][k] for c in "dl"} for k in (xs, ys))
-        swap = (x["d"] < y["d"]) | (x["d"] == y["d"]) & (x["l"] < y["l"])
+        x, y = ({"d": g["d"][k]} for k in (xs, ys))
+        swap, same = x["d"] < y["d"], x["d"] == y["d"]
         xs, ys = np.where(swap, ys, xs), np.where(swap, xs, ys)
+        # of one id: which is later is seen when the pair is verified
+        xs, ys, differ = np.concatenate((xs, ys[same])), np.concatenate((ys, xs[same])), np.concatenate((differ, differ[same]))
         ok = g["open"][xs]
         return xs[ok], ys[ok], differ[ok]
 
-    def compare(g: dict[str, np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs within groups of equal number, whose rows come by size."""
+    def compare(g: dict[str, np.ndarray], group: np.ndarray) -> list[np.ndarray]:
+        """Pairs within groups of equal number, whose rows come by size: a, b, and their differing bits. A pair of a class
+        with itself says that it has more partners, and has the token in place of bits."""
         rows = np.arange(len(group))
         first = np.maximum.accumulate(np.where(np.diff(group, prepend=-1) > 0, rows, 0))
         found = []
@@ -168,12 +173,12 @@ def _partners(percent: int, every: bool):
             at = at[at - step >= first[at]]
         xs, ys, differ = (np.concatenate(v) for v in zip(*found)) if found else (rows[:0],) * 3
         if every or not len(xs):
-            return g["cls"][xs], g["cls"][ys]
+            return [g["cls"][xs], g["cls"][ys], differ.astype(np.int64)]
         order = np.lexsort((ys, differ, xs))
-        xs, ys = xs[order], ys[order]
+        xs, ys, differ = xs[order], ys[order], differ[order]
         nth = np.arange(len(xs)) - np.maximum.accumulate(np.where(np.diff(xs, prepend=-1) > 0, np.arange(len(xs)), 0))
-        more = g["cls"][xs[nth == FEW]]  # a pair with itself says that there are more
-        return np.concatenate((g["cls"][xs[nth < FEW]], more)), np.concatenate((g["cls"][ys[nth < FEW]], more))
+        few, more = nth < FEW, xs[nth == FEW]
+        return [np.concatenate(v) for v in ((g["cls"][xs[few]], g["cls"][more]), (g["cls"][ys[few]], g["cls"][more]), (differ[few].astype(np.int64), g["token"][more]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -184,10 +189,10 @@ def _partners(percent: int, every: bool):
             met = np.bincount(group)[group] > 1
             g = {c: v[met] for c, v in part.items()}
             at, size = g.pop("at"), g.pop("size")
-            g |= {"own": at >> 49 == at >> 34 & 0x7FFF, "side": size >> 1 & 1, "open": (size & 1).astype(bool), "pos": size >> 2 & 0xFFFFFFFF, "l": size >> 34, "n": at & 0x3FFFFFFFF}
-            a, b = compare(g, group[met])
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            g |= {"own": at >> 49 == at >> 34 & 0x7FFF, "side": size >> 1 & 1, "open": (size & 1).astype(bool), "pos": size >> 2, "n": at & 0x3FFFFFFFF}
+            found = compare(g, group[met])
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], ["a", "b", "d"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -206,27 +211,30 @@ def _partners(percent: int, every: bool):
 
 
 def _sets(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
-    """cls64 and set of the wanted lines (an array `want` beside each text)."""
+    """cls, set and place of the wanted lines (an array `want` beside doc, th and each text)."""
     shipped = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shipped.value
         for batch in batches:
-            cls, sets, size = [], [], 0
-            for text, want in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
-                want = set(want)
+            rows, size = [], 0
+            for i, (text, want) in enumerate(zip(utf8(batch.column(2)), batch.column(3).to_pylist())):
                 lines, first, code = _tokens(text, rarity)
-                for line, s in zip(lines.tolist(), np.split(code, first[1:])):
-                    if line in want:
-                        cls.append(int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "big", signed=True))
-                        sets.append(signed(s))
-                        size += len(s)
-                if size > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["cls", "s"])
-                    cls, sets, size = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["cls", "s"])
+                ends = np.append(first[1:], len(code))
+                for k in np.flatnonzero(np.isin(lines, want)).tolist():
+                    rows.append((i, int(lines[k]), code[first[k] : ends[k]]))
+                    size += len(rows[-1][2])
+                if size > 1 << 20 or i + 1 == batch.num_rows:
+                    yield pack(batch, rows)
+                    rows, size = [], 0
+
+    def pack(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        who = pa.array([r[0] for r in rows], pa.int64())
+        cls = [int.from_bytes(xxhash.xxh3_128_digest(r[2].tobytes())[:8], "big", signed=True) for r in rows]
+        sets = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[2]) for r in rows)]).astype(np.int32)), pa.array(signed(np.concatenate([np.zeros(0, np.uint64), *(r[2] for r in rows)]))))
+        return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), sets, batch.column(0).take(who), batch.column(1).take(who), pa.array([r[1] for r in rows], pa.int32())], ["cls", "s", "doc", "th", "line"])
 
-    return docs.select("text", "want").mapInArrow(run, "cls long, s array<long>")
+    return docs.select("doc", "th", "text", "want").mapInArrow(run, "cls long, s array<long>, doc long, th long, line int")
 
 
 def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -250,56 +258,67 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     hot = written(hot, "lines-hot")  # broadcast while its files are small
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
 
-    def dealt(classes: DataFrame) -> DataFrame:
-        rows = classes.select("cls64", "f", "n", "maps", "open", F.explode("prefix").alias("e")).select("*", "e.pos", "e.token").join(hot, "token", "left")
-        rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("blk", F.pmod("cls64", F.col("blocks")).cast("int"))
+    def dealt(part: int, again: DataFrame | None = None) -> DataFrame:
+        """The classes at their tokens, of which `part` takes one in PASSES; with `again`, at its tokens only."""
+        some = F.filter("prefix", lambda t: F.pmod(t["token"], F.lit(PASSES)) == part)
+        rows = first.select("cls64", "f", "n", "maps", F.explode(some).alias("e")).select("cls64", "f.doc", "n", "maps", "e.pos", "e.token")
+        if again is None:
+            rows = rows.withColumn("open", F.lit(1))
+        else:
+            rows = rows.join(written(again.select("token").distinct(), "lines-tokens"), "token")
+            rows = rows.join(again.select("cls64").distinct().withColumn("open", F.lit(1)), "cls64", "left").withColumn("open", F.coalesce("open", F.lit(0)))
+        rows = rows.join(hot, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("blk", F.pmod("cls64", F.col("blocks")).cast("int"))
         rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
         def bits(c, shift: int):
             return F.shiftleft(c.cast("long"), shift)
 
-        # seven numbers a row: at is i, j (blocks) and the size, so that rows come by size; size is the line, the token's
-        # position, the row's side and whether it is open
+        # seven numbers a row: at is i, j (blocks) and the size, so that rows come by size; size is the token's position,
+        # the row's side and whether it is open
         at = bits(F.least("blk", "o"), 49) + bits(F.greatest("blk", "o"), 34) + F.col("n")
-        size = bits(F.col("f.line"), 34) + bits(F.col("pos"), 2) + bits(F.col("blk") > F.col("o"), 1) + F.col("open").cast("long")
-        rows = rows.select("token", at.alias("at"), F.col("cls64").alias("cls"), F.coalesce("f.doc", F.lit(-(1 << 62))).alias("d"), size.alias("size"), F.col("maps")[0].alias("m0"), F.col("maps")[1].alias("m1"))
+        size = bits(F.col("pos"), 2) + bits(F.col("blk") > F.col("o"), 1) + F.col("open").cast("long")
+        rows = rows.select("token", at.alias("at"), F.col("cls64").alias("cls"), F.coalesce("doc", F.lit(-(1 << 62))).alias("d"), size.alias("size"), F.col("maps")[0].alias("m0"), F.col("maps")[1].alias("m1"))
         return rows.repartition(parts, "token", F.shiftrightunsigned("at", 34)).sortWithinPartitions("token", "at")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs' later classes that do match."""
+    def sets_of(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("cls64")).distinct()
         want = first.join(ids, "cls64").groupBy("f.doc", "f.th").agg(F.collect_list("f.line").alias("want"))
-        texts = docs.join(want.withColumnsRenamed({"doc": "doc_", "th": "th_"}), F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("th") == F.col("th_"))).select("text", "want")
-        sets = written(_sets(texts, rarity), "lines-sets")
-        both = F.size(F.array_intersect("sa", "sb"))
-        full = pairs.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
-        full = full.select("a", "b", both.alias("x"), (F.size("sa") + F.size("sb")).alias("t"))
-        link = full.filter(100 * F.col("x") >= percent * (F.col("t") - F.col("x"))).select("a", "b")
-        order = [first.select(F.col("cls64").alias(c), F.col("f").alias(f"f{c}")) for c in "ab"]
-        out = written(link.join(order[0], "a").join(order[1], "b").select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("a")).distinct(), "lines-matched")
+        texts = docs.join(want.withColumnsRenamed({"doc": "doc_", "th": "th_"}), F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("th") == F.col("th_"))).select("doc", "th", "text", "want")
+        # rows that repeat give the same sets again
+        out = written(_sets(texts, rarity), "lines-sets")
         tidy(spark)
-        remove(spark, sets)
         return out
 
-    pairs = matched = None
-    for k in range(PASSES):  # a pass for each part of the tokens bounds what the shuffle has on disk at once
-        some = first.withColumn("prefix", F.filter("prefix", lambda t: F.pmod(t["token"], F.lit(PASSES)) == k)).withColumn("open", F.lit(True))
-        part = written(dealt(some).mapInArrow(_partners(percent, False), "a long, b long").distinct(), "lines-pairs")
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The later classes of the pairs that do match."""
+        sides = [sets.select(F.col("cls").alias(c), F.col("s").alias(f"s{c}"), F.struct("doc", "th", "line").alias(f"f{c}")) for c in "ab"]
+        both = F.size(F.array_intersect("sa", "sb"))
+        full = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "fa", "fb", both.alias("x"), (F.size("sa") + F.size("sb")).alias("t"))
+        link = full.filter(100 * F.col("x") >= percent * (F.col("t") - F.col("x")))
+        out = written(link.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("a")).distinct(), "lines-matched")
         tidy(spark)
-        # a class that has a match needs no other
-        new = verified(part.filter("a != b") if pairs is None else part.filter("a != b").join(matched, "a", "left_anti").join(pairs, ["a", "b"], "left_anti"))
-        pairs = part if pairs is None else pairs.unionByName(part)
-        matched = new if matched is None else matched.unionByName(new)
-    pairs = pairs.distinct()
-    again = pairs.filter("a = b").select("a").join(matched, "a", "left_anti")
+        return out
+
+    def search(again: DataFrame | None = None) -> DataFrame:
+        out = None
+        for k in range(PASSES):  # a pass for each part of the tokens bounds what the shuffle has on disk at once
+            part = written(dealt(k, again).mapInArrow(_partners(percent, again is not None), "a long, b long, d long"), "lines-pairs")
+            tidy(spark)
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    found = search()
+    pairs = written(found.filter("a != b").groupBy("a", "b").agg(F.min("d").alias("d")), "lines-pairs")
+    sets = sets_of(pairs)
+    # a class that matches its likeliest partner needs no other
+    best = pairs.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    matched = verified(best, sets)
+    matched = matched.unionByName(verified(pairs.select("a", "b").join(matched, "a", "left_anti").join(best, ["a", "b"], "left_anti"), sets))
+    remove(spark, sets)
+    again = written(found.filter("a = b").join(matched, "a", "left_anti").select(F.col("a").alias("cls64"), F.col("d").alias("token")), "lines-again")
     if again.limit(1).count():
-        # only classes of a length that can match theirs are dealt again
-        again = written(again, "lines-again")
-        flagged = first.join(again.select(F.col("a").alias("cls64"), F.lit(True).alias("open")), "cls64", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        low, high = flagged.filter("open").agg(F.min("n"), F.max("n")).first()
-        flagged = flagged.filter((100 * F.col("n") >= percent * low) & (percent * F.col("n") <= 100 * high))
-        more = written(dealt(flagged).mapInArrow(_partners(percent, True), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "lines-pairs")
-        matched = matched.unionByName(verified(more))
+        more = written(search(again).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "lines-pairs")
+        matched = matched.unionByName(verified(more, sets_of(more)))
     lost = first.join(matched.withColumnRenamed("a", "cls64").distinct().withColumn("lost", F.lit(True)), "cls64", "left").select("cls", "f", F.coalesce("lost", F.lit(False)).alias("lost"))
     gone = lines.select("doc", "th", "line", "cls").join(lost, "cls").filter(F.col("lost") | (F.struct("doc", "th", "line") != F.col("f")))
     return gone.groupBy("doc", "th").agg(F.array_distinct(F.collect_list("line")).alias("gone"))
