@@ -24,10 +24,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import LOWER, mix, remove, signed, tidy, utf8, words, written
 
@@ -39,9 +41,23 @@ BLOCK, SAMPLE = 20_000, 64
 PASSES = 3
 #: Possible partners of a class that a token hands on before any is verified.
 FEW = 2
+#: Bytes of text from which array operations are shared.
+GROUP = 1 << 18
 _SPAN = 1 << 16
 
 
+def _groups(column: pa.Array) -> Iterator[tuple[list[int], np.ndarray, bytes]]:
+    """Rows, the number of each one's first line, and their texts joined by newlines: short texts share array operations."""
+    rows, texts, size = [], [], 0
+    for i, text in enumerate(utf8(column)):
+        rows.append(i)
+        texts.append(text)
+        size += len(text)
+        if size > GROUP or i + 1 == len(column):
+            yield rows, np.cumsum([0, *(t.count(b"\n") + 1 for t in texts)]), b"\n".join(texts)
+            rows, texts, size = [], [], 0
+
+
 def _tokens(text: bytes, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of the lines that have words, where each one's words begin, and all lines' distinct words as 64-bit codes
     in the order of rarity."""
@@ -69,13 +85,8 @@ def _rarity(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            held, size = [], 0
-            for i, text in enumerate(utf8(batch.column(0))):
-                held.append((words(text.translate(LOWER))[2] % np.uint64(BUCKETS)).astype(np.int64))
-                size += len(held[-1])
-                if size > 1 << 20 or i + 1 == batch.num_rows:
-                    total += np.bincount(np.concatenate(held), minlength=BUCKETS)
-                    held, size = [], 0
+            for _, _, text in _groups(batch.column(0)):
+                np.add.at(total, (words(text.translate(LOWER))[2] % np.uint64(BUCKETS)).astype(np.int64), 1)
         yield from rows(dict(enumerate(total.reshape(CHUNKS, -1))))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,22 +115,13 @@ def _lines(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shipped.value
         for batch in batches:
-            held, count = [], 0
-            for i, text in enumerate(utf8(batch.column(2))):
+            for rows, starts, text in _groups(batch.column(2)):
                 line, first, code = _tokens(text, rarity)
                 if len(line):
-                    held.append((i, line, first, code))
-                    count += len(code)
-                if count > 1 << 20:
-                    yield pack(batch, held)
-                    held, count = [], 0
-            if held:
-                yield pack(batch, held)
-
-    def pack(batch: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
-        line, code = (np.concatenate([h[k] for h in held]) for k in (1, 3))
-        shift = np.cumsum([0, *(len(h[3]) for h in held)])
-        first = np.concatenate([h[2] + s for h, s in zip(held, shift)])
+                    at = np.searchsorted(starts, line, "right") - 1
+                    yield pack(batch, pa.array(np.array(rows)[at]), line - starts[at], first, code)
+
+    def pack(batch: pa.RecordBatch, who: pa.Array, line: np.ndarray, first: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
         n = np.diff(first, append=len(code))
         bit = mix(code) % np.uint64(126)
         one = np.uint64(1) << bit % np.uint64(63)
@@ -129,7 +131,6 @@ def _lines(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
         size = n + (-percent * n // 100) + 1
         head = np.arange(len(code)) - np.repeat(first, n) < np.repeat(size, n)
         lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(signed(flat))) for ends, flat in ((2 * np.arange(len(n) + 1), maps.ravel()), (np.concatenate(([0], np.cumsum(size))), code[head]))]
-        who = pa.array(np.repeat([h[0] for h in held], [len(h[1]) for h in held]))
         return pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(line.astype(np.int32)), pa.array(cls, pa.binary()), pa.array(n.astype(np.int32)), *lists], ["doc", "th", "line", "cls", "n", "maps", "prefix"])
 
     return docs.mapInArrow(run, _LINES)
@@ -217,16 +218,14 @@ def _sets(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shipped.value
         for batch in batches:
-            rows, size = [], 0
-            for i, (text, want) in enumerate(zip(utf8(batch.column(2)), batch.column(3).to_pylist())):
+            wanted = batch.column(3).to_pylist()
+            for rows, starts, text in _groups(batch.column(2)):
                 lines, first, code = _tokens(text, rarity)
                 ends = np.append(first[1:], len(code))
-                for k in np.flatnonzero(np.isin(lines, want)).tolist():
-                    rows.append((i, int(lines[k]), code[first[k] : ends[k]]))
-                    size += len(rows[-1][2])
-                if size > 1 << 20 or i + 1 == batch.num_rows:
-                    yield pack(batch, rows)
-                    rows, size = [], 0
+                want = [starts[k] + n for k, i in enumerate(rows) for n in wanted[i]]
+                found = np.flatnonzero(np.isin(lines, want))
+                at = np.searchsorted(starts, lines[found], "right") - 1
+                yield pack(batch, [(rows[r], n, code[first[k] : ends[k]]) for k, r, n in zip(found.tolist(), at.tolist(), (lines[found] - starts[at]).tolist())])
 
     def pack(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
         who = pa.array([r[0] for r in rows], pa.int64())
@@ -247,21 +246,20 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     lines = written(_lines(docs, rarity, percent), "lines")
     first = lines.groupBy("cls").agg(F.min(F.struct("doc", "th", "line")).alias("f"), F.first("n").alias("n"), F.first("maps").alias("maps"), F.first("prefix").alias("prefix"))
     cls64 = F.conv(F.hex(F.substring("cls", 1, 8)), 16, -10).cast("long")
-    placed = F.transform("prefix", lambda t, i: F.struct(i.alias("pos"), t.alias("token")))
-    first = written(first.select("cls", cls64.alias("cls64"), "f", "n", "maps", "prefix"), "lines-classes").withColumn("prefix", placed)
+    first = written(first.select("cls", cls64.alias("cls64"), "f", "n", "maps", "prefix"), "lines-classes")
     slim = written(lines.select("doc", "th", "line", "cls"), "lines-slim")
     remove(spark, lines)
     lines = slim
     tidy(spark)
 
-    hot = first.filter(F.pmod("cls64", F.lit(SAMPLE)) == 0).select(F.explode("prefix.token").alias("token")).groupBy("token").count().filter(F.col("count") * SAMPLE > BLOCK).select("token", F.ceil(F.col("count") * SAMPLE / BLOCK).cast("int").alias("blocks"))
+    hot = first.filter(F.pmod("cls64", F.lit(SAMPLE)) == 0).select(F.explode("prefix").alias("token")).groupBy("token").count().filter(F.col("count") * SAMPLE > BLOCK).select("token", F.ceil(F.col("count") * SAMPLE / BLOCK).cast("int").alias("blocks"))
     hot = written(hot, "lines-hot")  # broadcast while its files are small
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
 
     def dealt(part: int, again: DataFrame | None = None) -> DataFrame:
         """The classes at their tokens, of which `part` takes one in PASSES; with `again`, at its tokens only."""
-        some = F.filter("prefix", lambda t: F.pmod(t["token"], F.lit(PASSES)) == part)
-        rows = first.select("cls64", "f", "n", "maps", F.explode(some).alias("e")).select("cls64", "f.doc", "n", "maps", "e.pos", "e.token")
+        rows = first.select("cls64", "f.doc", "n", F.col("maps")[0].alias("m0"), F.col("maps")[1].alias("m1"), F.posexplode("prefix").alias("pos", "token"))
+        rows = rows.filter(F.pmod("token", F.lit(PASSES)) == part)
         if again is None:
             rows = rows.withColumn("open", F.lit(1))
         else:
@@ -277,7 +275,7 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         # the row's side and whether it is open
         at = bits(F.least("blk", "o"), 49) + bits(F.greatest("blk", "o"), 34) + F.col("n")
         size = bits(F.col("pos"), 2) + bits(F.col("blk") > F.col("o"), 1) + F.col("open").cast("long")
-        rows = rows.select("token", at.alias("at"), F.col("cls64").alias("cls"), F.coalesce("doc", F.lit(-(1 << 62))).alias("d"), size.alias("size"), F.col("maps")[0].alias("m0"), F.col("maps")[1].alias("m1"))
+        rows = rows.select("token", at.alias("at"), F.col("cls64").alias("cls"), F.coalesce("doc", F.lit(-(1 << 62))).alias("d"), size.alias("size"), "m0", "m1")
         return rows.repartition(parts, "token", F.shiftrightunsigned("at", 34)).sortWithinPartitions("token", "at")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
@@ -324,16 +322,27 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     return gone.groupBy("doc", "th").agg(F.array_distinct(F.collect_list("line")).alias("gone"))
 
 
+@F.pandas_udf(StringType())
+def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
+    """Texts without their lines of these numbers, in time linear in both."""
+    out = []
+    for t, g in zip(text, gone):
+        if t is not None and g is not None:
+            lost = set(g.tolist())
+            t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in lost)
+        out.append(t)
+    return pd.Series(out, dtype=object)
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """docs with the text shortened by its removed lines (and their newlines), n_lines and n_removed."""
     named = docs.withColumn("__th", F.xxhash64(text_col))
     gone = written(removed_lines(named.select(F.col(id_col).cast("long").alias("doc"), F.col("__th").alias("th"), F.col(text_col).alias("text")), percent), "lines-gone")
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     out = named.select(*own, "__th").join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("doc")) & (F.col("__th") == F.col("th")), "left")
-    split = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(split, lambda x, i: ~F.array_contains("gone", i))
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    counted = out.withColumn("n_lines", F.when(F.coalesce(F.length(text_col), F.lit(0)) > 0, F.size(split)).otherwise(0).cast("long")).withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
+    breaks = F.octet_length(text_col) - F.octet_length(F.replace(text_col, F.lit("\n")))
+    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col("gone")))
+    counted = out.withColumn("n_lines", F.when(F.coalesce(F.length(text_col), F.lit(0)) > 0, breaks + 1).otherwise(0).cast("long")).withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
     return counted.select(*[text.alias(c) if c == text_col else c for c in own], "n_lines", "n_removed")
 
 
