@@ -4,8 +4,10 @@ A document's set is its distinct shingles of k words. One pass hashes every shin
 choose one of 128 bins and a bin keeps its least hash. An empty bin takes over the value of another bin, found by a
 sequence of random probes of its own (optimal densification). Bands of four bins name buckets. Documents with equal
 sets are one class before anything is paired. In a bucket one class is the centre and is paired with the others
-(a star), never all with all; pairs are verified on the full sets. Further rounds draw other centres in buckets
-whose classes aren't yet one component, until a round links nothing new and small buckets have no untested pair.
+(a star); pairs are verified on the full sets. Further rounds draw other centres in buckets whose classes aren't yet
+one component, until a round links nothing new. Then every pair that shares a bucket and isn't of one component is
+tested: in small buckets by a join from the second round on, in larger ones at the end. There the classes outside a
+bucket's largest component meet all its classes in blocks of bounded size, which count intersections exactly.
 
 Defined results: null, empty and blank texts have the empty set (n = 0) and link with nothing. A row with a null id
 links with nothing. Repeated rows each keep their row. Other columns are ignored.
@@ -24,8 +26,12 @@ from pyspark.sql import functions as F
 from .common import LOWER, components, mix, remove, signed, tidy, utf8, words, written
 
 BINS, ROWS, PROBES = 128, 4, 256
-#: In buckets up to this size every pair of classes is tested in the end; larger ones go on with stars.
+#: In buckets up to this size pairs are tested by a join; larger ones go on with stars and end in blocks.
 SMALL = 6
+#: Weight of a block: its sets' sizes and EACH for every class.
+BLOCK, EACH = 1 << 18, 256
+#: Shingles with more pairs than this in a block are counted by a matrix product, the others one by one.
+HEAVY = 4096
 _rng = np.random.default_rng(20240229)
 _PROBE = _rng.integers(0, BINS, (BINS, PROBES))
 _ODD = _rng.integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,10 +100,84 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "cls binary, s array<long>")
 
 
+def _overlap(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left set with each right set."""
+    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+    _, code = np.unique(np.concatenate(left + right), return_inverse=True)
+    cut = sizes[0].sum()
+    a, b = code[:cut], code[cut:]
+    row, col = (np.repeat(np.arange(len(n)), n) for n in sizes)
+    da, db = (np.bincount(x, minlength=code.max() + 1) for x in (a, b))
+    out = np.zeros(len(left) * len(right), np.int64)
+    heavy = da * db > HEAVY
+    light = ~heavy[a] & (db[a] > 0)
+    if light.any():
+        col_by = col[np.argsort(b, kind="stable")]
+        times = db[a[light]]
+        ends = np.cumsum(times)
+        at = np.arange(ends[-1]) + np.repeat((np.cumsum(db) - db)[a[light]] - ends + times, times)
+        out += np.bincount(np.repeat(row[light], times) * len(right) + col_by[at], minlength=len(out))
+    out = out.reshape(len(left), len(right))
+    if heavy.any():
+        place = np.cumsum(heavy) - 1
+        x, y = (np.zeros((len(n), heavy.sum()), np.float32) for n in sizes)
+        for m, who, c in ((x, row, a), (y, col, b)):
+            m[who[heavy[c]], place[c[heavy[c]]]] = 1
+        out += np.rint(x @ y.T).astype(np.int64)
+    return out
+
+
+def _linked(percent: int):
+    """The links of a block's first side with its second, as edges to one class of each linked group."""
+
+    def run(g: pa.Table) -> pa.Table:
+        g = g.combine_chunks()
+        first = np.flatnonzero(g.column("first").to_numpy())
+        second = np.flatnonzero(~g.column("first").to_numpy())
+        a = b = np.zeros(0, np.int64)
+        if len(first) and len(second):
+            lists = g.column("s").combine_chunks()
+            sets = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1])
+            n = np.array([len(s) for s in sets])
+            comp = np.unique(np.array(g.column("comp").to_pylist(), object), return_inverse=True)[1]
+            both = _overlap([sets[i] for i in first], [sets[i] for i in second])
+            link = (100 * both >= percent * (n[first][:, None] + n[second] - both)) & (comp[first][:, None] != comp[second])
+            x, y = np.flatnonzero(link.any(1)), np.flatnonzero(link.any(0))
+            if len(x):
+                link = link[np.ix_(x, y)]
+                root = np.arange(len(x))
+                while True:  # least index over the links, until it stays
+                    near = np.where(link, root[:, None], len(x)).min(0)
+                    new = np.minimum(root, np.where(link, near, len(x)).min(1))
+                    new = new[new]
+                    if (new == root).all():
+                        break
+                    root = new
+                a, b = np.concatenate((first[x], second[y])), first[x][np.concatenate((root, near))]
+        cls = g.column("cls").combine_chunks()
+        return pa.table({"a": cls.take(pa.array(a)), "b": cls.take(pa.array(b))})
+
+    return run
+
+
+def _rest(member: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, above: int) -> DataFrame:
+    """Edges between the components that share a bucket of more than `above` classes."""
+    now = member.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"), (F.col("n") + EACH).alias("w"))
+    each = now.groupBy("key", "comp").agg(F.count("*").alias("m"), F.sum("w").alias("w"))
+    open_ = each.groupBy("key").agg(F.sum("m").alias("size"), F.count("*").alias("parts"), F.sum("w").alias("all"), F.max(F.struct("w", "comp")).alias("top"))
+    open_ = open_.filter((F.col("size") > above) & (F.col("parts") > 1)).select("key", F.col("top.comp").alias("big"), F.ceil((F.col("all") - F.col("top.w")) / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("cols"))
+    met = now.join(open_, "key").withColumn("h", F.xxhash64("cls", F.lit(1)))
+    few = met.filter("comp != big").select("key", "cls", "comp", F.expr("pmod(h, rows)").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), F.lit(True).alias("first"))
+    every = met.select("key", "cls", "comp", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.expr("pmod(h, cols)").cast("int").alias("j"), F.lit(False).alias("first"))
+    dealt = few.unionByName(every).join(sets, "cls")
+    return dealt.groupBy("key", "i", "j").applyInArrow(_linked(percent), "a binary, b binary").filter("a != b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, max_rounds: int = 12) -> DataFrame:
     """One row per document: id, n, cls, component (smallest id reachable over links), kept.
 
-    Two documents are linked if 100 * |intersection| >= percent * |union| of their sets.
+    Two documents are linked if 100 * |intersection| >= percent * |union| of their sets. After max_rounds star rounds
+    at the latest, all pairs left are tested.
     """
     spark = docs.sparkSession
     sig = written(signatures(docs, id_col, text_col, k), "minhash-sig")
@@ -131,13 +211,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = F.size(F.array_intersect("sa", "sb"))
         verdict = written(full.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("t")).select("a", "b", (100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).alias("link")).distinct(), "minhash-pairs")
         tidy(spark)
-        done, linked = verdict.agg(F.count("*"), F.count_if("link")).first()
+        linked = verdict.filter("link").count()
         tested = verdict if tested is None else tested.unionByName(verdict)
         if linked:
             edges = tested.filter("link").select("a", "b")
             comp = written(components(edges, "minhash-comp"), "minhash-comp")
-        if not done or r and not linked:
+        if r and not linked:
             break
+    more = written(_rest(member, comp, sets, percent, SMALL if r else 1), "minhash-rest")
+    tidy(spark)
+    if not more.isEmpty():
+        edges = more if edges is None else edges.unionByName(more)
+        comp = written(components(edges, "minhash-comp"), "minhash-comp")
     remove(spark, sets)
     named = classes.select("cls", "id").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = named.groupBy("comp").agg(F.min("id").alias("component"))

@@ -81,6 +81,28 @@ def test_minhash_edge_cases(spark):
     assert minhash.near_duplicates(odd_docs(spark, True)).count() == 0
 
 
+def test_minhash_links_every_copy_of_an_original_in_the_middle(spark):
+    """Each copy links with the original (180 / 220 shingles), hardly any two copies with each other."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(203)]
+    rows = []
+    for i in range(2000):
+        copy, slots = list(base), rng.sample(range(33), 5)
+        for j in slots if i != 1000 else []:
+            copy[3 + 6 * j] = f"x{i}_{j}"
+        rows.append((i, " ".join(copy)))
+    rows += [(5000 + i, " ".join(f"y{i}_{j}" for j in range(50))) for i in range(50)]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k=4).collect()
+    assert {r.component for r in out if r.id < 5000} == {0} and all(r.component == r.id for r in out if r.id >= 5000)
+
+
+def test_overlap_counts_rare_and_common_shingles():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 400, 60)) for _ in range(150)] + [np.unique(np.append(rng.integers(1000, 90000, 80), 7)) for _ in range(50)]
+    got = minhash._overlap(sets[:90], sets[60:])
+    assert (got == [[len(np.intersect1d(a, b)) for b in sets[60:]] for a in sets[:90]]).all()
+
+
 def test_densification_fills_every_bin():
     for n in (1, 2, 5, 1000):
         assert len(minhash.bands(np.sort(np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64)))) == 32
