@@ -97,6 +97,15 @@ def test_clustering(spark):
     assert clustering.search_range(300) == (10, 30, 300) and clustering.best_k(df, 2, 6)[0] == 3
 
 
+def test_best_k_of_an_empty_range_and_between_grid_points(spark):
+    x = np.repeat(np.eye(13), 20, 0) + np.random.default_rng(0).normal(0, 0.01, (260, 13))
+    df = spark.createDataFrame([(i, f"t{i}", r.tolist()) for i, r in enumerate(x)], "doc_idx long, title string, embedding array<double>").cache()
+    low, high, _ = clustering.search_range(2550)
+    assert clustering.best_k(df, low, high) == (51, -1.0)
+    # the grid 10, 15, 20 ... of 500 rows
+    assert clustering.best_k(df, *clustering.search_range(500)[:2])[0] == 13
+
+
 def test_ingest_rules(spark):
     assert ingest.check_config(["a", "b", "c"], 70, 50) and not ingest.check_config(["a", "b", "c"], 10, 100)
     for bad in ((["a"], 10, 100), (["a", "b", "c"], 71, 100), (["a", "b", "c"], 10, 49)):
