@@ -231,9 +231,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that another of their component stands for; all columns stay."""
-    gone = near_duplicates(docs, id_col, text_col, k, percent).filter(~F.col("kept")).select(F.col("id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti")
+    """docs without the rows that another of their component stands for; all columns stay.
+
+    Rows of one id are judged by their own texts; rows with a null id stay.
+    """
+    gone = written(near_duplicates(docs, id_col, text_col, k, percent).filter(~F.col("kept")).select("id", "cls").distinct(), "minhash-gone")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls = [xxhash.xxh3_128_digest(shingles(t, k).tobytes()) for t in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.binary()), batch.column(2)], ["id", "cls", "th"])
+
+    own, th = F.col(id_col).cast("long"), F.xxhash64(text_col)
+    rows = docs.select(own.alias("id"), F.col(text_col).alias("text"), th.alias("th")).join(gone.select("id"), "id", "left_semi")
+    out = rows.mapInArrow(run, "id long, cls binary, th long").join(gone, ["id", "cls"]).select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
+    return docs.join(out, (own == F.col("__id")) & (th == F.col("__th")), "left_anti")
 
 
 def op1_minhash(spark, sf_dir: str) -> DataFrame:

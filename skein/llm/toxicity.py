@@ -171,6 +171,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(sample, share)
 
 
+def _scores(texts: pa.Array, w: np.ndarray, bias: float) -> np.ndarray:
+    z = np.array([bias + float(w[features(t)].sum(dtype=np.float64)) for t in utf8(texts)])
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score (0 to 1) of every whole text."""
     shipped, bias = docs.sparkSession.sparkContext.broadcast(model[0]), model[1]
@@ -178,16 +183,22 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shipped.value
         for batch in batches:
-            z = np.array([bias + float(w[features(t)].sum(dtype=np.float64)) for t in utf8(batch.column(1))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(batch.column(1), w, bias), pa.float64())], ["id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs without those that score the threshold or more; all columns stay."""
-    gone = score(docs, train(docs, labels, id_col, text_col), id_col, text_col).filter(F.col("score") >= threshold).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """docs without the rows whose own text scores the threshold or more, whatever their id; all columns stay."""
+    w, bias = train(docs, labels, id_col, text_col)
+    shipped, at = docs.sparkSession.sparkContext.broadcast(w), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shipped.value
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(at), w, bias) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:

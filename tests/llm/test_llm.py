@@ -103,6 +103,18 @@ def test_overlap_counts_rare_and_common_shingles():
     assert (got == [[len(np.intersect1d(a, b)) for b in sets[60:]] for a in sets[:90]]).all()
 
 
+def test_rows_of_one_id_or_none_are_judged_by_their_texts(spark, monkeypatch):
+    a, b, c = ("".join(f"{x}{i} " for i in range(40)) for x in "abc")
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (None, a), (None, c)], "doc_id long, text string")
+    order = lambda d: sorted(map(tuple, d.collect()), key=repr)
+    assert order(minhash.keep_one(docs)) == sorted([(1, a), (2, b), (None, a), (None, c)], key=repr)
+    w = np.zeros(len(toxicity.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))[0]))
+    w[toxicity.features(a.encode())] = 100
+    w[toxicity.features((b + c).encode())] = -100
+    monkeypatch.setattr(toxicity, "train", lambda *_: (w, 0.0))
+    assert order(toxicity.keep_clean(docs, None)) == sorted([(2, b), (None, c)], key=repr)
+
+
 def test_densification_fills_every_bin():
     for n in (1, 2, 5, 1000):
         assert len(minhash.bands(np.sort(np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64)))) == 32
