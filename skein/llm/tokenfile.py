@@ -8,8 +8,8 @@ and moved into place, so a repeated task only replaces it by the same bytes. Fil
 that the driver and all executors share.
 
 Texts are encoded by the tokenizers library. Its normalization (composition, lower case) and splitting never look across
-ASCII white space, so each distinct run of other characters is encoded once and put together again. This holds for
-tokenizers that drop white space and lower-case, as the vocabulary used here does.
+ASCII white space, so each distinct run of other characters is encoded once and put together again by array operations. This
+holds for tokenizers that drop white space and lower-case, as the vocabulary used here does.
 
 Defined results: a null or empty text has just the end id. Rows with a null id come first. Repeated rows each have
 their ids. An empty table makes no sequences. Other columns are ignored.
@@ -25,13 +25,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import LOWER, new_path, utf8
+from .common import new_path
 
 LENGTH, BATCH = 2048, 64
 _MEMO = 480_000
@@ -47,48 +48,85 @@ def schema(length: int, kind: type) -> pa.Schema:
     return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
+#: Lower-case ASCII, and Latin-1 letters of either case: their composition and lower case don't depend on their neighbours.
+_LETTERS = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: The byte-level alphabet: bytes without a visible Latin-1 character stand at 256 and up, in their order.
+_BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+
+
 class Encoder:
-    """Ids of texts, with a memo of runs between white space; of two generations, the older goes when the newer is full."""
+    """Ids of texts, with a memo of the ids of runs between white space, which starts anew when it is full."""
 
     def __init__(self, path: str, end: int) -> None:
         self.tokenizer, self.end = tokenizer(path), end
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.memo, self.older = {}, {}
+        self.clear()
+
+    def clear(self) -> None:
+        # run -> number; the ids of number i are pool[at[i] : at[i + 1]]. Number 0 is the end of a text.
+        self.memo: dict[bytes, int] = {}
+        self.pool, self.at = np.array([self.end], self.kind), np.array([0, 1])
 
-    def __call__(self, split: list[list[str]]) -> list[np.ndarray]:
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each with its end, and how many each text has."""
+        starts, distinct, which = runs(texts)
         if len(self.memo) > _MEMO:
-            self.memo, self.older = {}, self.memo
-        new = []
-        for w in set(chain.from_iterable(split)).difference(self.memo):
-            if (ids := self.older.get(w)) is not None:
-                self.memo[w] = ids
-            else:
-                new.append(w)
+            self.clear()
+        new = [w for w in distinct if w not in self.memo]
         for i in range(0, len(new), 20_000):
             self.learn(new[i : i + 20_000])
-        get = self.memo.__getitem__
-        end = np.array([self.end], self.kind).tobytes()
-        return [np.frombuffer(b"".join(map(get, s)) + end, self.kind) for s in split]
-
-    def learn(self, words: list[str]) -> None:
-        """Encodes words, joined by blanks in one text; the ids' offsets tell whose they are."""
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids = np.array(found.ids, self.kind).tobytes()
-        at = np.array([a for a, _ in found.offsets], np.int64)
-        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
-        cuts = (np.searchsorted(at, starts) * np.dtype(self.kind).itemsize).tolist()
-        self.memo.update((w, ids[cuts[k] : cuts[k + 1]]) for k, w in enumerate(words))
-
-
-#: A point or comma between an ASCII letter and white space is a match of its own.
-_STOP = re.compile(r"(?<=[a-z])([.,])(?=[ \n])")
-
-
-def plain(text: bytes) -> list[str]:
-    """The runs between white space, with A-Z in lower case, as the normalizer makes them, and single stops set apart: the
-    ids are the same, and there are fewer distinct runs. The separators 28 to 31 are white space to Python only."""
-    t = _STOP.sub(r" \1", text.translate(LOWER).decode("utf-8", "replace"))
-    return re.split(r"[ \t\n\r\x0b\x0c]+", t) if any(c in text for c in (b"\x1c", b"\x1d", b"\x1e", b"\x1f")) else t.split()
+        memo = self.memo
+        number = np.fromiter((memo[w] for w in distinct), np.int64, len(distinct))
+        each = np.insert(number[which], starts[1:], 0)
+        n = np.diff(self.at)[each]
+        ends = np.cumsum(n)
+        ids = self.pool[np.repeat(self.at[each] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.add.reduceat(n, starts[:-1] + np.arange(len(texts))) if len(texts) else n
+
+    def learn(self, words: list[bytes]) -> None:
+        """Adds the ids of words. Runs of Latin letters are one piece to the splitting, so they go straight to the merges; the
+        others are encoded joined by blanks in one text, and the ids' offsets tell whose they are."""
+        plain = [w.decode("utf-8", "replace") for w in words]
+        tokenize, ids, other = self.tokenizer.model.tokenize, [], []
+        for k, w in enumerate(plain):
+            if _LETTERS.fullmatch(w):
+                ids.append([t.id for t in tokenize(w if w.isascii() else w.lower().encode().decode("latin-1").translate(_BYTE_LEVEL))])
+            else:
+                ids.append(None)
+                other.append(k)
+        if other:
+            found = self.tokenizer.encode(" ".join(plain[k] for k in other), add_special_tokens=False)
+            at = np.array([a for a, _ in found.offsets], np.int64)
+            cuts = np.searchsorted(at, np.cumsum([0, *(len(plain[k]) + 1 for k in other)])).tolist()
+            flat = found.ids
+            for k, a, b in zip(other, cuts, cuts[1:]):
+                ids[k] = flat[a:b]
+        self.memo.update((w, len(self.at) - 1 + i) for i, w in enumerate(words))
+        self.at = np.concatenate((self.at, len(self.pool) + np.cumsum([len(x) for x in ids])))
+        self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(ids), self.kind)))
+
+
+def runs(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Where each text's runs between ASCII white space begin (and the last one's end), the distinct runs, and each run's
+    number among them. A-Z are lowered first, as the normalizer does, unless that might make a special token."""
+    if not pc.any(pc.match_substring(texts, "<|")).as_py():
+        texts = pc.ascii_lower(texts)
+        # a point or comma between an ASCII letter and white space is a piece of its own: set apart, there are fewer distinct runs
+        texts = pc.replace_substring_regex(texts, r"([a-z])([.,])([ \n])", r"\1 \2\3")
+    lists = pc.ascii_split_whitespace(texts.fill_null(""))
+    coded = lists.flatten().dictionary_encode()
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return offsets - offsets[0], coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy()
+
+
+def slices(texts: pa.Array, size: int = 8 << 20) -> Iterator[pa.Array]:
+    """Texts in order, about `size` bytes at a time; a longer text comes alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        cut = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield texts.slice(at, cut - at)
+        at = cut
 
 
 @lru_cache(maxsize=2)
@@ -158,18 +196,13 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end: int = 2, length: i
                 out = _Shard(fs, f"{name}.arrow.{attempt}", length, code.kind)
                 index = pa.ipc.new_file(sink := fs.open_output_stream(f"{name}.docs.arrow.{attempt}"), _DOCS)
                 names = [f"{name}.arrow", f"{name}.docs.arrow"]
-            texts = [plain(t) for t in utf8(batch.column(1))]
-            starts, counts = [], []
-            at = 0
-            while at < len(texts):
-                some, size = at, 0
-                while at < len(texts) and size < 600_000:
-                    size += len(texts[at])
-                    at += 1
-                for ids in code(texts[some:at]):
-                    starts.append(out.total)
-                    counts.append(len(ids))
-                    out.add(ids)
+            counts, before = [], out.total
+            for texts in slices(batch.column(1)):
+                ids, n = code(texts)
+                out.add(ids)
+                counts.append(n)
+            counts = np.concatenate(counts)
+            starts = before + np.cumsum(counts) - counts
             index.write_batch(pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=_DOCS))
             n_docs += batch.num_rows
         if out is not None:
