@@ -11,7 +11,8 @@ Equal vectors of a label are one class before hashing, and are linked with one a
 
 Defined results: a null label, or a vector that is null, empty, zero, or holds a null or non-finite component, links
 with nothing (n_links 0, component its own id, kept). Vectors of different lengths aren't linked. Rows with a null id
-are returned with 0 links and a null component. Repeated rows are equal vectors. Other columns are ignored.
+link with nothing either: they are returned with 0 links and a null component, kept, and count as no link of others.
+Repeated rows are equal vectors. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import components, mix, signed, written
 
 TABLES, CODES, BLOCK = 12, 3, 1024
 KEYS = TABLES * (CODES + 1)
+#: Keys for which a block holds at once who has them.
+SPAN = 1024
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -115,16 +118,22 @@ def _block(key: int, own: bool, side: np.ndarray, x: np.ndarray, n: np.ndarray,
     np.fill_diagonal(link, False)
     if not own:
         link &= side[:, None] != side[None, :]
-    if link.any():
-        flat = np.concatenate(sets)
-        who = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        low = flat < key
-        if low.any():
-            _, code = np.unique(flat[low], return_inverse=True)
-            seen = np.zeros((len(sets), code.max() + 1), np.float32)
-            seen[who[low], code] = 1
-            seen = seen[:, seen.sum(0) > 1]
-            link &= ~(seen @ seen.T > 0)
+    # pairs that also meet in a bucket with a lesser key are counted there; only rows with links matter, SPAN keys at a time
+    some = np.flatnonzero(link.any(1))
+    if len(some):
+        who = np.repeat(np.arange(len(some)), [len(sets[i]) for i in some])
+        flat = np.concatenate([sets[i] for i in some])
+        who, flat = who[flat < key], flat[flat < key]
+        _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+        place = np.cumsum(times > 1) - 1
+        who, code = who[times[code] > 1], place[code[times[code] > 1]]
+        met = np.zeros((len(some), len(some)), bool)
+        for first in range(0, int(code.max()) + 1 if len(code) else 0, SPAN):
+            here = (code >= first) & (code < first + SPAN)
+            seen = np.zeros((len(some), SPAN), np.float32)
+            seen[who[here], code[here] - first] = 1
+            met |= seen @ seen.T > 0
+        link[np.ix_(some, some)] &= ~met
     root = np.arange(len(x))
     if link.any():
         while True:  # least index over the links, until it stays
@@ -174,7 +183,7 @@ def _compare(least: float):
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98) -> DataFrame:
     """One row per vector: id, n_links, component, kept."""
     rows = written(classes(vectors, id_col, vector_col, label_col), "embedding-rows")
-    cls = rows.filter("cls is not null").groupBy("cls").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.first("v").alias("v"), F.first("salt").alias("salt"))
+    cls = rows.filter("cls is not null and id is not null").groupBy("cls").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.first("v").alias("v"), F.first("salt").alias("salt"))
     keyed = written(cls.select("cls", "n", "v", "salt").mapInArrow(_with_keys, "cls binary, n long, v array<double>, keys array<long>"), "embedding-keys")
     flat = keyed.select("cls", F.explode("keys").alias("key"))
     size = flat.groupBy("key").count().filter("count > 1")
@@ -189,7 +198,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     named = cls.select("cls", "n", "id").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     named = named.join(named.groupBy("comp").agg(F.min("id").alias("component")), "comp").join(links, "cls", "left")
     named = named.select("cls", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component")
-    out = rows.select("id", "cls").join(named, "cls", "left")
+    out = rows.select("id", F.when(F.col("id").isNotNull(), F.col("cls")).alias("cls")).join(named, "cls", "left")
     return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component")).withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(True)))
 
 
