@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +74,33 @@ def utf8(column: pa.Array) -> Iterator[bytes]:
         yield b"" if nulls is not None and nulls[i] else bytes(data[at[i] : at[i + 1]])
 
 
+def slices(texts: pa.Array, size: int = 8 << 20) -> Iterator[pa.Array]:
+    """Texts in order, about `size` bytes at a time; a longer text comes alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        cut = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield texts.slice(at, cut - at)
+        at = cut
+
+
+def count_words(texts: pa.Array) -> np.ndarray:
+    """The number of maximal runs of bytes that aren't ASCII white space in each text; a null has none."""
+    out = [np.zeros(0, np.int64)]
+    for part in slices(texts.fill_null("")):
+        kind = np.int64 if pa.types.is_large_string(part.type) else np.int32
+        _, offsets, data = part.buffers()
+        at = np.frombuffer(offsets, kind, len(part) + 1, part.offset * np.dtype(kind).itemsize).astype(np.int64)
+        gap = np.ones(at[-1] - at[0] + 1, bool)
+        if len(gap) > 1:
+            gap[1:] = IS_SPACE[np.frombuffer(data, np.uint8, len(gap) - 1, at[0])]
+        begins = gap[:-1] & ~gap[1:]
+        firsts = at[:-1][at[:-1] < at[1:]] - at[0]
+        begins[firsts] = ~gap[1:][firsts]
+        out.append(np.diff(np.searchsorted(np.flatnonzero(begins), at - at[0])))
+    return np.concatenate(out)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The finishing steps of splitmix64, on a uint64 array."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

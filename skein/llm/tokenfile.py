@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import new_path
+from .common import new_path, slices
 
 LENGTH, BATCH = 2048, 64
 _MEMO = 480_000
@@ -119,16 +119,6 @@ def runs(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     return offsets - offsets[0], coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy()
 
 
-def slices(texts: pa.Array, size: int = 8 << 20) -> Iterator[pa.Array]:
-    """Texts in order, about `size` bytes at a time; a longer text comes alone."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(texts):
-        cut = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
-        yield texts.slice(at, cut - at)
-        at = cut
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str, end: int) -> Encoder:
     """One for each Python worker, so that its tasks share the memo."""
