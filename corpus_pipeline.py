@@ -31,8 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document comes as many times as the mix takes it: 0, 1 or 2."""
-    taken = mixing.mix_sources(docs).filter("copies > 0")
-    return taken.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    return mixing.mix_sources(docs).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("__n")).drop("__n")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
