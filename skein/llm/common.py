@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,17 +125,40 @@ class Powers:
 POWERS = Powers()
 
 
-def words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of the maximal runs of bytes that aren't ASCII white space."""
-    a = np.frombuffer(text, np.uint8)
-    gap = np.ones(len(a) + 2, np.int8)
-    gap[1:-1] = IS_SPACE[a]
-    step = np.diff(gap)
-    starts, ends = np.flatnonzero(step == -1), np.flatnonzero(step == 1)
-    up, down = POWERS(len(a) + 1)
-    sums = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], out=sums[1:])
-    return starts, ends, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def windows(text: bytes) -> np.ndarray:
+    """The eight bytes from each place on, as a number; zeros follow the text. A view of one copy."""
+    return np.ndarray(len(text) + 33, "<u8", text + bytes(40), strides=(1,))
+
+
+def prefixes(seen: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of the n bytes (8 at most) from each start on, given the text's windows."""
+    return mix((seen[starts] & _MASK[n]) * _STEP + np.uint64(n))
+
+
+def words(text: bytes, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the maximal runs of bytes that aren't ASCII white space.
+
+    Words are hashed eight bytes at a time, all words of one step together; the few longer than 32 bytes one by one.
+    """
+    gap = np.ones(len(text) + 2, np.int8)
+    gap[1:-1] = IS_SPACE[np.frombuffer(text, np.uint8)]
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    seen = windows(text) if seen is None else seen
+    size = ends - starts
+    h = mix((seen[starts] & _MASK[np.minimum(size, 8)]) * _STEP + size.astype(np.uint64))
+    for at in (8, 16, 24):
+        more = np.flatnonzero(size > at)
+        if not len(more):
+            break
+        h[more] = mix(h[more] + (seen[starts[more] + at] & _MASK[np.minimum(size[more] - at, 8)]) * _STEP)
+    for i in np.flatnonzero(size > 32).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(text[starts[i] : ends[i]])
+    return starts, ends, h
 
 
 def signed(h: np.ndarray) -> np.ndarray:

@@ -7,43 +7,95 @@ lines are judged on the input, not on what is left. Lines without words stay.
 1. Order: words are ordered by how often their bucket of 2**19 occurs in all documents (in steps of a sixth of a binary
    logarithm), then by hash. The table of buckets has one size whatever the corpus; words that share a bucket only come
    later than they could.
-2. Lines with equal sets are one class; all but the first line of a class go at once.
+2. Lines whose sets have the same 128-bit digest are one class; all but the first line of a class go at once. Tasks keep
+   the first line of a class before they hand classes on, so a line that is everywhere is sent once per task and part.
 3. A class goes to the tokens of its prefix, the |x| - ceil(percent * |x| / 100) + 1 rarest. Classes that meet at a token
    are compared there by length, position and a 126-bit parity map of their words (its differing bits are no more than
-   the words that differ), all of them exact bounds. Each class hands on up to 2 possible partners of
+   the words that differ), all of them exact bounds. Each class hands on up to FEW possible partners of
    a token, those first that the maps tell least apart; classes that have more and no match among those hand on all.
-4. Tokens with very many classes are dealt out as pairs of blocks.
-5. Survivors are verified on the words of the lines themselves.
+4. Tokens with very many classes are dealt out as pairs of blocks. Of these, the HOTS with the most classes are told to
+   the tasks: a table of bounded size, beyond which a token has less than 1 / HOTS of all entries.
+5. Candidate pairs are verified on the words of the lines themselves, which are read from the documents again.
 
-Defined results: null and empty texts have no lines to remove. A null id orders first. Rows with equal id are ordered
-by a hash of their text; equal rows share their lines' fate as one document. Other columns stay as they are.
+Between the steps arrays travel in binary blobs, one for each task and target, so that shuffles handle few rows. What
+tells tasks which lines and tokens are wanted are bitmaps of at most 2**26 places, filled by hashes: a false hit costs
+time, never a result, since joins and verification follow.
+
+Defined results: null and empty texts have no lines to remove. A null id orders first, as the least long. Rows with equal
+id are ordered by a hash of their text; equal rows share their lines' fate as one document. Other columns stay as they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .common import LOWER, mix, remove, signed, tidy, utf8, words, written
 
-#: Buckets of words, and the parts in which their counts are added up.
+#: Buckets of words, and the parts in which tables are added up.
 BUCKETS, CHUNKS = 1 << 19, 64
-#: Classes in a token's block, and the part of the classes that tells which tokens are larger.
-BLOCK, SAMPLE = 20_000, 64
+#: Classes in a token's block, the part of the classes that tells which tokens are larger, and the most of these tokens.
+BLOCK, SAMPLE, HOTS = 20_000, 64, 1 << 20
 #: Passes over the tokens.
-PASSES = 3
+PASSES = 2
 #: Possible partners of a class that a token hands on before any is verified.
 FEW = 2
-#: Bytes of text from which array operations are shared.
-GROUP = 1 << 18
+#: Wanted lines up to which their documents' ids are broadcast.
+FEW_DOCS = 100_000
+#: Bytes of text from which array operations are shared, and after which blobs are dealt out.
+GROUP, FLUSH = 1 << 18, 8 << 20
+#: Classes in a blob, candidate pairs that a task holds, and the places of a bitmap (a power of two each way).
+CHUNK, HELD, PLACES = 1 << 14, 1 << 20, (16, 26)
 _SPAN = 1 << 16
+_NONE = -(1 << 63)
+#: Columns of 8 bytes in the blobs of lines, of places, of classes, and of classes at their tokens.
+_LINE = ("hi", "lo", "doc", "th", "line", "n", "k", "m0", "m1")
+_PLACE = ("doc", "th", "line")
+_CLASS = ("id", "doc", "n", "k", "m0", "m1")
+_AT = ("token", "ij", "id", "doc", "n", "size", "m0", "m1")
+
+Arrays = dict[str, np.ndarray]
+
+
+def _pack(g: Arrays, names: tuple[str, ...]) -> bytes:
+    return b"".join(g[c].astype(np.int64, copy=False).tobytes() if g[c].dtype != np.uint64 else g[c].tobytes() for c in names)
+
+
+def _unpack(blob, names: tuple[str, ...]) -> Arrays:
+    return dict(zip(names, np.frombuffer(blob, np.int64).reshape(len(names), -1)))
+
+
+def _join(parts: list[Arrays]) -> Arrays:
+    return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]} if parts else {}
+
+
+def _some(g: Arrays, at: np.ndarray) -> Arrays:
+    """The rows `at` of lines or classes, whose prefixes lie one after the other in g["pre"]."""
+    k = g["k"][at]
+    starts = (np.cumsum(g["k"]) - g["k"])[at]
+    out = {c: v[at] for c, v in g.items() if c != "pre"}
+    out["pre"] = g["pre"][np.repeat(starts - np.cumsum(k) + k, k) + np.arange(k.sum())]
+    return out
+
+
+def _new(*keys: np.ndarray) -> np.ndarray:
+    """Whether a row of sorted keys differs from the one before."""
+    out = np.zeros(len(keys[0]), bool)
+    out[:1] = True
+    for k in keys:
+        out[1:] |= k[1:] != k[:-1]
+    return out
+
+
+def _batch(schema: list[str], *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema)
 
 
 def _groups(column: pa.Array) -> Iterator[tuple[list[int], np.ndarray, bytes]]:
@@ -58,88 +110,251 @@ def _groups(column: pa.Array) -> Iterator[tuple[list[int], np.ndarray, bytes]]:
             rows, texts, size = [], [], 0
 
 
-def _tokens(text: bytes, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of the lines that have words, where each one's words begin, and all lines' distinct words as 64-bit codes
-    in the order of rarity."""
+def _tokens(text: bytes, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the lines that have words, where each one's words begin, and all lines' distinct words in the order of
+    rarity: as 64-bit codes that sort that way, and by their hashes."""
     text = text.translate(LOWER)
     starts, _, h = words(text)
     if not len(h):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), h
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), h, h
     code = rarity[(h % np.uint64(BUCKETS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8)
     line = np.searchsorted(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), starts)
     order = np.argsort(code)
     # 16-bit numbers are sorted by radix
     order = order[np.argsort(line[order].astype(np.uint16) if line[-1] < 1 << 16 else line[order], kind="stable")]
-    code, line = code[order], line[order]
-    new = np.ones(len(code), bool)
-    new[1:] = (code[1:] != code[:-1]) | (line[1:] != line[:-1])
-    code, line = code[new], line[new]
-    first = np.flatnonzero(np.diff(line, prepend=-1))
-    return line[first], first, code
+    code, line, h = code[order], line[order], h[order]
+    new = _new(code, line)
+    code, line, h = code[new], line[new], h[new]
+    first = np.flatnonzero(_new(line))
+    return line[first], first, code, h
 
 
-def _rarity(docs: DataFrame) -> np.ndarray:
-    """The step of each bucket's count, 0 to 255. Tasks count into arrays, which are added up chunk by chunk."""
-    kind = "chunk int, n binary"
+def _table(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None], size: int, kind: type, add: Callable = np.add) -> np.ndarray:
+    """An array that every task fills for its rows; the tasks' arrays are added up (or combined by `add`) chunk by chunk."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, kind)
         for batch in batches:
-            for _, _, text in _groups(batch.column(0)):
-                np.add.at(total, (words(text.translate(LOWER))[2] % np.uint64(BUCKETS)).astype(np.int64), 1)
+            fill(total, batch)
         yield from rows(dict(enumerate(total.reshape(CHUNKS, -1))))
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, n in zip(batch.column(0).to_pylist(), batch.column(1)):
-                total[chunk] = total.get(chunk, 0) + np.frombuffer(n.as_buffer(), np.int64)
+                here = np.frombuffer(n.as_buffer(), kind)
+                total[chunk] = add(total[chunk], here) if chunk in total else here
         yield from rows(total)
 
     def rows(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         total = {k: v for k, v in total.items() if v.any()}
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["chunk", "n"])
+        yield _batch(["chunk", "n"], pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary()))
 
-    out = np.zeros((CHUNKS, BUCKETS // CHUNKS), np.int64)
-    for r in docs.mapInArrow(count, kind).repartition(8, "chunk").mapInArrow(add, kind).collect():  # CHUNKS rows at most
-        out[r["chunk"]] = np.frombuffer(r["n"], np.int64)
-    return np.minimum(6 * np.log2(np.maximum(out.ravel(), 1)), 255).astype(np.uint8)
+    out, schema = np.zeros((CHUNKS, size // CHUNKS), kind), "chunk int, n binary"
+    for r in df.mapInArrow(each, schema).repartition(8, "chunk").mapInArrow(combine, schema).collect():  # CHUNKS rows at most
+        out[r["chunk"]] = np.frombuffer(r["n"], kind)
+    return out.ravel()
 
 
-_LINES = "doc long, th long, line int, cls binary, n int, maps array<long>, prefix array<long>"
+def _rarity(docs: DataFrame) -> np.ndarray:
+    """The step of each bucket's count, 0 to 255."""
+
+    def fill(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        for _, _, text in _groups(batch.column(0)):
+            np.add.at(total, (words(text.translate(LOWER))[2] % np.uint64(BUCKETS)).astype(np.int64), 1)
+
+    return np.minimum(6 * np.log2(np.maximum(_table(docs, fill, BUCKETS, np.int64), 1)), 255).astype(np.uint8)
+
+
+def _hash(*keys: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(keys[0]), np.uint64)
+    for k in keys:
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + k.astype(np.uint64) + np.uint64(1))
+    return h
+
+
+def _bitmap(df: DataFrame, n: int) -> np.ndarray:
+    """A bitmap (packed) of the hashes of df's n rows of longs, about eight places a row."""
+    bits = min(max(PLACES[0], (8 * n).bit_length()), PLACES[1])
+
+    def fill(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        at = _hash(*(c.to_numpy() for c in batch.columns)) >> np.uint64(64 - bits)
+        np.bitwise_or.at(total, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
+    return _table(df.coalesce(CHUNKS), fill, 1 << bits - 3, np.uint8, np.bitwise_or)
 
-def _lines(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
+
+def _hit(bitmap: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    at = _hash(*keys) >> np.uint64(64 - 3 - len(bitmap).bit_length() + 1)
+    return bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
+def _firsts(g: Arrays) -> tuple[Arrays, Arrays]:
+    """The first line of each class, by class, and the places of all other lines."""
+    order = np.lexsort([g[c] for c in ("line", "th", "doc", "lo", "hi")])
+    cls, place = (_new(*(g[c][order] for c in names)) for names in (("hi", "lo"), ("hi", "lo", "doc", "th", "line")))
+    first = np.flatnonzero(cls)
+    # lines at the place of the first are the same line of an equal row
+    own = np.repeat(order[first], np.diff(first, append=len(order)))
+    later = place & ~cls & ((g["doc"][order] != g["doc"][own]) | (g["th"][order] != g["th"][own]) | (g["line"][order] != g["line"][own]))
+    return _some(g, order[first]), {c: g[c][order[later]] for c in _PLACE}
+
+
+def _lines(docs: DataFrame, rarity: np.ndarray, percent: int, parts: int) -> DataFrame:
+    """Blobs of lines by part: kind 0, the first ones of classes; kind 1, the places of lines that have an earlier equal."""
     shipped = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = shipped.value
+        rarity, held, size = shipped.value, [], 0
         for batch in batches:
+            doc, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for rows, starts, text in _groups(batch.column(2)):
-                line, first, code = _tokens(text, rarity)
+                line, first, code, h = _tokens(text, rarity)
                 if len(line):
                     at = np.searchsorted(starts, line, "right") - 1
-                    yield pack(batch, pa.array(np.array(rows)[at]), line - starts[at], first, code)
-
-    def pack(batch: pa.RecordBatch, who: pa.Array, line: np.ndarray, first: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
+                    who = np.array(rows)[at]
+                    held.append({"doc": doc[who], "th": th[who], "line": line - starts[at]} | describe(first, code, h))
+                size += len(text)
+                if size > FLUSH:
+                    yield from deal(held)
+                    held, size = [], 0
+        yield from deal(held)
+
+    def describe(first: np.ndarray, code: np.ndarray, h: np.ndarray) -> Arrays:
         n = np.diff(first, append=len(code))
         bit = mix(code) % np.uint64(126)
         one = np.uint64(1) << bit % np.uint64(63)
-        maps = np.stack([np.bitwise_xor.reduceat(np.where(side, one, np.uint64(0)), first) for side in (bit < 63, bit >= 63)], 1)
-        raw = memoryview(code).cast("B")
-        cls = [xxhash.xxh3_128_digest(raw[8 * a : 8 * (a + k)]) for a, k in zip(first.tolist(), n.tolist())]
-        size = n + (-percent * n // 100) + 1
-        head = np.arange(len(code)) - np.repeat(first, n) < np.repeat(size, n)
-        lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(signed(flat))) for ends, flat in ((2 * np.arange(len(n) + 1), maps.ravel()), (np.concatenate(([0], np.cumsum(size))), code[head]))]
-        return pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(line.astype(np.int32)), pa.array(cls, pa.binary()), pa.array(n.astype(np.int32)), *lists], ["doc", "th", "line", "cls", "n", "maps", "prefix"])
+        m0, m1 = (np.bitwise_xor.reduceat(np.where(side, one, np.uint64(0)), first) for side in (bit < 63, bit >= 63))
+        raw = memoryview(h).cast("B")
+        cls = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[8 * a : 8 * (a + k)]) for a, k in zip(first.tolist(), n.tolist())), np.int64)
+        k = n + (-percent * n // 100) + 1
+        head = np.arange(len(code)) - np.repeat(first, n) < np.repeat(k, n)
+        return {"hi": cls[::2], "lo": cls[1::2], "n": n, "k": k, "m0": signed(m0), "m1": signed(m1), "pre": signed(code[head])}
+
+    def deal(held: list[Arrays]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        first, later = _firsts(_join(held))
+        part = (_hash(first["hi"]) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        first, part = _some(first, order), part[order]
+        cuts = np.append(np.flatnonzero(_new(part)), len(part))
+        ends = np.concatenate(([0], np.cumsum(first["k"])))
+        out = [(int(part[a]), 0, _pack({c: first[c][a:b] for c in _LINE}, _LINE), first["pre"][ends[a] : ends[b]].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
+        if len(later["doc"]):
+            out.append((int(_hash(later["th"][:1])[0] % np.uint64(parts)), 1, _pack(later, _PLACE), b""))
+        yield _batch(["p", "kind", "rec", "pre"], *map(pa.array, zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary())))
+
+    return docs.select("doc", "th", "text").mapInArrow(run, "p int, kind int, rec binary, pre binary")
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a part's blobs: kind 0, each class's number and the place of its first line; kind 1, the places of all other
+    lines; kind 2, blobs of classes."""
+    schema = ["kind", "id", "doc", "th", "line", "rec", "pre"]
+
+    def places(kind: int, ids: np.ndarray | None, g: Arrays) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(g["doc"]), _SPAN):
+            n = len(g["doc"][a : a + _SPAN])
+            none = pa.nulls(n, pa.binary())
+            yield _batch(schema, pa.array(np.full(n, kind, np.int32)), pa.nulls(n, pa.int64()) if ids is None else ids[a : a + _SPAN], *(g[c][a : a + _SPAN] for c in _PLACE), none, none)
+
+    held, size, base = [], 0, 0
+    for batch in batches:
+        for kind, rec, pre in zip(*batch.columns[1:]):
+            if kind.as_py():
+                yield from places(1, None, _unpack(rec.as_buffer(), _PLACE))
+                continue
+            held.append(_unpack(rec.as_buffer(), _LINE) | {"pre": np.frombuffer(pre.as_buffer(), np.int64)})
+            size += len(held[-1]["n"])
+            if size > 2 * base + HELD:  # what is held stays in proportion to the part's classes
+                first, later = _firsts(_join(held))
+                yield from places(1, None, later)
+                held, size = [first], len(first["n"])
+                base = size
+    if not held:
+        return
+    first, later = _firsts(_join(held))
+    yield from places(1, None, later)
+    first["id"] = (TaskContext.get().partitionId() << 40) + np.arange(len(first["n"]))
+    yield from places(0, first["id"], first)
+    for a in range(0, len(first["n"]), CHUNK):
+        g = _some(first, np.arange(a, min(a + CHUNK, len(first["n"]))))
+        none = pa.nulls(1, pa.int64())
+        yield _batch(schema, pa.array([2], pa.int32()), none, none, none, none, pa.array([_pack(g, _CLASS)], pa.binary()), pa.array([g["pre"].tobytes()], pa.binary()))
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Arrays, np.ndarray, np.ndarray]]:
+    """Blobs of classes, and of each of their prefixes' tokens the class's row and the position."""
+    for batch in batches:
+        for rec, pre in zip(*batch.columns):
+            g = _unpack(rec.as_buffer(), _CLASS) | {"pre": np.frombuffer(pre.as_buffer(), np.int64)}
+            row = np.repeat(np.arange(len(g["n"])), g["k"])
+            yield g, row, np.arange(len(row)) - np.repeat(np.cumsum(g["k"]) - g["k"], g["k"])
+
+
+def _hot(blobs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens (sorted) of more than BLOCK classes, by a sample of the classes, and their numbers of blocks."""
 
-    return docs.mapInArrow(run, _LINES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, row, _ in _entries(batches):
+            yield _batch(["token"], g["pre"][(_hash(g["id"]) % np.uint64(SAMPLE) == 0)[row]])
+
+    many = blobs.mapInArrow(run, "token long").groupBy("token").count().filter(F.col("count") * SAMPLE > BLOCK)
+    found = many.orderBy(F.desc("count"), "token").limit(HOTS).toArrow()
+    token, count = (found.column(c).to_numpy() for c in ("token", "count"))
+    order = np.argsort(token)
+    return token[order], -(-count[order] * SAMPLE // BLOCK)
+
+
+def _dealt(blobs: DataFrame, hot: tuple[np.ndarray, np.ndarray], part: int, passes: int, parts: int, again: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """Blobs of the classes at their tokens, of which `part` takes one in `passes`; again: bitmaps of the tokens that are
+    looked at, and of the classes' numbers and tokens that look for partners."""
+    shipped = blobs.sparkSession.sparkContext.broadcast((hot, again))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (tokens, blocks), again = shipped.value
+        held, size = [], 0
+        for g, row, pos in _entries(batches):
+            token = g["pre"]
+            some = _hash(token) % np.uint64(passes) == part
+            if again is not None:
+                some &= _hit(again[0], token)
+            token, row, pos = token[some], row[some], pos[some]
+            open_ = np.ones(len(token), np.int64) if again is None else _hit(again[1], g["id"][row], token).astype(np.int64)
+            times = np.ones(len(token), np.int64)
+            if len(tokens):
+                found = np.minimum(np.searchsorted(tokens, token), len(tokens) - 1)
+                times = np.where(tokens[found] == token, blocks[found], 1)
+            own = (_hash(g["id"][row], token) % times.astype(np.uint64)).astype(np.int64)
+            own, token, row, pos, open_ = (np.repeat(x, times) for x in (own, token, row, pos, open_))
+            other = np.arange(len(own)) - np.repeat(np.cumsum(times) - times, times)
+            out = {c: g[c][row] for c in ("id", "doc", "n", "m0", "m1")}
+            held.append(out | {"token": token, "ij": np.minimum(own, other) << 32 | np.maximum(own, other), "size": pos << 2 | (own > other).astype(np.int64) << 1 | open_})
+            size += len(token)
+            if size > HELD // 2:
+                yield from deal(held)
+                held, size = [], 0
+        yield from deal(held)
+
+    def deal(held: list[Arrays]) -> Iterator[pa.RecordBatch]:
+        g = _join(held)
+        if g and len(g["token"]):
+            to = (_hash(g["token"], g["ij"]) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(to.astype(np.uint16) if parts < 1 << 16 else to, kind="stable")
+            to = to[order]
+            cuts = np.append(np.flatnonzero(_new(to)), len(to))
+            blobs = [_pack({c: g[c][order[a:b]] for c in _AT}, _AT) for a, b in zip(cuts[:-1], cuts[1:])]
+            yield _batch(["p", "rec"], pa.array(to[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary()))
+
+    return blobs.mapInArrow(run, "p int, rec binary").repartitionById(parts, "p")
 
 
 def _partners(percent: int, every: bool):
-    """For rows sorted by token and block pair: possible partners of each class; d is the id of its first line's document."""
+    """Of a part's blobs of classes at tokens: possible partners of each class, and the maps' differing bits. Unless `every`,
+    a pair of a class with itself says that it has more partners, and has the token in place of bits."""
 
-    def passing(g: dict[str, np.ndarray], xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def passing(g: Arrays, xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The pairs of rows that no bound rules out, the later class first, and the maps' differing bits."""
         nx, ny = g["n"][xs], g["n"][ys]
         differ = np.bitwise_count(g["m0"][xs] ^ g["m0"][ys]).astype(np.int32) + np.bitwise_count(g["m1"][xs] ^ g["m1"][ys])
@@ -150,200 +365,184 @@ def _partners(percent: int, every: bool):
         ok = (np.minimum(nx - g["pos"][xs], ny - g["pos"][ys]) >= need)
         ok &= g["own"][xs] | (g["side"][xs] != g["side"][ys])
         xs, ys, differ = xs[ok], ys[ok], differ[ok]
-        x, y = ({"d": g["d"][k]} for k in (xs, ys))
-        swap, same = x["d"] < y["d"], x["d"] == y["d"]
+        x, y = (g["doc"][k] for k in (xs, ys))
+        swap, same = x < y, x == y
         xs, ys = np.where(swap, ys, xs), np.where(swap, xs, ys)
         # of one id: which is later is seen when the pair is verified
         xs, ys, differ = np.concatenate((xs, ys[same])), np.concatenate((ys, xs[same])), np.concatenate((differ, differ[same]))
         ok = g["open"][xs]
         return xs[ok], ys[ok], differ[ok]
 
-    def compare(g: dict[str, np.ndarray], group: np.ndarray) -> list[np.ndarray]:
-        """Pairs within groups of equal number, whose rows come by size: a, b, and their differing bits. A pair of a class
-        with itself says that it has more partners, and has the token in place of bits."""
+    def best(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs found, FEW + 1 of each first row at most, and how many of it come before each."""
+        xs, ys, differ = (np.concatenate(v) for v in zip(*found))
+        order = np.lexsort((ys, differ, xs))
+        xs, ys, differ = xs[order], ys[order], differ[order]
+        nth = np.arange(len(xs)) - np.maximum.accumulate(np.where(_new(xs), np.arange(len(xs)), 0))
+        few = nth <= FEW
+        return xs[few], ys[few], differ[few], nth[few]
+
+    def compare(g: Arrays, group: np.ndarray) -> Iterator[tuple]:
+        """Pairs within groups of equal number, whose rows come by size."""
         rows = np.arange(len(group))
-        first = np.maximum.accumulate(np.where(np.diff(group, prepend=-1) > 0, rows, 0))
-        found = []
-        step, at = 1, rows[rows > first]
-        n = g["n"]
+        first = np.maximum.accumulate(np.where(_new(group), rows, 0))
+        found, size, step, at, n = [], 0, 1, rows[rows > first], g["n"]
         while len(at):  # all rows against the row `step` before them, as long as that is in their group and not too short
             at = at[n[at - step] * 100 >= percent * n[at]]
             for a in range(0, len(at), _SPAN):
-                found.append(passing(g, at[a : a + _SPAN], at[a : a + _SPAN] - step))
+                xs, ys, differ = passing(g, at[a : a + _SPAN], at[a : a + _SPAN] - step)
+                if every:
+                    yield g["id"][xs], g["id"][ys], differ
+                elif len(xs):
+                    found.append((xs, ys, differ))
+                    size += len(xs)
+                    if size > HELD + 4 * len(rows):
+                        found = [best(found)[:3]]
+                        size = len(found[0][0])
             step += 1
             at = at[at - step >= first[at]]
-        xs, ys, differ = (np.concatenate(v) for v in zip(*found)) if found else (rows[:0],) * 3
-        if every or not len(xs):
-            return [g["cls"][xs], g["cls"][ys], differ.astype(np.int64)]
-        order = np.lexsort((ys, differ, xs))
-        xs, ys, differ = xs[order], ys[order], differ[order]
-        nth = np.arange(len(xs)) - np.maximum.accumulate(np.where(np.diff(xs, prepend=-1) > 0, np.arange(len(xs)), 0))
-        few, more = nth < FEW, xs[nth == FEW]
-        return [np.concatenate(v) for v in ((g["cls"][xs[few]], g["cls"][more]), (g["cls"][ys[few]], g["cls"][more]), (differ[few].astype(np.int64), g["token"][more]))]
+        if found:
+            xs, ys, differ, nth = best(found)
+            few, more = nth < FEW, xs[nth == FEW]
+            yield g["id"][xs[few]], g["id"][ys[few]], differ[few]
+            yield g["id"][more], g["id"][more], g["token"][more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
-
-        def done(part: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            token, ij = part["token"], part["at"] >> 34
-            group = np.cumsum(np.concatenate(([False], (token[1:] != token[:-1]) | (ij[1:] != ij[:-1]))))
-            met = np.bincount(group)[group] > 1
-            g = {c: v[met] for c, v in part.items()}
-            at, size = g.pop("at"), g.pop("size")
-            g |= {"own": at >> 49 == at >> 34 & 0x7FFF, "side": size >> 1 & 1, "open": (size & 1).astype(bool), "pos": size >> 2, "n": at & 0x3FFFFFFFF}
-            found = compare(g, group[met])
-            if len(found[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], ["a", "b", "d"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = {c: batch.column(i).to_numpy() for i, c in enumerate(batch.schema.names)}
-            held = new if held is None else {c: np.concatenate((held[c], new[c])) for c in new}
-            last = np.flatnonzero((held["token"] != held["token"][-1]) | (held["at"] >> 34 != held["at"][-1] >> 34))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield from done({c: v[:cut] for c, v in held.items()})
-                held = {c: v[cut:] for c, v in held.items()}
-        if held is not None:
-            yield from done(held)
+        g = _join([_unpack(rec.as_buffer(), _AT) for batch in batches for rec in batch.column(1)])
+        if not g:
+            return
+        order = np.lexsort((g["id"], g["n"], g["ij"], g["token"]))
+        group = np.cumsum(_new(g["token"][order], g["ij"][order]))
+        met = np.bincount(group)[group] > 1
+        order, group = order[met], group[met]
+        g = {c: v[order] for c, v in g.items()}
+        ij, size = g.pop("ij"), g.pop("size")
+        g |= {"own": ij >> 32 == ij & 0xFFFFFFFF, "side": size >> 1 & 1, "open": (size & 1).astype(bool), "pos": size >> 2}
+        for a, b, d in compare(g, group):
+            if len(a):
+                yield _batch(["a", "b", "d"], a, b, d.astype(np.int64))
 
     return run
 
 
-def _sets(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
-    """cls, set and place of the wanted lines (an array `want` beside doc, th and each text)."""
-    shipped = docs.sparkSession.sparkContext.broadcast(rarity)
+def _texts(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """Places and lower-cased texts of lines, all the n wanted ones (doc, th, line) among them."""
+    shipped = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(*_PLACE), n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = shipped.value
+        bitmap = shipped.value
         for batch in batches:
-            wanted = batch.column(3).to_pylist()
+            doc, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for rows, starts, text in _groups(batch.column(2)):
-                lines, first, code = _tokens(text, rarity)
-                ends = np.append(first[1:], len(code))
-                want = [starts[k] + n for k, i in enumerate(rows) for n in wanted[i]]
-                found = np.flatnonzero(np.isin(lines, want))
-                at = np.searchsorted(starts, lines[found], "right") - 1
-                yield pack(batch, [(rows[r], n, code[first[k] : ends[k]]) for k, r, n in zip(found.tolist(), at.tolist(), (lines[found] - starts[at]).tolist())])
+                ends = np.append(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), len(text))
+                at = np.repeat(np.array(rows), np.diff(starts))
+                line = np.arange(len(ends)) - np.repeat(starts[:-1], np.diff(starts))
+                some = np.flatnonzero(_hit(bitmap, doc[at], th[at], line))
+                if len(some):
+                    begins = np.concatenate(([0], ends[:-1] + 1))
+                    texts = [text[a:b].translate(LOWER) for a, b in zip(begins[some].tolist(), ends[some].tolist())]
+                    yield _batch([*_PLACE, "words"], doc[at[some]], th[at[some]], line[some], pa.array(texts, pa.binary()))
 
-    def pack(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
-        who = pa.array([r[0] for r in rows], pa.int64())
-        cls = [int.from_bytes(xxhash.xxh3_128_digest(r[2].tobytes())[:8], "big", signed=True) for r in rows]
-        sets = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[2]) for r in rows)]).astype(np.int32)), pa.array(signed(np.concatenate([np.zeros(0, np.uint64), *(r[2] for r in rows)]))))
-        return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), sets, batch.column(0).take(who), batch.column(1).take(who), pa.array([r[1] for r in rows], pa.int32())], ["cls", "s", "doc", "th", "line"])
+    return docs.select("doc", "th", "text").mapInArrow(run, "doc long, th long, line long, words binary")
 
-    return docs.select("doc", "th", "text", "want").mapInArrow(run, "cls long, s array<long>, doc long, th long, line int")
+
+def _verified(percent: int):
+    """Those classes (the later ones of pairs) whose lines' words do match."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            later, wa, wb = (c.to_pylist() for c in batch.columns)
+            sets = {text: frozenset(text.split()) for text in {*wa, *wb}}  # at the bytes that part words
+            for i, x, y in zip(later, map(sets.__getitem__, wa), map(sets.__getitem__, wb)):
+                both = len(x & y)
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    out.append(i)
+            yield _batch(["id"], pa.array(out, pa.int64()))
+
+    return run
 
 
 def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc, th (hash of the text) and gone, an array of the line numbers to remove, for documents that lose any.
 
-    docs: columns doc, th and text.
+    docs: columns doc (no nulls), th and text.
     """
     spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rarity = _rarity(docs.select("text"))
-    lines = written(_lines(docs, rarity, percent), "lines")
-    first = lines.groupBy("cls").agg(F.min(F.struct("doc", "th", "line")).alias("f"), F.first("n").alias("n"), F.first("maps").alias("maps"), F.first("prefix").alias("prefix"))
-    cls64 = F.conv(F.hex(F.substring("cls", 1, 8)), 16, -10).cast("long")
-    first = written(first.select("cls", cls64.alias("cls64"), "f", "n", "maps", "prefix"), "lines-classes")
-    slim = written(lines.select("doc", "th", "line", "cls"), "lines-slim")
-    remove(spark, lines)
-    lines = slim
+    schema = "kind int, id long, doc long, th long, line long, rec binary, pre binary"
+    base = written(_lines(docs, rarity, percent, parts).repartitionById(parts, "p").mapInArrow(_classes, schema), "lines")
     tidy(spark)
+    first, later, blobs = (base.filter(F.col("kind") == k) for k in range(3))
+    first, blobs = first.select("id", *_PLACE), blobs.select("rec", "pre")
+    hot = _hot(blobs)
 
-    hot = first.filter(F.pmod("cls64", F.lit(SAMPLE)) == 0).select(F.explode("prefix").alias("token")).groupBy("token").count().filter(F.col("count") * SAMPLE > BLOCK).select("token", F.ceil(F.col("count") * SAMPLE / BLOCK).cast("int").alias("blocks"))
-    hot = written(hot, "lines-hot")  # broadcast while its files are small
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
-
-    def dealt(part: int, again: DataFrame | None = None) -> DataFrame:
-        """The classes at their tokens, of which `part` takes one in PASSES; with `again`, at its tokens only."""
-        rows = first.select("cls64", "f.doc", "n", F.col("maps")[0].alias("m0"), F.col("maps")[1].alias("m1"), F.posexplode("prefix").alias("pos", "token"))
-        rows = rows.filter(F.pmod("token", F.lit(PASSES)) == part)
-        if again is None:
-            rows = rows.withColumn("open", F.lit(1))
-        else:
-            rows = rows.join(written(again.select("token").distinct(), "lines-tokens"), "token")
-            rows = rows.join(again.select("cls64").distinct().withColumn("open", F.lit(1)), "cls64", "left").withColumn("open", F.coalesce("open", F.lit(0)))
-        rows = rows.join(hot, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("blk", F.pmod("cls64", F.col("blocks")).cast("int"))
-        rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-
-        def bits(c, shift: int):
-            return F.shiftleft(c.cast("long"), shift)
-
-        # seven numbers a row: at is i, j (blocks) and the size, so that rows come by size; size is the token's position,
-        # the row's side and whether it is open
-        at = bits(F.least("blk", "o"), 49) + bits(F.greatest("blk", "o"), 34) + F.col("n")
-        size = bits(F.col("pos"), 2) + bits(F.col("blk") > F.col("o"), 1) + F.col("open").cast("long")
-        rows = rows.select("token", at.alias("at"), F.col("cls64").alias("cls"), F.coalesce("doc", F.lit(-(1 << 62))).alias("d"), size.alias("size"), "m0", "m1")
-        return rows.repartition(parts, "token", F.shiftrightunsigned("at", 34)).sortWithinPartitions("token", "at")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("cls64")).distinct()
-        want = first.join(ids, "cls64").groupBy("f.doc", "f.th").agg(F.collect_list("f.line").alias("want"))
-        texts = docs.join(want.withColumnsRenamed({"doc": "doc_", "th": "th_"}), F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("th") == F.col("th_"))).select("doc", "th", "text", "want")
-        # rows that repeat give the same sets again
-        out = written(_sets(texts, rarity), "lines-sets")
-        tidy(spark)
-        return out
-
-    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The later classes of the pairs that do match."""
-        sides = [sets.select(F.col("cls").alias(c), F.col("s").alias(f"s{c}"), F.struct("doc", "th", "line").alias(f"f{c}")) for c in "ab"]
-        both = F.size(F.array_intersect("sa", "sb"))
-        full = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "fa", "fb", both.alias("x"), (F.size("sa") + F.size("sb")).alias("t"))
-        link = full.filter(100 * F.col("x") >= percent * (F.col("t") - F.col("x")))
-        out = written(link.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("a")).distinct(), "lines-matched")
-        tidy(spark)
-        return out
-
-    def search(again: DataFrame | None = None) -> DataFrame:
+    def search(again: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
         out = None
-        for k in range(PASSES):  # a pass for each part of the tokens bounds what the shuffle has on disk at once
-            part = written(dealt(k, again).mapInArrow(_partners(percent, again is not None), "a long, b long, d long"), "lines-pairs")
+        # a pass for each part of the tokens bounds what the shuffle has on disk at once; bitmaps let few tokens through
+        passes = PASSES if again is None or len(again[0]) == 1 << PLACES[1] - 3 else 1
+        for k in range(passes):
+            part = written(_dealt(blobs, hot, k, passes, 2 * parts if again is None else parts, again).mapInArrow(_partners(percent, again is not None), "a long, b long, d long"), "lines-pairs")
             tidy(spark)
             out = part if out is None else out.unionByName(part)
         return out
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        wanted = written(first.join(ids, "id"), "lines-wanted")
+        n = wanted.count()
+        # few lines: only their documents leave the scan
+        some = docs.join(F.broadcast(wanted.select("doc").distinct()), "doc", "left_semi") if n <= FEW_DOCS else docs
+        # equal rows give the same line again
+        texts = _texts(some, wanted, n).join(wanted, list(_PLACE)).groupBy("id").agg(F.first("words").alias("words"), F.first(F.struct(*_PLACE)).alias("f"))
+        texts = written(texts, "lines-texts")
+        sides = [texts.select(F.col("id").alias(c), F.col("words").alias(f"w{c}"), F.col("f").alias(f"f{c}")) for c in "ab"]
+        later = F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b"))
+        full = pairs.join(sides[0], "a").join(sides[1], "b").select(later.alias("id"), "wa", "wb")
+        out = written(full.mapInArrow(_verified(percent), "id long").distinct(), "lines-matched")
+        remove(spark, wanted, texts)
+        tidy(spark)
+        return out
+
     found = search()
-    pairs = written(found.filter("a != b").groupBy("a", "b").agg(F.min("d").alias("d")), "lines-pairs")
-    sets = sets_of(pairs)
-    # a class that matches its likeliest partner needs no other
-    best = pairs.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    matched = verified(best, sets)
-    matched = matched.unionByName(verified(pairs.select("a", "b").join(matched, "a", "left_anti").join(best, ["a", "b"], "left_anti"), sets))
-    remove(spark, sets)
-    again = written(found.filter("a = b").join(matched, "a", "left_anti").select(F.col("a").alias("cls64"), F.col("d").alias("token")), "lines-again")
-    if again.limit(1).count():
-        more = written(search(again).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "lines-pairs")
-        matched = matched.unionByName(verified(more, sets_of(more)))
-    lost = first.join(matched.withColumnRenamed("a", "cls64").distinct().withColumn("lost", F.lit(True)), "cls64", "left").select("cls", "f", F.coalesce("lost", F.lit(False)).alias("lost"))
-    gone = lines.select("doc", "th", "line", "cls").join(lost, "cls").filter(F.col("lost") | (F.struct("doc", "th", "line") != F.col("f")))
-    return gone.groupBy("doc", "th").agg(F.array_distinct(F.collect_list("line")).alias("gone"))
-
-
-@F.pandas_udf(StringType())
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
+    matched = verified(found.filter("a != b").select("a", "b").distinct())
+    again = written(found.filter("a = b").select(F.col("a").alias("id"), F.col("d").alias("token")).distinct().join(matched, "id", "left_anti"), "lines-again")
+    if n := again.count():
+        more = search((_bitmap(again.select("token"), n), _bitmap(again.select("id", "token"), n)))
+        matched = matched.unionByName(verified(more.select("a", "b").distinct()))
+    lost = first.join(matched.distinct(), "id", "left_semi")
+    gone = later.select(*_PLACE).unionByName(lost.select(*_PLACE))
+    return gone.groupBy("doc", "th").agg(F.collect_set(F.col("line").cast("int")).alias("gone"))
+
+
+@F.arrow_udf(StringType())
+def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
     """Texts without their lines of these numbers, in time linear in both."""
     out = []
-    for t, g in zip(text, gone):
-        if t is not None and g is not None:
-            lost = set(g.tolist())
-            t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in lost)
+    for t, g in zip(utf8(text), gone):
+        if g.is_valid:
+            lost = set(g.values.to_pylist())
+            t = b"\n".join(x for i, x in enumerate(t.split(b"\n")) if i not in lost)
         out.append(t)
-    return pd.Series(out, dtype=object)
+    return pa.array(out, pa.binary()).view(pa.string())
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """docs with the text shortened by its removed lines (and their newlines), n_lines and n_removed."""
-    named = docs.withColumn("__th", F.xxhash64(text_col))
-    gone = written(removed_lines(named.select(F.col(id_col).cast("long").alias("doc"), F.col("__th").alias("th"), F.col(text_col).alias("text")), percent), "lines-gone")
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    out = named.select(*own, "__th").join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("doc")) & (F.col("__th") == F.col("th")), "left")
-    breaks = F.octet_length(text_col) - F.octet_length(F.replace(text_col, F.lit("\n")))
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col("gone")))
-    counted = out.withColumn("n_lines", F.when(F.coalesce(F.length(text_col), F.lit(0)) > 0, breaks + 1).otherwise(0).cast("long")).withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
-    return counted.select(*[text.alias(c) if c == text_col else c for c in own], "n_lines", "n_removed")
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE))
+    named = docs.select(F.struct("*").alias("__row"), key.alias("__doc"), F.xxhash64(text_col).alias("__th"), F.col(text_col).alias("__text"))
+    gone = written(removed_lines(named.select(F.col("__doc").alias("doc"), F.col("__th").alias("th"), F.col("__text").alias("text")), percent), "lines-gone")
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed") or c in (id_col, text_col)]
+    text, lost = F.col("__row")[text_col], F.col("gone")
+    # the lists of lines are hashed, a part at a time, so that texts aren't sorted
+    out = named.drop("__text").join(gone.hint("shuffle_hash"), (F.col("__doc") == F.col("doc")) & (F.col("__th") == F.col("th")), "left")
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n")))
+    n_lines = F.when(F.coalesce(F.length(text), F.lit(0)) > 0, breaks + 1).otherwise(0).cast("long")
+    # only texts that lose lines go to Python
+    shorter = F.when(lost.isNull(), text).otherwise(_without(F.when(lost.isNotNull(), text), lost))
+    made = [x for x in (n_lines.alias("n_lines"), F.coalesce(F.size(lost), F.lit(0)).cast("long").alias("n_removed"))]
+    return out.select(*[shorter.alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in own], *made)
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

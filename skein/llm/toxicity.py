@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import POWERS, mix, utf8, words
+from .common import prefixes, utf8, windows, words
 
 BITS = 20
 STARTS = (4, 5, 6, 7)
@@ -39,17 +39,13 @@ _LETTERS = bytes(32 if i < 128 and not chr(i).isalpha() else ord(chr(i).lower())
 def features(text: bytes) -> np.ndarray:
     """Distinct hashed features of a text: its words of letters, and their first 4 to 7 bytes."""
     text = text.translate(_LETTERS)
-    starts, ends, whole = words(text)
+    seen = windows(text)
+    starts, ends, whole = words(text, seen)
     if not len(starts):
         return np.zeros(0, np.int32)
-    a = np.frombuffer(text, np.uint8)
-    up, down = POWERS(len(a) + 1)
-    sums = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], out=sums[1:])
     size, all_of = ends - starts, [whole ^ np.uint64(1)]
     for m in STARTS:
-        s = starts[size >= m]
-        all_of.append(mix((sums[s + m] - sums[s]) * down[s] + np.uint64(m)) ^ np.uint64(0x5851F42D4C957F2D))
+        all_of.append(prefixes(seen, starts[size >= m], m) ^ np.uint64(0x5851F42D4C957F2D))
     return np.unique((np.concatenate(all_of) >> np.uint64(64 - BITS)).astype(np.int32))
 
 
@@ -117,7 +113,7 @@ def _association(lists: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np
     return 2 * g, seen[1] / n[1] > seen[0] / n[0]
 
 
-def _patterns(lists: list[np.ndarray], y: np.ndarray, most: int = 200, least: float = 12.0, lift: float = 8.0) -> np.ndarray:
+def _patterns(lists: list[np.ndarray], y: np.ndarray, most: int = 200, least: float = 20.0, lift: float = 20.0) -> np.ndarray:
     """Features that mark label 1: by their likelihood-ratio statistic, among those `lift` times as frequent there."""
     g, _ = _association(lists, y.astype(float))
     flat, rows = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
