@@ -101,11 +101,18 @@ def label_model(votes: np.ndarray, weight: np.ndarray, start: np.ndarray, rounds
     return {"posterior": post, "on": on, "off": off, "prior": prior, "parent": parent, "corr": cov / np.sqrt(np.outer(np.diag(cov), np.diag(cov)))}
 
 
+def _counts(lists: list[np.ndarray], weight: np.ndarray) -> np.ndarray:
+    """The weight of the rows that have each feature; some hundred rows at a time, so that arrays stay small."""
+    out = np.zeros(1 << BITS)
+    for i in range(0, len(lists), 256):
+        part = lists[i : i + 256]
+        out += np.bincount(np.concatenate(part), np.repeat(weight[i : i + 256], [len(x) for x in part]), 1 << BITS)
+    return out
+
+
 def _association(lists: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each feature, the likelihood-ratio statistic against (soft) labels y, and whether it speaks for label 1."""
-    flat, rows = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    n, on = np.array([len(lists) - y.sum(), y.sum()]), np.bincount(flat, y[rows], 1 << BITS)
-    df = np.bincount(flat, minlength=1 << BITS)
+    n, on, df = np.array([len(lists) - y.sum(), y.sum()]), _counts(lists, y), _counts(lists, np.ones(len(lists)))
     seen = np.array([df - on, on])
     both = df / n.sum()
     with np.errstate(all="ignore"):
@@ -116,8 +123,7 @@ def _association(lists: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np
 def _patterns(lists: list[np.ndarray], y: np.ndarray, most: int = 200, least: float = 20.0, lift: float = 20.0) -> np.ndarray:
     """Features that mark label 1: by their likelihood-ratio statistic, among those `lift` times as frequent there."""
     g, _ = _association(lists, y.astype(float))
-    flat, rows = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    on, off = (np.bincount(flat[y[rows] == c], minlength=1 << BITS) / (y == c).sum() for c in (1, 0))
+    on, off = (_counts(lists, (y == c).astype(float)) / (y == c).sum() for c in (1, 0))
     gain = np.where((on >= lift * off) & (g >= least), g, 0)
     best = np.argsort(-gain, kind="stable")[:most]
     return best[gain[best] > 0]
@@ -153,13 +159,12 @@ def fit(sample: list[tuple[np.ndarray, int]], share: dict[int, float]) -> tuple[
         return weights, -2.0
     stands = np.array([share[v] for v in y.tolist()])
     target = supervise(lists, y, stands)[1]["posterior"]
-    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    flat = np.concatenate(lists)
     # only features that go with the posteriors beyond chance: the others would be learnt by heart
     g, up = _association(lists, target)
-    use = (up & (g >= 10.0))[flat]
-    kept, col = np.unique(flat[use], return_inverse=True)
-    rows = rows[use]
+    use = up & (g >= 10.0)
+    some = [x[use[x]] for x in lists]
+    rows = np.repeat(np.arange(len(some)), [len(x) for x in some])
+    kept, col = np.unique(np.concatenate(some), return_inverse=True)
     # rows weigh by their true share, softened so that the rare class isn't drowned
     w = np.sqrt(stands)
     w /= w.sum()
@@ -205,9 +210,8 @@ def fitting_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in lists], pa.binary()), batch.column(2)], ["id", "f", "y"])
 
     one = named.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min(F.struct(F.xxhash64("text"), F.col("text"), F.col("y"))).alias("r"))
-    rows = one.select("id", "r.text", "r.y").mapInArrow(run, "id long, f binary, y int").collect()  # 3 * per_class rows at most
-    rows.sort(key=lambda r: (r["id"], bytes(r["f"])))
-    sample = [(np.frombuffer(r["f"], np.int32), r["y"]) for r in rows]
+    rows = one.select("id", "r.text", "r.y").mapInArrow(run, "id long, f binary, y int").toArrow().sort_by("id")  # 3 * per_class rows at most
+    sample = [(np.frombuffer(f.as_buffer(), np.int32), y.as_py()) for f, y in zip(rows.column("f"), rows.column("y"))]
     found = {v: sum(y == v for _, y in sample) for v in (-1, 0, 1)}
     counts[-1] = max(0, every - counts[0] - counts[1])
     return sample, {v: max(1.0, counts[v] / max(1, found[v])) for v in (-1, 0, 1)}
