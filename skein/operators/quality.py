@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import centroid_arrays, cosine, euclidean, normalize
+from ..functions.vectors import _matrix, centroid_arrays, cosine, dealt, euclidean, few, normalize
 
 
 def coherence(v: DataFrame) -> DataFrame:
@@ -34,42 +36,92 @@ def alignment(docs: DataFrame) -> DataFrame:
 def diversity(centers: DataFrame) -> DataFrame:
     """reference_compatible: 1 - (sum of cosine distances - n) / (n (n - 1)); corrected: their mean. Centers, not rows, are paired."""
     a, b = (centers.select(F.col("cluster_id").alias(f"i{x}"), F.col("center").alias(f"c{x}")) for x in "ab")
-    d = a.crossJoin(F.broadcast(b)).select("ia", F.when(F.col("ia") == F.col("ib"), 0.0).otherwise(1 - cosine(F.col("ca"), F.col("cb"))).alias("d"))
+    d = a.crossJoin(few(b)).select("ia", F.when(F.col("ia") == F.col("ib"), 0.0).otherwise(1 - cosine(F.col("ca"), F.col("cb"))).alias("d"))
     d = d.agg(F.sum("d").alias("s"), F.countDistinct("ia").alias("n"))
     pairs = F.col("n") * (F.col("n") - 1)
     return d.select(F.round(1 - (F.col("s") - F.col("n")) / pairs, 6).alias("reference_compatible"), F.round(F.col("s") / pairs, 6).alias("corrected"))
 
 
-def silhouette(v: DataFrame, sample: int | None = 500) -> DataFrame:
-    """Euclidean silhouette of a hash-ordered sample (None: all rows); the sample is the smaller side of every product."""
-    some = v.orderBy(F.xxhash64("doc_idx", F.lit(42)), "doc_idx").limit(sample) if sample else v
-    rows = some.select("doc_idx", "cluster_id", "embedding").toPandas()
-    x, y = np.array(rows["embedding"].tolist(), float), rows["cluster_id"].to_numpy()
-    shared = v.sparkSession.sparkContext.broadcast((x, y))
-
-    def run(batches):
-        x, y = shared.value
-        labels = np.unique(y)
-        sizes = np.array([(y == k).sum() for k in labels])
-        for pdf in batches:
-            z = np.array(pdf["embedding"].tolist(), float)
-            d = np.sqrt(np.maximum(((z[:, None] - x[None]) ** 2).sum(2), 0))
-            sums = np.stack([d[:, y == k].sum(1) for k in labels], 1)
-            own = np.searchsorted(labels, pdf["cluster_id"].to_numpy())
-            row = np.arange(len(z))
-            n = sizes[own]
-            a = sums[row, own] / np.maximum(n - 1, 1)
-            mean = sums / sizes
-            mean[row, own] = np.inf
-            b = mean.min(1)
-            yield pd.DataFrame({"s": np.where(n > 1, (b - a) / np.maximum(a, b), 0.0)})
-
-    return some.select("cluster_id", "embedding").repartition(8).mapInPandas(run, "s double").agg(F.round(F.avg("s"), 6).alias("silhouette"))
+def diversity_of(centers: DataFrame) -> DataFrame:
+    """The reference-compatible form alone, null for fewer than two centers."""
+    n = centers.count()
+    return diversity(centers).select(F.when(F.lit(n >= 2), F.col("reference_compatible")).alias("diversity"))
+
+
+def keyword_vectors(summaries: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
+    """cluster_id and embedding of each keyword; embed: an expression of the word, built-in or an Arrow function."""
+    return summaries.select("cluster_id", F.explode("keywords").alias("term")).select("cluster_id", embed(F.col("term")).alias("embedding"))
+
+
+def keyword_coherence(summaries: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
+    """Mean pairwise cosine of each cluster's keywords (two or more), then over clusters."""
+    return coherence(keyword_vectors(summaries, embed))
+
+
+def keyword_diversity(summaries: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
+    """Diversity of the clusters' mean keyword vectors."""
+    return diversity(centroid_arrays(keyword_vectors(summaries, embed)))
+
+
+def semantic_metrics(summaries: DataFrame, docs: DataFrame, vectors: DataFrame, embed: Callable[[Column], Column], coherence_method: str = "keywords", diversity_method: str = "centroids") -> DataFrame:
+    """One row of the metrics that the methods name: keywords, articles or both; centroids, keywords or both. A metric that
+    can't be told (too few clusters or members) is null."""
+    parts = []
+    if coherence_method in ("keywords", "both"):
+        parts.append(keyword_coherence(summaries, embed).select(F.col("coherence").alias("topic_coherence_keywords")))
+    if coherence_method in ("articles", "both"):
+        parts.append(coherence(vectors).select(F.col("coherence").alias("topic_coherence_articles")))
+    parts.append(alignment(docs).select(F.col("alignment").alias("category_alignment")))
+    if diversity_method in ("centroids", "both"):
+        parts.append(diversity(centroid_arrays(vectors)).select(F.col("reference_compatible").alias("cluster_diversity_centroids")))
+    if diversity_method in ("keywords", "both"):
+        parts.append(keyword_diversity(summaries, embed).select(F.col("reference_compatible").alias("cluster_diversity_keywords")))
+    out = parts[0]
+    for x in parts[1:]:  # each is one row
+        out = out.crossJoin(x)
+    return out
+
+
+def sampled(v: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """n rows, the least by a hash of their number: a sample that reruns repeat."""
+    return v.orderBy(F.xxhash64("doc_idx", F.lit(seed)), "doc_idx").limit(n)
+
+
+def silhouette(v: DataFrame, sample: int | None = 500, block: int = 512) -> DataFrame:
+    """Euclidean silhouette of a hash-ordered sample, or of all rows (None).
+
+    Rows meet in pairs of blocks; each task hands on the sums of its rows' distances to each cluster, never the distances.
+    """
+    some = (sampled(v, sample) if sample else v).filter("embedding is not null").select("doc_idx", "cluster_id", "embedding")
+    sizes = some.groupBy("cluster_id").agg(F.count("*").alias("n"))
+
+    def sums(g: pa.Table) -> pa.Table:
+        x, ids, cluster = _matrix(g.column("embedding")), g.column("doc_idx").to_numpy(), g.column("cluster_id").to_numpy()
+        left, right = (np.flatnonzero(g.column(c).to_numpy()) for c in ("left", "right"))
+        ways = [(left, right)] if g.column("i")[0] == g.column("j")[0] else [(left, right), (right, left)]
+        out = []
+        for p, q in ways:
+            labels, at = np.unique(cluster[q], return_inverse=True)
+            for a in range(0, len(p), 64):  # rows at a time, so that differences stay small
+                own = p[a : a + 64]
+                d = np.sqrt(((x[own][:, None] - x[q][None]) ** 2).sum(2))
+                total = np.zeros((len(own), len(labels)))
+                np.add.at(total.T, at, d.T)
+                out.append((np.repeat(ids[own], len(labels)), np.repeat(cluster[own], len(labels)), np.tile(labels, len(own)), total.ravel()))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        return pa.table(dict(zip(("doc_idx", "own", "other", "s"), (columns[0], columns[1].astype(np.int64), columns[2].astype(np.int64), columns[3]))))
+
+    part = dealt(some, block, "doc_idx", "cluster_id", "embedding").groupBy("i", "j").applyInArrow(sums, "doc_idx long, own long, other long, s double")
+    total = part.groupBy("doc_idx", "own", "other").agg(F.sum("s").alias("s")).join(few(sizes.withColumnRenamed("cluster_id", "other")), "other")
+    mine = F.col("own") == F.col("other")
+    row = total.groupBy("doc_idx").agg(F.max(F.when(mine, F.col("n"))).alias("n"), F.max(F.when(mine, F.col("s") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("a"), F.min(F.when(~mine, F.col("s") / F.col("n"))).alias("b"))
+    score = F.when((F.col("n") > 1) & (F.greatest("a", "b") > 0), (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
+    return row.agg(F.round(F.avg(score), 6).alias("silhouette"))
 
 
 def davies_bouldin(v: DataFrame) -> DataFrame:
     centers = centroid_arrays(v)
-    spread = v.join(F.broadcast(centers), "cluster_id").groupBy("cluster_id").agg(F.avg(euclidean(F.col("embedding"), F.col("center"))).alias("s")).join(centers, "cluster_id")
+    spread = v.join(few(centers), "cluster_id").groupBy("cluster_id").agg(F.avg(euclidean(F.col("embedding"), F.col("center"))).alias("s")).join(centers, "cluster_id")
     a, b = (spread.select(F.col("cluster_id").alias(f"i{x}"), F.col("s").alias(f"s{x}"), F.col("center").alias(f"c{x}")) for x in "ab")
-    worst = a.crossJoin(F.broadcast(b)).filter("ia <> ib").groupBy("ia").agg(F.max((F.col("sa") + F.col("sb")) / euclidean(F.col("ca"), F.col("cb"))).alias("r"))
+    worst = a.crossJoin(few(b)).filter("ia <> ib").groupBy("ia").agg(F.max((F.col("sa") + F.col("sb")) / euclidean(F.col("ca"), F.col("cb"))).alias("r"))
     return worst.agg(F.round(F.avg("r"), 6).alias("davies_bouldin"))

@@ -18,6 +18,32 @@ def delete(old: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return old.join(gone.select(key), key, "left_anti").select(old.columns)
 
 
+def updated(df: DataFrame, where: Column, **values) -> DataFrame:
+    """df with new values in the rows where a condition holds; other rows keep theirs."""
+    return df.withColumns({c: F.when(where, v if isinstance(v, Column) else F.lit(v)).otherwise(F.col(c)).cast(dict(df.dtypes)[c]) for c, v in values.items()})
+
+
+def assign(df: DataFrame, assignments: DataFrame, key: str, column: str) -> DataFrame:
+    """df with a column's values taken from assignments (key, column) where these have the row; a batch of updates."""
+    new = assignments.select(F.col(key).alias("__key"), F.col(column).alias("__new"), F.lit(True).alias("__has"))
+    out = df.join(new, F.col(key) == F.col("__key"), "left").withColumn(column, F.when(F.col("__has"), F.col("__new")).otherwise(F.col(column)))
+    return out.select(df.columns)
+
+
+def counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """name and rows of each table."""
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def healthy(spark) -> bool:
+    """Whether the session answers."""
+    return spark.sql("SELECT 1").first()[0] == 1
+
+
 def page(df: DataFrame, order: str, limit: int, offset: int = 0) -> DataFrame:
     return df.orderBy(order).offset(offset).limit(limit)
 

@@ -1,15 +1,13 @@
-"""Sources and sinks: JSON lines, parquet, CSV, graph and model folders, an article source with paging."""
+"""Sources and sinks: JSON lines, CSV, graph folders, snapshots; api.py has web sources, stores.py databases, models and reports."""
 
 from __future__ import annotations
 
-import json
 import random
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 ARTICLE = "title string, text string, categories array<string>, links array<string>"
 
@@ -19,8 +17,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = ARTICLE) -> DataFra
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", per_file: int = 0) -> None:
+    """JSON lines; with per_file, a file is closed after so many, so that a broken run loses fewer at most."""
+    df.write.mode(mode).option("maxRecordsPerFile", per_file).json(path)
 
 
 def resume(spark: SparkSession, path: str, fresh: DataFrame) -> DataFrame:
@@ -44,10 +43,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
-def write_metrics(df: DataFrame, path: str) -> None:
-    df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
-
-
 def snapshot(spark: SparkSession, paths: dict[str, str], target: str) -> None:
     """Copies tables (summaries too) as the baseline of later runs."""
     for name, path in paths.items():
@@ -58,6 +53,23 @@ def file_stats(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
 
 
+def stage_status(spark: SparkSession, artifacts: dict[str, list[str]]) -> DataFrame:
+    """stage, has_artifacts (all of its paths are there), size and last_modified of the stages' files."""
+    out = []
+    for stage, paths in artifacts.items():
+        size, latest, there = 0, 0, True
+        for path in paths:
+            root = spark._jvm.org.apache.hadoop.fs.Path(path)
+            fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+            there = there and fs.exists(root)
+            if there:
+                size += fs.getContentSummary(root).getLength()
+                latest = max(latest, fs.getFileStatus(root).getModificationTime())
+        out.append((stage, there, size if there else 0, latest if there else None))
+    rows = spark.createDataFrame(out, "stage string, has_artifacts boolean, size long, ms long")
+    return rows.select("stage", "has_artifacts", "size", F.timestamp_millis("ms").alias("last_modified"))
+
+
 def backoff(attempt: int, base: float = 1.0, most: float = 60.0, draw: Callable[[], float] = random.random) -> float:
     return min(most, base * 2**attempt) * (0.8 + 0.4 * draw())
 
@@ -75,44 +87,3 @@ class TokenBucket:
         self.tokens, self.at = min(self.burst, self.tokens + (now - self.at) * self.rate), now
         self.tokens -= 1
         return max(0.0, -self.tokens / self.rate)
-
-
-class ArticleSource(DataSource):
-    """Articles of one or more queries from JSON-line files, a partition for each query; stands in for a web API offline.
-
-    Options: path (a folder with <query>.jsonl), queries (comma-separated), limit.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "articles"
-
-    def schema(self) -> str:
-        return "query string, position long, title string, text string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _ArticleReader(self.options)
-
-
-class _ArticleReader(DataSourceReader):
-    def __init__(self, options) -> None:
-        self.path, self.queries, self.limit = options["path"], options["queries"].split(","), int(options.get("limit", "10"))
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(q) for q in self.queries]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        try:
-            f = open(f"{self.path}/{partition.value}.jsonl", encoding="utf-8")
-        except FileNotFoundError:
-            return
-        with f:
-            n = 0
-            for line in f:
-                try:
-                    row = json.loads(line)
-                except ValueError:
-                    continue
-                if n < self.limit and row.get("title"):
-                    yield partition.value, n, row["title"], row.get("text") or ""
-                    n += 1

@@ -1,39 +1,84 @@
-"""Structured Streaming twins: request metrics by window, progress on change, log append, incremental ingest."""
+"""Structured Streaming twins: request metrics by window, progress on change, log append, incremental ingest, retention."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def request_windows(requests: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
-    """Counts, mean latency and errors by window and endpoint of a stream (timestamp, endpoint, latency_ms, status_code)."""
+    """Counts, mean latency and errors by window (sliding, if slide is given) and endpoint of a frame or stream (timestamp,
+    endpoint, latency_ms, status_code)."""
     w = F.window("timestamp", width, slide) if slide else F.window("timestamp", width)
     grouped = requests.withWatermark("timestamp", late).groupBy(w, "endpoint") if requests.isStreaming else requests.groupBy(w, "endpoint")
     return grouped.agg(F.count("*").alias("requests"), F.avg("latency_ms").alias("avg_ms"), F.count_if(F.col("status_code") >= 400).alias("errors")).select(F.col("window.start").alias("start"), "endpoint", "requests", "avg_ms", "errors")
 
 
-def progress_changes(states: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Progress states without repeated ones, as a feed hands them on (run_id, state, timestamp)."""
-    s = states.withWatermark("timestamp", late) if states.isStreaming else states
-    return s.dropDuplicatesWithinWatermark(["run_id", "state"]) if states.isStreaming else s.dropDuplicates(["run_id", "state"])
+def progress_changes(states: DataFrame) -> DataFrame:
+    """Progress states (run_id, state, timestamp) as a feed hands them on: without those that repeat the one before. A state
+    that comes back later is a change again. A stream keeps each run's last state only."""
+    if not states.isStreaming:
+        before = F.lag("state").over(Window.partitionBy("run_id").orderBy("timestamp"))
+        return states.select("run_id", "state", "timestamp", before.alias("b")).filter("b is null or b <> state").drop("b")
+
+    def changes(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(parts)).sort_values("timestamp", kind="stable")
+        keep = rows["state"] != rows["state"].shift(fill_value=last)
+        state.update((rows["state"].iloc[-1],))
+        yield rows[keep][["run_id", "state", "timestamp"]]
+
+    named = states.select("run_id", "state", "timestamp")
+    return named.groupBy("run_id").applyInPandasWithState(changes, named.schema, "last string", "append", GroupStateTimeout.NoTimeout)
+
 
+def done(states: DataFrame) -> DataFrame:
+    """run_id of the runs of which every stage (run_id, stage, status) is completed or failed, where a feed closes."""
+    return states.groupBy("run_id").agg(F.bool_and(F.col("status").isin("completed", "error")).alias("all")).filter("all").select("run_id")
 
-def append_lines(spark: SparkSession, source: str, target: str, checkpoint: str):
+
+def append_lines(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
     """Text lines appended to a log table; DEBUG lines are left out."""
     lines = spark.readStream.text(source).filter(~F.col("value").startswith("DEBUG:"))
-    return lines.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target)
+    return append(lines, target, checkpoint)
+
+
+def append(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """A stream's rows, as they become final, into a parquet table; works off what is there and ends."""
+    return stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(target)
 
 
-def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, per_trigger: int = 1000):
+def append_logs(rows: DataFrame, target: str) -> None:
+    """Log rows appended to a table."""
+    rows.write.mode("append").parquet(target)
+
+
+def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, per_trigger: int = 1000) -> StreamingQuery:
     """New JSON-line files into a table; a rerun goes on where the last one stopped."""
     rows = spark.readStream.schema(schema).option("mode", "DROPMALFORMED").option("maxFilesPerTrigger", per_trigger).json(source)
-    return rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target)
+    return append(rows, target, checkpoint)
+
+
+def retain(stream: DataFrame, target: str, checkpoint: str, n: int = 10_000, time: str = "timestamp", tie: str = "id") -> StreamingQuery:
+    """The newest n rows seen so far, one version of the table for each batch: <target>/<batch>. A version holds n rows at
+    most and is made from the one before and the batch's own newest."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        newest = batch.orderBy(F.desc(time), F.desc(tie)).limit(n)
+        if number:
+            newest = spark.read.schema(batch.schema).parquet(f"{target}/{number - 1}").unionByName(newest).orderBy(F.desc(time), F.desc(tie)).limit(n)
+        newest.write.mode("overwrite").parquet(f"{target}/{number}")
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str | None = None, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and returns its result from memory."""
-    w = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    q = (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_table(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
+    """Runs a stream over what is there and reads its final rows: those of windows that the watermark has closed."""
+    append(stream, target, checkpoint).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(target)
