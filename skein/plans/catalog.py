@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import clustering, graph, ingest, keywords, monitoring, quality, search, tables
-from ..session import articles, links, table, vectors
+from ..session import articles, links, table, vectors, work_dir
 from ..streaming import request_windows, run_to_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,11 @@ _E2 = "l2 AS (SELECT x.title AS src, y.title AS dst FROM v x JOIN v y ON x.clust
 _E3 = f"l3 AS (SELECT x.title AS src, y.title AS dst, round({_COS.format('x.e', 'y.e')}, 6) AS weight FROM v x JOIN v y ON x.doc_idx <> y.doc_idx WHERE {_COS.format('x.e', 'y.e')} >= 0.3)"
 _G = f"{_V}, {_L}, {_E1}, {_E2}, {_E3}, g AS (SELECT src, dst, 3 AS layer, weight, 'semantic' AS type FROM l3 UNION ALL SELECT src, dst, 1, 1.0, 'link' FROM l1 WHERE (src, dst) NOT IN (SELECT (src, dst) FROM l3) UNION ALL SELECT src, dst, 2, 1.0, 'cluster' FROM l2 WHERE (src, dst) NOT IN (SELECT (src, dst) FROM l3) AND (src, dst) NOT IN (SELECT (src, dst) FROM l1))"
 _R = "r AS (SELECT event_id, event_type AS endpoint, value AS latency_ms, ts AS timestamp, CASE WHEN event_type = 'error' THEN 500 WHEN CAST(json_extract(props, '$.k') AS INT) >= 90 THEN 404 ELSE 200 END AS status_code FROM events)"
+_X = "x AS (SELECT d.doc_id AS doc_idx, 'Doc_' || d.doc_id AS title, d.text AS raw_text, d.lang, d.source, CAST(v.embedding AS DOUBLE[]) AS e, v.label AS cluster_id FROM documents d JOIN embeddings v ON d.doc_id = v.vec_id)"
+_XC = "xc AS (SELECT cluster_id, list(m ORDER BY pos) AS center FROM (SELECT cluster_id, pos, avg(y) AS m FROM (SELECT cluster_id, unnest(e) AS y, generate_subscripts(e, 1) AS pos FROM x) GROUP BY ALL) GROUP BY 1)"
+_XCOUNTS = f"xt AS ({_TOK.replace('FROM a', 'FROM x')}), xn AS (SELECT cluster_id, term, count(*) AS n FROM xt WHERE length(term) >= 3 AND term NOT IN {_STOP} GROUP BY ALL)"
+_KEYWORDS = "SELECT cluster_id, list(term ORDER BY rank) AS keywords FROM (SELECT cluster_id, term, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, term) AS rank FROM (SELECT xn.cluster_id, xn.term, round(n / total * ln(k / cf), 9) AS score FROM xn JOIN (SELECT cluster_id, sum(n) AS total FROM xn GROUP BY 1) USING (cluster_id) JOIN (SELECT term, count(*) AS cf FROM xn GROUP BY 1) USING (term), (SELECT count(DISTINCT cluster_id) AS k FROM xn))) WHERE rank <= 20 GROUP BY 1"
+_REPS = f"SELECT cluster_id, list(title ORDER BY rank) AS top_articles FROM (SELECT x.cluster_id, title, row_number() OVER (PARTITION BY x.cluster_id ORDER BY round({_EUCLID.format('e', 'center')}, 9), doc_idx) AS rank FROM x JOIN xc USING (cluster_id)) WHERE rank <= 10 GROUP BY 1"
 QUERY = "the and from that"
 
 
@@ -122,15 +127,6 @@ def cluster_sizes_distribution(spark, d):
     return s.agg(F.count("*").alias("clusters"), F.min("n").alias("min_size"), F.max("n").alias("max_size"), F.round(F.avg("n"), 6).alias("mean_size"), F.round(F.stddev_pop("n"), 6).alias("std_size"))
 
 
-@query(f"WITH {_A}, {_COUNTS}, s AS (SELECT c.cluster_id, c.term, round(n / total * ln(k / cf), 9) AS score FROM c JOIN (SELECT cluster_id, sum(n) AS total FROM c GROUP BY 1) USING (cluster_id) JOIN (SELECT term, count(*) AS cf FROM c GROUP BY 1) USING (term), (SELECT count(DISTINCT cluster_id) AS k FROM c)), w AS (SELECT cluster_id, string_agg(term, '|' ORDER BY score DESC, term) AS keywords FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, term) <= 20) GROUP BY 1), b AS (SELECT cluster_id, string_agg(title, '|' ORDER BY length(raw_text) DESC, doc_idx) AS top_articles FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY length(raw_text) DESC, doc_idx) <= 10) GROUP BY 1) SELECT cluster_id, count(*) AS size, any_value(keywords) AS keywords, any_value(top_articles) AS top_articles FROM a LEFT JOIN w USING (cluster_id) LEFT JOIN b USING (cluster_id) GROUP BY 1")
-def cluster_summary(spark, d):
-    from pyspark.sql import Window
-
-    a = articles(spark, d)
-    reps = a.select("cluster_id", "title", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc(F.length("raw_text")), "doc_idx")).alias("rank")).filter("rank <= 10")
-    return keywords.summaries(a, reps).select("cluster_id", "size", F.array_join("keywords", "|").alias("keywords"), F.array_join("top_articles", "|").alias("top_articles"))
-
-
 @query(f"WITH {_V}, {_C} SELECT v.doc_idx, arg_min(ctr.cluster_id, (round({_EUCLID.format('e', 'center')}, 9), ctr.cluster_id)) AS label FROM v, ctr GROUP BY 1")
 def nearest_center_assignment(spark, d):
     v = vectors(spark, d)
@@ -218,12 +214,6 @@ def fts_and_match(spark, d):
     return search.full_text(articles(spark, d), "the and", 20).select("title", "score")
 
 
-@query(f"WITH {_A} SELECT title, 'https://en.wikipedia.org/wiki/' || replace(title, ' ', '_') AS url, cluster_id, lang || '|' || source AS categories, 0 AS link_count FROM a WHERE doc_idx < 50")
-def search_enrichment(spark, d):
-    a = articles(spark, d)
-    return search.enrich(a.filter("doc_idx < 50").select("title"), a).select("title", "url", "cluster_id", F.array_join("categories", "|").alias("categories"), "link_count")
-
-
 _HREF = "unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))"
 
 
@@ -264,19 +254,24 @@ def graph_layer_counts(spark, d):
     return edges(spark, d).groupBy("layer").agg(F.count("*").alias("n"))
 
 
+def _around(spark, d, **options) -> DataFrame:
+    v = vectors(spark, d)
+    return graph.around(v, links(v), "Vec_0", 0.3, **options)
+
+
 @query(f"WITH {_G} SELECT dst, layer, weight, type FROM g WHERE src = 'Vec_0' ORDER BY weight DESC, dst LIMIT 20")
 def graph_neighbors(spark, d):
-    return graph.neighbors(edges(spark, d), "Vec_0")
+    return graph.neighbors(_around(spark, d), "Vec_0")
 
 
 @query(f"WITH {_G} SELECT dst, layer, weight, type FROM g WHERE src = 'Vec_0' AND layer IN (3) ORDER BY weight DESC, dst LIMIT 20")
 def graph_neighbors_layer(spark, d):
-    return graph.neighbors(edges(spark, d), "Vec_0", layers=[3])
+    return graph.neighbors(_around(spark, d), "Vec_0", layers=[3])
 
 
 @query(f"WITH {_G} SELECT * FROM g WHERE src = 'Vec_0' OR dst = 'Vec_0' ORDER BY src, dst LIMIT 50")
 def graph_undirected_neighbors(spark, d):
-    return graph.undirected_neighbors(edges(spark, d), "Vec_0")
+    return graph.undirected_neighbors(_around(spark, d, incoming=True), "Vec_0")
 
 
 _HOPS = "h0 AS (SELECT 'Vec_0' AS dst), h1 AS (SELECT DISTINCT l1.dst FROM l1 JOIN h0 ON l1.src = h0.dst WHERE l1.dst NOT IN (SELECT dst FROM h0))"
@@ -308,12 +303,6 @@ def graph_ego_edges(spark, d):
     return graph.ego(edges(spark, d), "Vec_0")
 
 
-@query(f"WITH {_G}, n AS (SELECT title FROM v WHERE doc_idx < 100) SELECT * FROM g WHERE src IN (FROM n) AND dst IN (FROM n)")
-def graph_induced_edges(spark, d):
-    v = vectors(spark, d)
-    return graph.induced(edges(spark, d), v.filter("doc_idx < 100"))
-
-
 @query(f"WITH {_V} SELECT round(avg(c), 6) AS coherence, count(*) AS n_clusters FROM (SELECT x.cluster_id, avg({_COS.format('x.e', 'y.e')}) AS c FROM v x JOIN v y ON x.cluster_id = y.cluster_id AND x.doc_idx < y.doc_idx GROUP BY 1)")
 def coherence_articles(spark, d):
     return quality.coherence(vectors(spark, d))
@@ -473,33 +462,11 @@ def keep_latest_cleanup(spark, d):
     return tables.keep_latest(table(spark, d, "orders"), "o_orderpriority", "o_orderdate", 100, "o_orderkey").select(F.col("o_orderkey").alias("run_id"))
 
 
-@query("SELECT c_name AS title, 'Q' || c_custkey AS qid, CASE WHEN c_custkey % 7 = 0 THEN 'absent' ELSE 'found' END AS state, CASE WHEN c_custkey % 7 <> 0 THEN 'https://www.wikidata.org/wiki/Q' || c_custkey END AS url FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT c_name, NULL, 'absent', NULL FROM customer WHERE c_custkey % 7 = 0")
-def entity_cache_link(spark, d):
-    c = table(spark, d, "customer")
-    cache = c.select(F.lower("c_name").alias("key"), F.when(F.col("c_custkey") % 7 != 0, F.concat(F.lit("Q"), F.col("c_custkey").cast("string"))).alias("qid"))
-    out = c.select(F.col("c_name").alias("title")).join(cache, F.lower("title") == F.col("key"), "left")
-    state = F.when(F.col("key").isNull(), "miss").when(F.col("qid").isNull(), "absent").otherwise("found")
-    return out.select("title", "qid", state.alias("state"), T.entity_url(F.col("qid")).alias("url"))
-
-
-@query(f"WITH {_A}, s AS (SELECT cluster_id, count(*) AS size, min(title) AS name FROM a GROUP BY 1) SELECT cluster_id, size, name FROM s WHERE contains(lower(name), 'doc_1') ORDER BY size DESC, cluster_id")
-def clusters_table_view(spark, d):
-    s = articles(spark, d).groupBy("cluster_id").agg(F.count("*").alias("size"), F.min("title").alias("name"))
-    return s.filter(F.lower("name").contains("doc_1")).orderBy(F.desc("size"), "cluster_id")
-
-
 @query(f"WITH {_A} SELECT title, lang || '; ' || source AS categories, CAST(cluster_id AS VARCHAR) AS cluster_id FROM a")
 def export_search_rows(spark, d):
     return tables.export_rows(articles(spark, d).select("title", "categories", "cluster_id"))
 
 
-@query(f"WITH {_V} SELECT title, coalesce(cluster_id, -1) AS cluster_id, contains(lower(title), '1') AS matches, CASE WHEN contains(lower(title), '1') THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.2 AS DOUBLE) END AS opacity FROM v")
-def embedding_map_points(spark, d):
-    v = vectors(spark, d)
-    hit = F.lower("title").contains("1")
-    return v.select("doc_idx", "title").join(v.select("doc_idx", "cluster_id"), "doc_idx", "left").select("title", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), hit.alias("matches"), F.when(hit, 1.0).otherwise(0.2).alias("opacity"))
-
-
 @query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'new' ELSE lang END AS lang FROM documents UNION ALL SELECT -1, 'new'")
 def upsert_articles(spark, d):
     old = table(spark, d, "documents").select("doc_id", "lang")
@@ -512,22 +479,15 @@ def pagination(spark, d):
     return tables.page(table(spark, d, "documents").select("doc_id"), "doc_id", 100, 50)
 
 
-@query("SELECT CAST(count(*) FILTER (WHERE label IN (0, 1)) AS BIGINT) AS base_only, CAST(count(*) FILTER (WHERE label >= 2) AS BIGINT) AS shared FROM (SELECT DISTINCT label FROM embeddings)")
-def cluster_set_operations(spark, d):
-    all_of = vectors(spark, d).select("cluster_id").distinct()
-    some = all_of.filter("cluster_id >= 2")
-    return all_of.subtract(some).agg(F.count("*").alias("base_only")).crossJoin(all_of.intersect(some).agg(F.count("*").alias("shared")))
-
-
 @query(f"WITH {_A} SELECT doc_idx, title, cluster_id FROM a WHERE lower(title) = 'doc_7'")
 def topic_title_lookup(spark, d):
     return ingest.lookup(articles(spark, d), " dOc_7 ").select("doc_idx", "title", "cluster_id")
 
 
-@query(f"WITH {_A} SELECT doc_idx, CASE WHEN length(raw_text) > 50 THEN substr(raw_text, 1, 50) || '...' ELSE raw_text END AS label, regexp_replace(substr(raw_text, 1, 200), '(the|and)', '<mark>\\1</mark>', 'gi') AS marked FROM a")
+@query(f"WITH {_A} SELECT doc_idx, CASE WHEN length(raw_text) > 50 THEN substr(raw_text, 1, 50) || '...' ELSE raw_text END AS label, md5(regexp_replace(raw_text, '(the|and)', '<mark>\\1</mark>', 'gi')) AS marked FROM a")
 def node_labels(spark, d):
     t = F.col("raw_text")
-    return articles(spark, d).select("doc_idx", T.label(t).alias("label"), T.highlight(F.substring(t, 1, 200), "the and").alias("marked"))
+    return articles(spark, d).select("doc_idx", T.label(t).alias("label"), F.md5(T.highlight(t, "the and").cast("binary")).alias("marked"))
 
 
 @query()
@@ -564,14 +524,13 @@ def windowed_api_metrics(spark, d):
     return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("avg_ms", F.round("avg_ms", 6))
 
 
-@query(_HOURS)
+@query(_HOURS.replace(" FROM r GROUP BY 1, 2", " FROM r GROUP BY 1, 2 HAVING start + INTERVAL 1 HOUR <= (SELECT max(timestamp) - INTERVAL 10 MINUTE FROM r)"))
 def streaming_api_metrics(spark, d):
-    import uuid
-
+    """The hours that the watermark has closed, ten minutes behind the newest request."""
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*")
     k = F.get_json_object("props", "$.k").cast("int")
     code = F.when(F.col("event_type") == "error", 500).when(k >= 90, 404).otherwise(200)
     named = stream.select(F.col("event_type").alias("endpoint"), F.col("value").alias("latency_ms"), F.col("ts").cast("timestamp").alias("timestamp"), code.alias("status_code"))
-    out = run_to_table(request_windows(named), f"api_{uuid.uuid4().hex}")
+    out = run_to_table(request_windows(named), work_dir(spark, "api"), work_dir(spark, "api-checkpoint"))
     return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("avg_ms", F.round("avg_ms", 6))
