@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix, signed, written
+from .common import components, lean, mix, signed, trimmed, written
 
 TABLES, CODES, BLOCK = 12, 3, 1024
 KEYS = TABLES * (CODES + 1)
@@ -74,6 +74,7 @@ def keys(x: np.ndarray, salt: np.ndarray) -> np.ndarray:
 def classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     """id, cls (null for a vector that links with nothing), v (unit, double), salt."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cls, unit, salts = [], [], []
@@ -98,6 +99,7 @@ def classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
     return cast.mapInArrow(run, "id long, cls binary, v array<double>, salt long")
 
 
+@trimmed
 def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         salt = batch.column(3).to_numpy(zero_copy_only=False)
@@ -161,6 +163,7 @@ def _compare(least: float):
         if held is not None:
             yield held
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches):
             if g.num_rows < 2:
@@ -182,6 +185,7 @@ def _compare(least: float):
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98) -> DataFrame:
     """One row per vector: id, n_links, component, kept."""
+    lean(vectors.sparkSession)
     rows = written(classes(vectors, id_col, vector_col, label_col), "embedding-rows")
     cls = rows.filter("cls is not null and id is not null").groupBy("cls").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.first("v").alias("v"), F.first("salt").alias("salt"))
     keyed = written(cls.select("cls", "n", "v", "salt").mapInArrow(_with_keys, "cls binary, n long, v array<double>, keys array<long>"), "embedding-keys")

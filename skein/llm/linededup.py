@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import LOWER, mix, remove, signed, tidy, utf8, words, written
+from .common import LOWER, lean, mix, remove, signed, tidy, trimmed, utf8, words, written
 
 #: Buckets of words, and the parts in which tables are added up.
 BUCKETS, CHUNKS = 1 << 19, 64
@@ -132,12 +132,14 @@ def _tokens(text: bytes, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def _table(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None], size: int, kind: type, add: Callable = np.add) -> np.ndarray:
     """An array that every task fills for its rows; the tasks' arrays are added up (or combined by `add`) chunk by chunk."""
 
+    @trimmed
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, kind)
         for batch in batches:
             fill(total, batch)
         yield from rows(dict(enumerate(total.reshape(CHUNKS, -1))))
 
+    @trimmed
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -204,6 +206,7 @@ def _lines(docs: DataFrame, rarity: np.ndarray, percent: int, parts: int) -> Dat
     """Blobs of lines by part: kind 0, the first ones of classes; kind 1, the places of lines that have an earlier equal."""
     shipped = docs.sparkSession.sparkContext.broadcast(rarity)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity, held, size = shipped.value, [], 0
         for batch in batches:
@@ -248,6 +251,7 @@ def _lines(docs: DataFrame, rarity: np.ndarray, percent: int, parts: int) -> Dat
     return docs.select("doc", "th", "text").mapInArrow(run, "p int, kind int, rec binary, pre binary")
 
 
+@trimmed
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a part's blobs: kind 0, each class's number and the place of its first line; kind 1, the places of all other
     lines; kind 2, blobs of classes."""
@@ -267,7 +271,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             held.append(_unpack(rec.as_buffer(), _LINE) | {"pre": np.frombuffer(pre.as_buffer(), np.int64)})
             size += len(held[-1]["n"])
-            if size > 2 * base + HELD:  # what is held stays in proportion to the part's classes
+            if size > 2 * base + HELD // 4:  # what is held stays in proportion to the part's classes
                 first, later = _firsts(_join(held))
                 yield from places(1, None, later)
                 held, size = [first], len(first["n"])
@@ -296,6 +300,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Arrays, np.nda
 def _hot(blobs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Tokens (sorted) of more than BLOCK classes, by a sample of the classes, and their numbers of blocks."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g, row, _ in _entries(batches):
             yield _batch(["token"], g["pre"][(_hash(g["id"]) % np.uint64(SAMPLE) == 0)[row]])
@@ -312,6 +317,7 @@ def _dealt(blobs: DataFrame, hot: tuple[np.ndarray, np.ndarray], part: int, pass
     looked at, and of the classes' numbers and tokens that look for partners."""
     shipped = blobs.sparkSession.sparkContext.broadcast((hot, again))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (tokens, blocks), again = shipped.value
         held, size = [], 0
@@ -332,7 +338,7 @@ def _dealt(blobs: DataFrame, hot: tuple[np.ndarray, np.ndarray], part: int, pass
             out = {c: g[c][row] for c in ("id", "doc", "n", "m0", "m1")}
             held.append(out | {"token": token, "ij": np.minimum(own, other) << 32 | np.maximum(own, other), "size": pos << 2 | (own > other).astype(np.int64) << 1 | open_})
             size += len(token)
-            if size > HELD // 2:
+            if size > HELD // 4:
                 yield from deal(held)
                 held, size = [], 0
         yield from deal(held)
@@ -407,6 +413,7 @@ def _partners(percent: int, every: bool):
             yield g["id"][xs[few]], g["id"][ys[few]], differ[few]
             yield g["id"][more], g["id"][more], g["token"][more]
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = _join([_unpack(rec.as_buffer(), _AT) for batch in batches for rec in batch.column(1)])
         if not g:
@@ -429,6 +436,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """Places and lower-cased texts of lines, all the n wanted ones (doc, th, line) among them."""
     shipped = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(*_PLACE), n))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shipped.value
         for batch in batches:
@@ -449,15 +457,17 @@ def _texts(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 def _verified(percent: int):
     """Those classes (the later ones of pairs) whose lines' words do match."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            later, wa, wb = (c.to_pylist() for c in batch.columns)
-            sets = {text: frozenset(text.split()) for text in {*wa, *wb}}  # at the bytes that part words
-            for i, x, y in zip(later, map(sets.__getitem__, wa), map(sets.__getitem__, wb)):
-                both = len(x & y)
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    out.append(i)
+            for a in range(0, batch.num_rows, 1000):
+                later, wa, wb = (c.slice(a, 1000).to_pylist() for c in batch.columns)
+                sets = {text: frozenset(text.split()) for text in {*wa, *wb}}  # at the bytes that part words
+                for i, x, y in zip(later, map(sets.__getitem__, wa), map(sets.__getitem__, wb)):
+                    both = len(x & y)
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        out.append(i)
             yield _batch(["id"], pa.array(out, pa.int64()))
 
     return run
@@ -468,7 +478,7 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     docs: columns doc (no nulls), th and text.
     """
-    spark = docs.sparkSession
+    spark = lean(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rarity = _rarity(docs.select("text"))
     schema = "kind int, id long, doc long, th long, line long, rec binary, pre binary"

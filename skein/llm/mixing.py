@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import count_words, remove, written
+from .common import count_words, lean, remove, written
 
 CELLS = 4096
 #: Documents of a source's cell that are ordered in one task at most; a cell of more is divided again.
@@ -106,7 +106,7 @@ def _cuts(ranked: DataFrame, want: dict[str | None, float]) -> dict[str | None,
     """The key (rank, id, size) of the last document that each source takes. ranked: s, r, k and size."""
     at = dict.fromkeys(want, (0.0, 1.0, 0.0))  # of the cell that holds the cut: least rank, width, the words before
     for _ in range(4):
-        cell = F.least(F.floor((F.col("r") - F.col("__lo")) / F.col("__width") * CELLS), F.lit(CELLS - 1)).cast("int")
+        cell = F.least(F.floor((F.col("r") - F.col("__lo")) / F.col("__width") * CELLS), F.lit(CELLS - 1))
         inside = _with(ranked, "s", [(s, *x, want[s]) for s, x in at.items()], "__lo double, __width double, __before double, __want double").withColumn("cell", cell)
         sums = inside.filter("cell >= 0 and r <= __lo + __width").groupBy("s", "cell", "__before", "__want").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
         run = sums.withColumn("before", F.col("__before") + F.sum("words").over(Window.partitionBy("s").orderBy("cell")) - F.col("words"))
@@ -132,6 +132,7 @@ _PLAN = "source_size long, target double, __whole int, __part boolean, __c doubl
 
 def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight_col: str | None, weights: tuple[float, ...], share: float, most: float, seed: int) -> tuple[DataFrame, list[tuple]]:
     """The narrow table (s, id, size, w, u, k) and the plan, one row for each source."""
+    lean(docs.sparkSession)
     given = F.lit(None).cast("double") if weight_col is None else F.col(weight_col).cast("double")
     narrow = docs.select(F.col(source_col).cast("string").alias("s"), F.col(id_col).alias("id"), word_count(text_col).alias("size"), _uniform(id_col, text_col, seed).alias("u"), given.alias("g"))
     narrow = written(narrow, "mixing").withColumn("k", F.coalesce(F.col("id").cast("string"), F.lit(""))).withColumn("w", _weight(F.col("size"), None if weight_col is None else F.col("g")))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import POWERS, mix, remove, signed, tidy, utf8, written
+from .common import POWERS, lean, mix, remove, signed, tidy, trimmed, utf8, written
 
 LENGTH, PART, RUN = 100, 24, 24
 #: Distinct pieces of one m in a collection, and bytes of a collection, at most (about).
@@ -66,6 +66,7 @@ def pieces(text: bytes, length: int = LENGTH, part: int = PART) -> tuple[np.ndar
 
 
 def _all_pieces(docs: DataFrame, length: int) -> DataFrame:
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, th = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -202,6 +203,7 @@ def repeats(strings: list[bytes], order: np.ndarray, length: int = LENGTH) -> tu
 def _wanted(docs: DataFrame, length: int) -> DataFrame:
     """The blocks or single strings of the pieces in `want` (start, size, hot): b, doc, th, start, s."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0
@@ -238,6 +240,7 @@ def _found(strings: DataFrame, length: int) -> DataFrame:
         sid, off = repeats([r[4] for r in rows], order, length)
         return [(rows[i][1], rows[i][2], a, a + length) for i, a in zip(sid.tolist(), (order[sid, 1] + off).tolist())]
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: dict[bytes, tuple] = {}
         done, out = [], []
@@ -309,10 +312,12 @@ def intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """id, n_bytes, n_removed, n_spans (maximal removed runs), spans (their starts and ends), kept (binary)."""
+    lean(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("long").alias("doc"), F.hash(text_col).alias("th"), F.col(text_col).alias("text"))
     cut = intervals(named, length).withColumnsRenamed({"doc": "doc_", "th": "th_"})
     both = named.join(cut, F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("th") == F.col("th_")), "left").select("doc", "text", "cut.a", "cut.b")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import new_path, slices
+from .common import lean, new_path, slices, trimmed
 
 LENGTH, BATCH = 2048, 64
 _MEMO = 480_000
@@ -167,9 +167,10 @@ class _Shard:
 
 def write(docs: DataFrame, folder: str, vocabulary: str, end: int = 2, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """Writes the shards; returns their manifest (shard, n_docs, n_ids, base: ids in all shards before), one row each."""
-    spark = docs.sparkSession
+    spark = lean(docs.sparkSession)
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         shard, attempt = task.partitionId(), task.taskAttemptId()
@@ -228,6 +229,7 @@ def sequence(reader: pa.ipc.RecordBatchFileReader, i: int) -> tuple[np.ndarray,
 def read(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it) and ids (binary, little-endian uint32) from the shards' files."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _fs(folder)
         for batch in batches:

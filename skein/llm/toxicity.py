@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefixes, utf8, windows, words
+from .common import lean, prefixes, trimmed, utf8, windows, words
 
 BITS = 20
 STARTS = (4, 5, 6, 7)
@@ -191,6 +191,7 @@ def held_out(id_column, folds: int = 5):
 
 def fitting_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000, folds: int = 5) -> tuple[list[tuple[np.ndarray, int]], dict[int, float]]:
     """(features, label or -1) of the rows of the fit, and how many rows each kind of them stands for."""
+    lean(docs.sparkSession)
     given = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y")).filter(~held_out(F.col("id"), folds))
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & ~held_out(F.col("id"), folds))
     counts = {0: 0, 1: 0} | {r["y"]: r["count"] for r in given.groupBy("y").count().collect()}
@@ -204,6 +205,7 @@ def fitting_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     other = some.join(F.broadcast(labels.select(F.col(id_col).cast("long").alias("id")).join(F.broadcast(some), "id", "left_semi").distinct()), "id", "left_anti")
     chosen = labelled[0].unionByName(labelled[1]).unionByName(other.select("id", F.lit(-1).alias("y")))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [features(t) for t in utf8(batch.column(1))]
@@ -229,8 +231,9 @@ def _scores(texts: pa.Array, w: np.ndarray, bias: float) -> np.ndarray:
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score (0 to 1) of every whole text."""
-    shipped, bias = docs.sparkSession.sparkContext.broadcast(model[0]), model[1]
+    shipped, bias = lean(docs.sparkSession).sparkContext.broadcast(model[0]), model[1]
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shipped.value
         for batch in batches:
@@ -242,8 +245,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """docs without the rows whose own text scores the threshold or more, whatever their id; all columns stay."""
     w, bias = train(docs, labels, id_col, text_col)
-    shipped, at = docs.sparkSession.sparkContext.broadcast(w), docs.columns.index(text_col)
+    shipped, at = lean(docs.sparkSession).sparkContext.broadcast(w), docs.columns.index(text_col)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shipped.value
         for batch in batches:
