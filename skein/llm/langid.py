@@ -6,10 +6,12 @@ a prior of its host. The reliability of declarations and suffixes is estimated f
 aggregation counts how often each goes with each language of the texts. The host's prior is smoothed by its domain's,
 and that by the whole corpus's, without the record's own count. All counts cover all records.
 
-Only the fit of the trigrams is bounded: `per_language` labelled documents of each language, the least by a hash.
+Only the fit of the trigrams is bounded: `per_language` labelled documents of each of the `most_languages` languages that
+have the most documents, the least by a hash (documented parameters).
 
 Defined results: null, empty and letterless texts have flat likelihoods, so the other evidence decides; a record
-without a host, declaration or suffix goes without that evidence. Equal scores go to the first language by code point.
+without a host, declaration or suffix goes without that evidence, and is dealt by a salt in place of the missing key.
+Without labelled documents no language is told. Equal scores go to the first language by code point.
 Records with null ids or repeated ones keep their rows. Other columns are ignored.
 """
 
@@ -20,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import utf8, written
+from .common import lean, trimmed, utf8, written
 
 BITS = 16
 _TAGS = re.compile(rb"<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>", re.S | re.I)
@@ -32,6 +34,7 @@ _GAPS = re.compile(rb" +")
 #: Largest weight of a text, in trigrams; longer texts count as much as one of this length.
 CAP = 60.0
 HOST, DOMAIN, SEEN = 4.0, 16.0, 8.0
+SALTS = 1009
 
 
 def trigrams(text: bytes, markup: bool) -> np.ndarray:
@@ -41,17 +44,19 @@ def trigrams(text: bytes, markup: bool) -> np.ndarray:
     return (((a[:-2] * np.uint32(31) + a[1:-1]) * np.uint32(37) + a[2:]) * np.uint32(2654435761)) >> np.uint32(32 - BITS)
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = 400) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = 400, most_languages: int = 200) -> tuple[list[str], np.ndarray]:
     """Languages in order and their log-probabilities of trigrams (languages x 2**16)."""
-    named = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and id is not null")
-    langs = sorted(r["lang"] for r in named.select("lang").distinct().collect())  # one row per language
+    lean(docs.sparkSession)
+    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and id is not null")
+    known = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    langs = sorted(r["lang"] for r in known)
     if not langs:
         return [], np.zeros((0, 1 << BITS))
-    some = None
-    for lang in langs:
-        one = named.filter(F.col("lang") == lang).select("id", "lang").orderBy(F.xxhash64("id"), "id").limit(per_language)
-        some = one if some is None else some.unionByName(one)
+    # each task keeps the first rows of a language only before they are shuffled
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    some = named.select("id", "lang").filter(F.col("lang").isin(langs)).withColumn("nth", nth).filter(F.col("nth") <= per_language)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -61,7 +66,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int64()), pa.array(c[at], pa.int64())], ["lang", "g", "n"])
 
-    counts = named.join(F.broadcast(some.select("id", "lang")), ["id", "lang"]).select("lang", "text").mapInArrow(run, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    counts = named.join(F.broadcast(some.select("id", "lang").distinct()), ["id", "lang"]).select("lang", "text").mapInArrow(run, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
     table = np.full((len(langs), 1 << BITS), 0.05)
     for r in counts.collect():  # 2**16 rows per language at most
         table[langs.index(r["lang"]), r["g"]] += r["n"]
@@ -73,6 +78,7 @@ def likelihoods(records: DataFrame, model: tuple[list[str], np.ndarray]) -> Data
     langs = model[0]
     shipped = records.sparkSession.sparkContext.broadcast(model[1].astype(np.float32))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shipped.value
         for batch in batches:
@@ -102,10 +108,13 @@ def identify(records: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFra
 
     total = base.agg(*[F.coalesce(F.sum(F.col("p")[i]), F.lit(0.0)) for i in range(n)]).first()
     everywhere = [(t + 1) / (sum(total) + n) for t in total]
+    # a record without a key meets no counts; its salt spreads such records over all tasks
+    salt = F.pmod(F.xxhash64("kind", "id"), F.lit(SALTS))
     joined = base
     for name, key in (("h", "host"), ("d", "domain"), ("m", "declared"), ("s", "suffix")):
-        packed = counts(key).select(F.col(key).alias(f"{name}_k"), F.array(*[f"c{i}" for i in range(n)]).alias(name))
-        joined = joined.join(packed, F.col(key) == F.col(f"{name}_k"), "left").drop(f"{name}_k")
+        packed = counts(key).select(F.col(key).alias("k"), F.lit(0).cast("long").alias("z"), F.array(*[f"c{i}" for i in range(n)]).alias(name))
+        here = joined.withColumn("z_", F.when(F.col(key).isNull(), salt).otherwise(0))
+        joined = here.join(packed, (F.col(key) == F.col("k")) & (F.col("z_") == F.col("z")), "left").drop("k", "z", "z_")
 
     def own(name: str, i: int):
         """The key's count of language i without the record's own."""
