@@ -1,8 +1,10 @@
 """Byte-level BPE: encoding by a local rank file with the tiktoken library, decoding to raw bytes.
 
-Texts over LONG characters are split first where the split pattern always ends a match: at a blank between two ASCII
-letters (the letters before it end there, and the blank opens the next match). Each part is encoded by itself, so the
-ids equal those of the whole text. Parts without such a blank stay whole.
+Texts over LONG characters are split first where the split pattern always ends a match: between a letter and what is no
+letter (ASCII, or common marks of Chinese and Japanese). Long runs of white space, on which the pattern's look-ahead
+would fail, are one match but for the last character before more text, and are merged by themselves. Each part is
+encoded by itself, so the ids equal those of the whole text. A part without such a place stays whole: it is one match,
+or few.
 
 Defined results: a null text is an empty one (no ids, no bytes). Repeated rows and null ids keep their rows. Ids come
 back as array<int>, bytes as binary.
@@ -20,10 +22,12 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import lean, trimmed, utf8
 
 LONG = 1 << 16
-_SAFE = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
+_SAFE = re.compile("(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3])(?=[\\x00-@\\[-`{-\x7f\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])")
+#: White space to the split pattern: Python's own class has four separators more.
+_SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Ids gathered before a batch goes back to Spark.
 _FLUSH = 1 << 20
 
@@ -44,16 +48,30 @@ def parts(text: str, long: int = LONG) -> Iterator[str]:
     yield text[at:]
 
 
+def ids_of(enc: tiktoken.Encoding, text: str, long: int = LONG) -> list[int]:
+    """The ids of a text, encoded in parts if it is long."""
+    if len(text) <= long:
+        return enc.encode_ordinary(text)
+    out, at = [], 0
+    for gap in re.finditer(_SPACE + "{%d,}" % max(2, long // 2), text):
+        end = gap.end() - (gap.end() < len(text))
+        out += [x for p in parts(text[at : gap.start()], long) for x in enc.encode_ordinary(p)]
+        out += enc._encode_single_piece(text[gap.start() : end])
+        at = end
+    return out + [x for p in parts(text[at:], long) for x in enc.encode_ordinary(p)]
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", long: int = LONG) -> DataFrame:
     """id and ids (array<int>) of each row's whole text."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
         for batch in batches:
             out, size, first = [], 0, 0
             for i, text in enumerate(utf8(batch.column(1))):
                 text = text.decode("utf-8", "replace")
-                ids = enc.encode_ordinary(text) if len(text) <= long else [x for p in parts(text, long) for x in enc.encode_ordinary(p)]
+                ids = ids_of(enc, text, long)
                 out.append(pa.array(ids, pa.int32()))
                 size += len(ids)
                 if size >= _FLUSH:
@@ -61,6 +79,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                     out, size, first = [], 0, i + 1
             yield _lists(batch.column(0).slice(first), out)
 
+    lean(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, ids array<int>")
 
 
@@ -75,6 +94,7 @@ def _lists(ids: pa.Array, lists: list[pa.Array]) -> pa.RecordBatch:
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """id, ids and bytes: the raw bytes that the ids stand for."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
         for batch in batches:
