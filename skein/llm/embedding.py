@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, lean, mix, signed, trimmed, written
+from .common import components, lean, mix, remove, signed, trimmed, written
 
 TABLES, CODES, BLOCK = 12, 3, 1024
 KEYS = TABLES * (CODES + 1)
@@ -201,7 +201,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     comp = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")), "embedding-comp").withColumnRenamed("node", "cls")
     named = cls.select("cls", "n", "id").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     named = named.join(named.groupBy("comp").agg(F.min("id").alias("component")), "comp").join(links, "cls", "left")
-    named = named.select("cls", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component")
+    named = written(named.select("cls", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component"), "embedding-named")
+    remove(vectors.sparkSession, keyed, found)
     out = rows.select("id", F.when(F.col("id").isNotNull(), F.col("cls")).alias("cls")).join(named, "cls", "left")
     return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component")).withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(True)))
 

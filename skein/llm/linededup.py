@@ -486,7 +486,7 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     tidy(spark)
     first, later, blobs = (base.filter(F.col("kind") == k) for k in range(3))
     first, blobs = first.select("id", *_PLACE), blobs.select("rec", "pre")
-    hot = _hot(blobs)
+    hot, used = _hot(blobs), [base]
 
     def search(again: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
         out = None
@@ -496,6 +496,7 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
             part = written(_dealt(blobs, hot, k, passes, 2 * parts if again is None else parts, again).mapInArrow(_partners(percent, again is not None), "a long, b long, d long"), "lines-pairs")
             tidy(spark)
             out = part if out is None else out.unionByName(part)
+            used.append(part)
         return out
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -513,6 +514,7 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         out = written(full.mapInArrow(_verified(percent), "id long").distinct(), "lines-matched")
         remove(spark, wanted, texts)
         tidy(spark)
+        used.append(out)
         return out
 
     found = search()
@@ -523,7 +525,9 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         matched = matched.unionByName(verified(more.select("a", "b").distinct()))
     lost = first.join(matched.distinct(), "id", "left_semi")
     gone = later.select(*_PLACE).unionByName(lost.select(*_PLACE))
-    return gone.groupBy("doc", "th").agg(F.collect_set(F.col("line").cast("int")).alias("gone"))
+    gone = written(gone.groupBy("doc", "th").agg(F.collect_set(F.col("line").cast("int")).alias("gone")), "lines-gone")
+    remove(spark, again, *used)
+    return gone
 
 
 @F.arrow_udf(StringType())
@@ -542,7 +546,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with the text shortened by its removed lines (and their newlines), n_lines and n_removed."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE))
     named = docs.select(F.struct("*").alias("__row"), key.alias("__doc"), F.xxhash64(text_col).alias("__th"), F.col(text_col).alias("__text"))
-    gone = written(removed_lines(named.select(F.col("__doc").alias("doc"), F.col("__th").alias("th"), F.col("__text").alias("text")), percent), "lines-gone")
+    gone = removed_lines(named.select(F.col("__doc").alias("doc"), F.col("__th").alias("th"), F.col("__text").alias("text")), percent)
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed") or c in (id_col, text_col)]
     text, lost = F.col("__row")[text_col], F.col("gone")
     # the lists of lines are hashed, a part at a time, so that texts aren't sorted
