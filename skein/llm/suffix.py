@@ -17,6 +17,9 @@ document) is removed; strings are judged on the input, and never cross documents
    is cut into its single strings instead, dealt out by the hash of the whole string.
 4. The repeats of each document become intervals, and the text loses them.
 
+Of the intervals about half come from step 2 (whole pieces that are equal), the rest from the transform of step 3, which
+decides among pieces that overlap in part.
+
 Defined results: null and empty texts, and those under `length` bytes, lose nothing. A null id orders first; rows with
 equal id are ordered by a hash of their text, and equal rows share their fate as one document. Removal may cut a UTF-8
 sequence, so kept bytes are binary. Other columns are ignored.

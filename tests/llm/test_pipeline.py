@@ -22,3 +22,25 @@ def test_stages(spark):
             assert docs.filter(F.col("n_chars") != F.length("text")).count() == 0
     assert seen[0] < 1000 and seen[0] == seen[1] and seen[2] <= seen[1] and seen[4] == seen[3]
     assert P.run(spark, SF).count() == seen[-1]
+
+
+def test_stages_take_nulls_repeats_long_texts_and_empty_tables(spark):
+    words = [f"w{i}" for i in range(200)]
+    base, long = " ".join(words), "\n".join(" ".join(f"l{i}x{j}" for j in range(9)) for i in range(6000))
+    rows = [(1, base, "en", "s", 1), (2, base + " more", "en", "s", 1), (2, "two\nlines", "en", None, 1), (3, None, None, None, None), (4, "", "en", "s", 1), (None, base, "en", "s", 1), (5, long, "fr", "t", 1), (1, base, "en", "s", 1), (6, "  \n\t", None, "t", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema), spark.createDataFrame(rows, schema).withColumns({"size": F.lit("x"), "kept": F.lit(1), "gone": F.lit(2), "copies": F.lit(3)})):
+        columns, n = docs.columns, docs.count()
+        for name, stage in P.STAGES:
+            docs = P.written(stage(spark, docs, SF), name)
+            if name != "byte_bpe":
+                assert docs.columns == columns
+            if name == "toxicity":
+                assert docs.count() == n  # none of these is toxic
+            if name == "line_dedup":
+                assert docs.count() == n and (not n or docs.filter("doc_id = 5").first().text == long)
+            if name == "minhash_dedup" and n:
+                # the null id orders first, so its line stays and documents 1 and 2 lose theirs
+                assert sorted((r.doc_id is None, r.doc_id or 0) for r in docs.select("doc_id").collect())[-1] == (True, 0)
+                assert docs.filter("doc_id = 5").count() == 1
+        assert docs.columns[:2] == ["doc_id", "n_tokens"] and (n > 0) == (docs.count() > 0)
