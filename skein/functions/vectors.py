@@ -97,8 +97,8 @@ def top_k(v: DataFrame, query: list[float], k: int, metric: str = "cosine") -> D
     return v.withColumn("dist", F.round(dist, 9)).orderBy("dist", "doc_idx").limit(k)
 
 
-def nearest_center(v: DataFrame, centers: DataFrame) -> DataFrame:
-    """doc_idx, title and the label of the nearest center; ties go to the least label.
+def nearest_center(v: DataFrame, centers: DataFrame, *keep: str) -> DataFrame:
+    """doc_idx, title, the label of the nearest center, and the columns to keep; ties go to the least label.
 
     Few centers travel as one array and the minimum is taken in the row, without a shuffle; many are joined and reduced.
     """
@@ -107,9 +107,9 @@ def nearest_center(v: DataFrame, centers: DataFrame) -> DataFrame:
     if small(named):
         all_of = F.broadcast(named.agg(F.collect_list(F.struct("label", "center")).alias("all")))
         nearest = F.array_min(F.transform("all", lambda c: F.struct(F.round(euclidean(F.col("embedding"), c["center"]), 9).alias("d"), c["label"].alias("label"))))
-        return rows.crossJoin(all_of).select("doc_idx", "title", nearest["label"].alias("label"))
-    pairs = rows.crossJoin(named)
-    return pairs.groupBy("doc_idx", "title").agg(F.min(F.struct(F.round(euclidean(F.col("embedding"), F.col("center")), 9), "label")).alias("m")).select("doc_idx", "title", F.col("m.label").alias("label"))
+        return rows.crossJoin(all_of).select("doc_idx", "title", nearest["label"].alias("label"), *keep)
+    best = rows.crossJoin(named).groupBy("doc_idx", "title").agg(F.min(F.struct(F.round(euclidean(F.col("embedding"), F.col("center")), 9), "label")).alias("m"), *[F.first(c).alias(c) for c in keep])
+    return best.select("doc_idx", "title", F.col("m.label").alias("label"), *keep)
 
 
 class Embedder(Protocol):
