@@ -35,6 +35,8 @@ _GAPS = re.compile(rb" +")
 CAP = 60.0
 HOST, DOMAIN, SEEN = 4.0, 16.0, 8.0
 SALTS = 1009
+#: Range of the hashes that choose the sample, and how many times the sample they leave to choose from.
+HASHES, SPARE = 1 << 40, 8
 
 
 def trigrams(text: bytes, markup: bool) -> np.ndarray:
@@ -52,9 +54,11 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     langs = sorted(r["lang"] for r in known)
     if not langs:
         return [], np.zeros((0, 1 << BITS))
-    # each task keeps the first rows of a language only before they are shuffled
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    some = named.select("id", "lang").filter(F.col("lang").isin(langs)).withColumn("nth", nth).filter(F.col("nth") <= per_language)
+    # of each language the ids under a hash that leaves about SPARE times the sample, so that few rows are ordered
+    h = F.pmod(F.xxhash64("id"), F.lit(HASHES))
+    under = F.create_map(*[F.lit(x) for r in known for x in (r["lang"], int(min(1.0, SPARE * per_language / r["count"]) * HASHES))])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    some = named.select("id", "lang", h.alias("h")).filter(F.col("h") < under[F.col("lang")]).withColumn("nth", nth).filter(F.col("nth") <= per_language)
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
