@@ -5,9 +5,11 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of rows that go to Python at once, whatever their number: long texts come in small batches.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "16m"
+#: Resident bytes of a worker from which it gives memory back after a task.
+LARGE = 400 << 20
 
 
 def lean(spark: SparkSession) -> SparkSession:
@@ -50,15 +54,17 @@ def lean(spark: SparkSession) -> SparkSession:
 
 
 def trimmed(run: Callable) -> Callable:
-    """run, whose task gives the memory that it has freed back to the system when it ends: workers live on between tasks."""
+    """run, whose task gives the memory that it has freed back to the system when it ends, if the worker is large: workers
+    live on between tasks."""
 
     def wrapped(batches: Iterator) -> Iterator:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
             with contextlib.suppress(AttributeError, OSError):
-                ctypes.CDLL(None).malloc_trim(0)
+                if int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGESIZE") > LARGE:
+                    pa.default_memory_pool().release_unused()
+                    ctypes.CDLL(None).malloc_trim(0)
 
     return wrapped
 
