@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
-_UPPER = bytes(range(65, 91))
+UPPER = bytes(range(65, 91))
 #: A-Z to a-z; every other byte stays, so UTF-8 sequences are left alone.
-LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
+LOWER = bytes.maketrans(UPPER, UPPER.lower())
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(_SEPARATORS)] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
