@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, merkle
+from . import audit, merkle, topk
 from .audit import op13_audit
 from .bytebpe import op7_byte_bpe
 from .embedding import op2_embedding
@@ -18,11 +18,12 @@ from .minhash import op1_minhash
 from .mixing import op9_mixing
 from .suffix import op4_suffix
 from .tokenfile import op3_token_file
+from .topk import op11_topk
 from .toxicity import op6_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_minhash, op2_embedding, op3_token_file, op4_suffix, op5_line_dedup, op6_toxicity, op7_byte_bpe, op8_langid, op9_mixing, op10_media, op12_merkle, op13_audit)
+    every = (op1_minhash, op2_embedding, op3_token_file, op4_suffix, op5_line_dedup, op6_toxicity, op7_byte_bpe, op8_langid, op9_mixing, op10_media, op11_topk, op12_merkle, op13_audit)
     return {f.__name__: f for f in every}
 
 
@@ -93,4 +94,4 @@ FROM documents d LEFT JOIN k USING (doc_id)
 def oracle_sql() -> dict[str, str]:
     """The other queries rest on tokenizers, trained models and hashes that SQL can't run; they are tested against brute
     force in tests/llm."""
-    return {"op1_minhash": _OP1, "op2_embedding": _OP2, "op5_line_dedup": _OP5, "op12_merkle": merkle.SQL, "op13_audit": audit.SQL}
+    return {"op1_minhash": _OP1, "op2_embedding": _OP2, "op5_line_dedup": _OP5, "op11_topk": topk.SQL, "op12_merkle": merkle.SQL, "op13_audit": audit.SQL}
