@@ -60,12 +60,8 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(lists.flatten(), float).reshape(len(lists), -1)
 
 
-def similar_pairs(v: DataFrame, threshold: float = 0.7, block: int = 512) -> DataFrame:
-    """a < b and sim for all pairs with cosine >= threshold, exactly.
-
-    Vectors are dealt out as pairs of blocks, each compared by one matrix product in Arrow batches; only qualifying pairs
-    leave a task. The comparisons are all pairs by definition of an exact join without labels.
-    """
+def compare_blocks(threshold: float) -> Callable[[pa.Table], pa.Table]:
+    """Pairs a < b with cosine >= threshold of a group (i, j) of dealt rows, by one matrix product."""
 
     def compare(g: pa.Table) -> pa.Table:
         x, ids = _matrix(g.column("embedding")), g.column("doc_idx").to_numpy()
@@ -76,8 +72,18 @@ def similar_pairs(v: DataFrame, threshold: float = 0.7, block: int = 512) -> Dat
         keep = a < b if g.column("i")[0] == g.column("j")[0] else a != b
         return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "sim": s[keep]})
 
+    return compare
+
+
+def similar_pairs(v: DataFrame, threshold: float = 0.7, block: int = 512) -> DataFrame:
+    """a < b and sim for all pairs with cosine >= threshold, exactly.
+
+    Vectors are dealt out as pairs of blocks, each compared by one matrix product in Arrow batches; only qualifying pairs
+    leave a task. The comparisons are all pairs by definition of an exact join without labels.
+    """
+
     both = dealt(v.filter("embedding is not null"), block, "doc_idx", "embedding")
-    return both.groupBy("i", "j").applyInArrow(compare, "a long, b long, sim double")
+    return both.groupBy("i", "j").applyInArrow(compare_blocks(threshold), "a long, b long, sim double")
 
 
 def small(df: DataFrame, rows: int = 4096) -> bool:
