@@ -1,3 +1,3 @@
 """The queries by name; importing the package registers all of them."""
 
-from . import catalog, extended  # noqa: F401
+from . import catalog, extended, structured  # noqa: F401
