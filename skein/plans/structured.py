@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cells, fulltext, layout
-from ..session import articles, vectors, work_dir
-from .catalog import _A, _COS, _EUCLID, _V, query, vector_of
+from ..operators import cells, clustering, fulltext, graph, layout
+from ..session import articles, links, vectors, work_dir
+from .catalog import _A, _COS, _E1, _EUCLID, _L, _V, query, vector_of
 
 
 @query(f"WITH {_V}, q AS (SELECT e AS qe FROM v WHERE doc_idx = 0) SELECT title, cluster_id, round(dist, 6) AS dist FROM (SELECT *, round({_EUCLID.format('e', 'qe')}, 9) AS dist FROM v, q ORDER BY dist, doc_idx LIMIT 10) WHERE title <> 'Vec_0'")
@@ -53,3 +53,18 @@ def full_text_rank_one_word(spark, d):
     path = work_dir(spark, "full-text")
     fulltext.store(fulltext.build(a, stemmer="plural"), path, "plural")
     return fulltext.Stored(spark, path).search("tion of the", 20, a.select("doc_idx", "title")).select("title", "rank")
+
+
+@query(f"WITH RECURSIVE {_V}, {_L}, {_E1}, p AS (SELECT ['Vec_0'] AS way UNION ALL SELECT list_append(way, dst) FROM p JOIN l1 ON src = way[-1] WHERE len(way) < 5) SELECT array_to_string(way, ' > ') AS way, len(way) AS nodes FROM p WHERE way[-1] = 'Vec_31' ORDER BY nodes, list_reverse(way) LIMIT 1")
+def graph_stored_path(spark, d):
+    """A shortest path over the stored adjacency of the links, searched from both ends."""
+    v, path = vectors(spark, d), work_dir(spark, "adjacency")
+    graph.write_adjacency(graph.link_edges(v, links(v)), path)
+    way = graph.stored_path(spark, path, "Vec_0", "Vec_31")
+    return spark.createDataFrame([(" > ".join(way), len(way))], "way string, nodes long")
+
+
+@query()
+def ward_clusters(spark, d):
+    """Ten clusters by Ward's method; tests hold them against the least distance each time."""
+    return clustering.ward(vectors(spark, d), 10)
