@@ -90,10 +90,10 @@ def _all_pieces(docs: DataFrame, length: int) -> DataFrame:
     def pack(held: list[tuple], doc: list, th: list) -> pa.RecordBatch:
         m, ph, start, size = (np.concatenate([h[k] for h in held]) for k in range(4))
         times = [len(h[0]) for h in held]
-        who = [pa.array([c[h[4]] for h in held], t).take(pa.array(np.repeat(np.arange(len(held)), times))) for c, t in ((doc, pa.int64()), (th, pa.int32()))]
+        who = [pa.array([c[h[4]] for h in held], t).take(pa.array(np.repeat(np.arange(len(held)), times))) for c, t in ((doc, pa.int64()), (th, pa.int64()))]
         return pa.RecordBatch.from_arrays([pa.array(m), pa.array(ph), *who, pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["m", "ph", "doc", "th", "start", "size"])
 
-    return docs.select("doc", "th", "text").mapInArrow(run, "m long, ph long, doc long, th int, start int, size int")
+    return docs.select("doc", "th", "text").mapInArrow(run, "m long, ph long, doc long, th long, start int, size int")
 
 
 class Columns:
@@ -229,9 +229,9 @@ def _wanted(docs: DataFrame, length: int) -> DataFrame:
                 yield pack(rows)
 
     def pack(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["b", "doc", "th", "start", "s"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["b", "doc", "th", "start", "s"])
 
-    return docs.select("doc", "th", "text", "want").mapInArrow(run, "b long, doc long, th int, start int, s binary")
+    return docs.select("doc", "th", "text", "want").mapInArrow(run, "b long, doc long, th long, start int, s binary")
 
 
 def _found(strings: DataFrame, length: int) -> DataFrame:
@@ -274,11 +274,11 @@ def _found(strings: DataFrame, length: int) -> DataFrame:
             yield pack(out)
 
     def pack(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc", "th", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc", "th", "a", "b"])
 
     parts = int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
     dealt = strings.select("b", "doc", "th", "start", "s").repartition(parts, "b").sortWithinPartitions("b", "doc", "th", "start")
-    return dealt.mapInArrow(run, "doc long, th int, a int, b int")
+    return dealt.mapInArrow(run, "doc long, th long, a int, b int")
 
 
 def intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -316,7 +316,7 @@ def intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """id, n_bytes, n_removed, n_spans (maximal removed runs), spans (their starts and ends), kept (binary)."""
     lean(docs.sparkSession)
-    named = docs.select(F.col(id_col).cast("long").alias("doc"), F.hash(text_col).alias("th"), F.col(text_col).alias("text"))
+    named = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     cut = intervals(named, length).withColumnsRenamed({"doc": "doc_", "th": "th_"})
     both = named.join(cut, F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("th") == F.col("th_")), "left").select("doc", "text", "cut.a", "cut.b")
 

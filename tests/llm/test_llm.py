@@ -258,6 +258,15 @@ def test_suffix_edge_cases(spark):
     assert next(r for r in out if r.id == 8).n_removed == next(r for r in out if r.id == 8).n_bytes or next(r for r in out if r.id is None).n_removed == 0
 
 
+def test_rows_without_an_id_whose_texts_share_a_short_hash_are_told_apart(spark):
+    made = F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"/{i}")), 256) for i in range(4)])
+    texts = spark.range(200_000).select(made.alias("t"), F.hash(made).alias("h"))
+    first, second = texts.groupBy("h").agg(F.sort_array(F.collect_list("t")).alias("t")).filter("size(t) > 1").orderBy("h").first().t[:2]
+    rows = [(None, first), (None, second), (7, "x" * 20 + first[50:200])]
+    out = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.id, r.n_removed) for r in out if r.id) == [(7, 150)] and [r.n_removed for r in out if r.id is None] == [0, 0]
+
+
 def test_columns_give_the_suffix_order_and_common_prefixes(tmp_path):
     rng = random.Random(5)
     strings = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 40))).encode() for _ in range(30)]
