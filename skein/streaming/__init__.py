@@ -7,9 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from . import sink
+
 
 def request_windows(requests: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts, mean latency and errors by window (sliding, if slide is given) and endpoint of a frame or stream (timestamp,
@@ -54,8 +56,15 @@ def append(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
 
 
 def append_logs(rows: DataFrame, target: str) -> None:
-    """Log rows appended to a table."""
-    rows.write.mode("append").parquet(target)
+    """Log rows appended to a table; a task that is tried again adds no row twice."""
+    sink.register(rows.sparkSession)
+    rows.write.format("loglines").mode("append").save(target)
+
+
+def stream_logs(stream: DataFrame, target: str, checkpoint: str, query: str = "stream") -> StreamingQuery:
+    """A stream's rows into the log table; a batch that is tried again replaces what it left. Works off what is there."""
+    sink.register(stream.sparkSession)
+    return stream.writeStream.format("loglines").option("query", query).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target)
 
 
 def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, per_trigger: int = 1000) -> StreamingQuery:
@@ -64,9 +73,18 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
     return append(rows, target, checkpoint)
 
 
-def retain(stream: DataFrame, target: str, checkpoint: str, n: int = 10_000, time: str = "timestamp", tie: str = "id") -> StreamingQuery:
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def retain(stream: DataFrame, target: str, checkpoint: str, n: int = 10_000, time: str = "timestamp", tie: str = "id", versions: int = 2) -> StreamingQuery:
     """The newest n rows seen so far, one version of the table for each batch: <target>/<batch>. A version holds n rows at
-    most and is made from the one before and the batch's own newest."""
+    most and is made from the one before and the batch's own newest; rows that fall out are gone.
+
+    Only the last versions stay (two at least: a batch that is tried again reads the one before), so that files are bounded
+    however long the stream runs.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -74,10 +92,41 @@ def retain(stream: DataFrame, target: str, checkpoint: str, n: int = 10_000, tim
         if number:
             newest = spark.read.schema(batch.schema).parquet(f"{target}/{number - 1}").unionByName(newest).orderBy(F.desc(time), F.desc(tie)).limit(n)
         newest.write.mode("overwrite").parquet(f"{target}/{number}")
+        if number >= max(2, versions):
+            _remove(spark, f"{target}/{number - max(2, versions)}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class _Newest(StatefulProcessor):
+    """The newest rows of a key, as one list that never holds more than n."""
+
+    def __init__(self, n: int, time: str, columns: list[str], schema: str) -> None:
+        self.n, self.time, self.columns, self.schema = n, time, columns, schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getListState("kept", self.schema)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before = pd.DataFrame(list(self.kept.get()) if self.kept.exists() else [], columns=self.columns)
+        new = pd.concat(list(rows))[self.columns]
+        both = pd.concat([before, new]) if len(before) else new
+        both = both.sort_values(self.time, kind="stable").tail(self.n)
+        self.kept.put([tuple(r) for r in both.itertuples(index=False)])
+        yield both
+
+    def close(self) -> None:
+        pass
+
+
+def newest_by_key(stream: DataFrame, key: str, n: int = 1000, time: str = "timestamp") -> DataFrame:
+    """After each batch the newest n rows of every key that it has, from state of n rows a key; for output mode update. It
+    needs the RocksDB state store, which is set for the session."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = ", ".join(f"`{c}` {t}" for c, t in stream.dtypes)
+    return stream.groupBy(key).transformWithStateInPandas(_Newest(n, time, stream.columns, schema), schema, "Update", "None")
+
+
 def run_to_table(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
     """Runs a stream over what is there and reads its final rows: those of windows that the watermark has closed."""
     append(stream, target, checkpoint).awaitTermination()
