@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cells, clustering, fulltext, graph, layout
+from ..functions import lemma
+from ..operators import cells, clustering, fulltext, graph, keywords, layout
 from ..session import articles, links, vectors, work_dir
-from .catalog import _A, _COS, _E1, _EUCLID, _L, _V, query, vector_of
+from .catalog import _A, _COS, _COUNTS, _E1, _EUCLID, _L, _V, query, vector_of
 
 
 @query(f"WITH {_V}, q AS (SELECT e AS qe FROM v WHERE doc_idx = 0) SELECT title, cluster_id, round(dist, 6) AS dist FROM (SELECT *, round({_EUCLID.format('e', 'qe')}, 9) AS dist FROM v, q ORDER BY dist, doc_idx LIMIT 10) WHERE title <> 'Vec_0'")
@@ -68,3 +69,21 @@ def graph_stored_path(spark, d):
 def ward_clusters(spark, d):
     """Ten clusters by Ward's method; tests hold them against the least distance each time."""
     return clustering.ward(vectors(spark, d), 10)
+
+
+_LEMMAS = f"{_A}, {_COUNTS}, words AS (SELECT DISTINCT term AS w FROM c), lem AS ({lemma.rules_sql('words')})"
+
+
+@query(f"WITH {_LEMMAS} SELECT w AS term, lemma FROM lem")
+def lemma_table(spark, d):
+    """The corpus's keywords whose lemma is another word; candidates are checked against the keywords themselves."""
+    return lemma.lemma_table(keywords.token_counts(articles(spark, d)).select("term"))
+
+
+@query(f"WITH {_LEMMAS}, m AS (SELECT cluster_id, coalesce(lemma, term) AS term, sum(n) AS n FROM c LEFT JOIN lem ON w = term GROUP BY 1, 2), s AS (SELECT m.cluster_id, m.term, round(n / total * ln(k / cf), 9) AS score FROM m JOIN (SELECT cluster_id, sum(n) AS total FROM m GROUP BY 1) USING (cluster_id) JOIN (SELECT term, count(*) AS cf FROM m GROUP BY 1) USING (term), (SELECT count(DISTINCT cluster_id) AS k FROM m)) SELECT cluster_id, term, score, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, term) AS INT) AS rank FROM s QUALIFY rank <= 20")
+def ctfidf_lemmas(spark, d):
+    """Keywords of clusters by lemma. The counts serve twice, so they are written."""
+    path = work_dir(spark, "token-counts")
+    keywords.token_counts(articles(spark, d)).write.parquet(path)
+    counts = spark.read.parquet(path)
+    return keywords.ctfidf(lemma.lemmatized_counts(counts, lemma.lemma_table(counts.select("term")), ["cluster_id"]))
