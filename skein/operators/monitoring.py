@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -212,7 +213,10 @@ def drift_from_tables(base: dict[str, DataFrame], now: dict[str, DataFrame]) ->
     out: dict[str, float | bool] = {}
     for name, prefix, f in (("embeddings", "embedding_", embedding_drift), ("articles", "text_", text_drift), ("assignments", "cluster_", cluster_drift)):
         if name in base and name in now:
-            out |= {prefix + k: v for k, v in f(base[name], now[name]).items()}
+            try:
+                out |= {prefix + k: v for k, v in f(base[name], now[name]).items()}
+            except Exception as e:  # one table that can't be told leaves the others' figures
+                logging.getLogger(__name__).warning("the drift of %s can't be told: %s", name, e)
     return out
 
 

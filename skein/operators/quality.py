@@ -83,8 +83,8 @@ def semantic_metrics(summaries: DataFrame, docs: DataFrame, vectors: DataFrame,
 
 
 def sampled(v: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """n rows, the least by a hash of their number: a sample that reruns repeat."""
-    return v.orderBy(F.xxhash64("doc_idx", F.lit(seed)), "doc_idx").limit(n)
+    """n rows, the least by a digest of their number and the seed: a sample that reruns, and SQL, repeat."""
+    return v.orderBy(F.md5(F.concat(F.col("doc_idx").cast("string"), F.lit(f":{seed}")).cast("binary")), "doc_idx").limit(n)
 
 
 def silhouette(v: DataFrame, sample: int | None = 500, block: int = 512) -> DataFrame:

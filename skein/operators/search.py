@@ -121,6 +121,15 @@ def rrf(semantic: DataFrame, keyword: DataFrame, k: int = 60, w_semantic: float
     return both.groupBy("title").agg(F.round(F.sum(F.col("w") / (k + F.col("rank"))), 9).alias("score"), F.min("rank").alias("best_rank"))
 
 
+def rrf_first_seen(semantic: DataFrame, keyword: DataFrame, k: int = 60, limit: int = 10) -> DataFrame:
+    """title, score, best_rank and position (from 0) of the best by rrf(): equal scores keep the order in which the titles
+    were first seen, the semantic ranking first, then the other."""
+    both = semantic.select("title", "rank", F.lit(0).alias("side")).unionByName(keyword.select("title", "rank", F.lit(1).alias("side")))
+    one = both.groupBy("title").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score"), F.min("rank").alias("best_rank"), F.min(F.struct("side", "rank")).alias("seen"))
+    top = one.orderBy(F.desc("score"), "seen").limit(limit)
+    return top.withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "seen")) - 1).drop("seen")  # `limit` rows
+
+
 def full_text(docs: DataFrame, query: str, k: int) -> DataFrame:
     """Documents with every query word, by the words' count over the length."""
     words = list(dict.fromkeys(query.lower().split()))

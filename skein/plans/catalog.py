@@ -295,12 +295,13 @@ def graph_cluster_subgraph_nodes(spark, d):
 @query(f"WITH {_G}, i AS (SELECT title FROM v WHERE cluster_id = 3) SELECT src, dst, layer FROM g WHERE src IN (FROM i) AND dst IN (FROM i)")
 def graph_cluster_subgraph_edges(spark, d):
     v = vectors(spark, d)
-    return graph.induced(edges(spark, d), v.filter("cluster_id = 3")).select("src", "dst", "layer")
+    return graph.induced_graph(v, links(v), v.filter("cluster_id = 3"), 0.3).select("src", "dst", "layer")
 
 
 @query(f"WITH {_G}, n AS (SELECT dst AS title FROM (SELECT dst FROM g WHERE src = 'Vec_0' ORDER BY weight DESC, dst LIMIT 20) UNION ALL SELECT 'Vec_0') SELECT * FROM g WHERE src IN (FROM n) AND dst IN (FROM n)")
 def graph_ego_edges(spark, d):
-    return graph.ego(edges(spark, d), "Vec_0")
+    v = vectors(spark, d)
+    return graph.ego_view(v, links(v), "Vec_0", 0.3)
 
 
 @query(f"WITH {_V} SELECT round(avg(c), 6) AS coherence, count(*) AS n_clusters FROM (SELECT x.cluster_id, avg({_COS.format('x.e', 'y.e')}) AS c FROM v x JOIN v y ON x.cluster_id = y.cluster_id AND x.doc_idx < y.doc_idx GROUP BY 1)")

@@ -10,7 +10,7 @@ from ..functions import vectors as V
 from ..operators import clustering, entities, graph, ingest, keywords, monitoring, quality, runs, search, tables, topics
 from ..session import articles, corpus, links, table, vectors, work_dir
 from ..streaming import progress_changes, request_windows
-from .catalog import _A, _C, _COS, _COUNTS, _EUCLID, _G, _KEYWORDS, _L, _R, _REPS, _V, _X, _XC, _XCOUNTS, _bm25_sql, _halves, _ks_sql, edges, query, requests, vector_of
+from .catalog import SQL, _A, _C, _COS, _COUNTS, _EUCLID, _G, _KEYWORDS, _L, _R, _REPS, _V, _X, _XC, _XCOUNTS, _bm25_sql, _halves, _ks_sql, edges, query, requests, vector_of
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")"
 _NORMAL = "regexp_extract_all(trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9 \\t\\n\\r\\f]+', ' ', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g')), '[a-zA-Z0-9][a-zA-Z0-9\\-'']+')"
@@ -230,7 +230,7 @@ def semantic_metrics(spark, d):
     return quality.semantic_metrics(summaries(spark, d), x, x, V.letter_embedding, "both", "both")
 
 
-@query()
+@query(SQL["silhouette"].replace("WITH v AS", "WITH every AS").replace(", p AS", ", v AS (SELECT * FROM every ORDER BY md5(doc_idx || ':42'), doc_idx LIMIT 500), p AS", 1))
 def silhouette_sample(spark, d):
     return quality.silhouette(vectors(spark, d))
 
@@ -432,13 +432,17 @@ def graph_visualization(spark, d):
     """The first 40 of a cluster's titles and one that isn't there."""
     v = vectors(spark, d)
     titles = [r[0] for r in v.filter("cluster_id = 5").orderBy("doc_idx").select("title").limit(40).collect()]
-    return graph.visualization(v, edges(spark, d), titles[:20] + ["nowhere"] + titles[20:], 41)[1]
+    shown = titles[:20] + ["nowhere"] + titles[20:]
+    some = spark.createDataFrame([(t,) for t in shown[:41]], "title string")
+    return graph.visualization(v, graph.induced_graph(v, links(v), some, 0.3), shown, 41)[1]
 
 
 @query(f"WITH {_G}, n AS (SELECT title FROM v WHERE contains(lower(title), 'c_12')) SELECT src, dst, layer FROM g WHERE src IN (FROM n) AND dst IN (FROM n) AND layer <> 2")
 def graph_matching_visible(spark, d):
-    nodes = vectors(spark, d).select("title", T.label(F.col("title")).alias("label"))
-    named = edges(spark, d).withColumn("layer", F.element_at(F.array(F.lit("Link"), F.lit("cluster"), F.lit("semantic")), F.col("layer")))
+    v = vectors(spark, d)
+    nodes = v.select("title", T.label(F.col("title")).alias("label"))
+    found = v.filter("contains(lower(title), 'c_12')")
+    named = graph.induced_graph(v, links(v), found, 0.3).withColumn("layer", F.element_at(F.array(F.lit("Link"), F.lit("cluster"), F.lit("semantic")), F.col("layer")))
     return graph.visible(graph.matching(nodes, named, "C_12")[1], cluster=False).select("src", "dst", "layer")
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lemma
-from ..operators import cells, clustering, fulltext, graph, keywords, layout
+from ..functions import vectors as V
+from ..operators import cells, checks, clustering, fulltext, graph, keywords, layout, search
 from ..session import articles, links, vectors, work_dir
-from .catalog import _A, _COS, _COUNTS, _E1, _EUCLID, _L, _V, query, vector_of
+from .catalog import _A, _COS, _COUNTS, _E1, _EUCLID, _G, _HYBRID, _L, _V, SQL, _halves, _sides, query, vector_of
+from .extended import _summary_halves
 
 
 @query(f"WITH {_V}, q AS (SELECT e AS qe FROM v WHERE doc_idx = 0) SELECT title, cluster_id, round(dist, 6) AS dist FROM (SELECT *, round({_EUCLID.format('e', 'qe')}, 9) AS dist FROM v, q ORDER BY dist, doc_idx LIMIT 10) WHERE title <> 'Vec_0'")
@@ -87,3 +89,65 @@ def ctfidf_lemmas(spark, d):
     keywords.token_counts(articles(spark, d)).write.parquet(path)
     counts = spark.read.parquet(path)
     return keywords.ctfidf(lemma.lemmatized_counts(counts, lemma.lemma_table(counts.select("term")), ["cluster_id"]))
+
+
+_SAMPLED = f"{_G}, i AS (SELECT title FROM v WHERE cluster_id = 3 ORDER BY md5(title || '42'), title LIMIT 100), o AS (SELECT title FROM (SELECT DISTINCT dst AS title FROM g WHERE layer = 3 AND src IN (FROM i) AND dst NOT IN (FROM i)) ORDER BY md5(title || '42'), title LIMIT 50), k AS (SELECT title, true AS inside FROM i UNION ALL SELECT title, false FROM o)"
+
+
+def _view(spark, d):
+    v = vectors(spark, d)
+    return graph.cluster_view(v, links(v), 3, 0.3)
+
+
+@query(f"WITH {_SAMPLED} SELECT src, dst, layer, weight, type FROM g WHERE src IN (FROM i) AND dst IN (SELECT title FROM k)")
+def graph_cluster_view(spark, d):
+    """The edges of a cluster's view: samples of 100 of its nodes and 50 neighbours, found without the graph."""
+    return _view(spark, d)[1]
+
+
+@query(f"WITH {_SAMPLED} SELECT title, inside, cluster_id FROM k JOIN v USING (title)")
+def graph_cluster_view_nodes(spark, d):
+    return _view(spark, d)[0].select("title", "inside", "cluster_id")
+
+
+@query(_HYBRID.format(k=10) + ", f AS (SELECT title, round(sum(1 / (60 + r - 1)), 9) AS score, CAST(min(r) - 1 AS INT) AS best_rank, min((side, r)) AS seen FROM (SELECT *, 0 AS side FROM sem UNION ALL SELECT *, 1 FROM kw) GROUP BY 1) SELECT title, score, best_rank, CAST(row_number() OVER (ORDER BY score DESC, seen) - 1 AS INT) AS position FROM f ORDER BY score DESC, seen LIMIT 10")
+def rrf_first_seen(spark, d):
+    """Hybrid search whose ties keep the order in which titles were first seen."""
+    return search.rrf_first_seen(*_sides(spark, d, 10, 0))
+
+
+def _folders(spark, sides: list[dict]) -> list[str]:
+    out = []
+    for tables in sides:
+        out.append(work_dir(spark, "run"))
+        for name, df in tables.items():
+            df.write.parquet(f"{out[-1]}/{name}")
+    return out
+
+
+_EVOLVED = ", ".join(f"{c}" for c in ("birth_count", "death_count", "stable_count", "avg_size_change_pct", "std_size_change_pct"))
+
+
+@query(f"SELECT 'stability_' || metric AS metric, value FROM (UNPIVOT (SELECT CAST(ari AS DOUBLE) AS ari, CAST(nmi AS DOUBLE) AS nmi, CAST(same_ratio AS DOUBLE) AS same_ratio, CAST(overlap AS DOUBLE) AS overlap FROM ({SQL['stability_metrics']})) ON ari, nmi, same_ratio, overlap INTO NAME metric VALUE value) UNION ALL SELECT 'stability_evolution_' || metric, value FROM (UNPIVOT (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _EVOLVED.split(', '))} FROM ({SQL['evolution_totals']})) ON {_EVOLVED} INTO NAME metric VALUE value)")
+def stability_run(spark, d):
+    """The metric rows that a stability run over two folders logs."""
+    v = vectors(spark, d)
+    now = V.nearest_center(v, V.centroid_arrays(v)).select("title", F.col("label").alias("cluster_id"))
+    b, c = _summary_halves(spark, d)
+    base, current = _folders(spark, [{"assignments": v.select("title", "cluster_id"), "summaries": b}, {"assignments": now, "summaries": c}])
+    target = work_dir(spark, "metrics")
+    checks.run_stability(spark, base, current, "run", target)
+    return spark.read.parquet(target).select("metric", "value")
+
+
+@query()
+def drift_run(spark, d):
+    """The metric rows that a drift run logs; p-values of Kolmogorov and Smirnov's test aren't SQL's. Tests hold the figures
+    against those of drift_metrics."""
+    sides = []
+    for v, a in zip(_halves(vectors(spark, d)), _halves(articles(spark, d))):
+        sides.append({"embeddings": v, "articles": a.withColumnRenamed("raw_text", "cleaned_text"), "assignments": a.select(F.concat(F.lit("T"), F.floor(F.col("doc_idx") / 2).cast("string")).alias("title"), "cluster_id")})
+    base, current = _folders(spark, sides)
+    target = work_dir(spark, "metrics")
+    checks.run_drift(spark, base, current, "run", target, save_baseline=False)
+    return spark.read.parquet(target).select("metric", "value")
