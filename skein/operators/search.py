@@ -66,18 +66,45 @@ def bm25(index: DataFrame, query: list[str], weights: dict[str, float], stats: D
 
 def keyword_search(docs: DataFrame, query: str, k: int, title_field: str | None = None, w_title: float = 2.0, w_body: float = 1.0, body_field: str = "raw_text", index: DataFrame | None = None, tokens=basic_tokens) -> DataFrame:
     """doc_idx, title, score, rank (from 0) of the best k; documents without a query term fill the list with score 0. A query
-    without tokens finds nothing. Without an index (see build_index) one is made from docs."""
+    without tokens finds nothing. Without an index (see build_index) documents are scanned for the query's words."""
     words = query.lower().split()
     weights = {body_field: w_body} | ({title_field: w_title} if title_field else {})
     if not words:
         return docs.select("doc_idx", "title", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    stats = None
     if index is None:
-        index = build_index(docs, list(weights), tokens)
-    total = bm25(index, words, weights).select("doc_idx", F.round("score", 6).alias("score"))
+        if docs.isEmpty():
+            raise ValueError("there is nothing to index")
+        index, stats = query_postings(docs, list(weights), words, tokens), scan_stats(docs, list(weights), tokens)
+    total = bm25(index, words, weights, stats).select("doc_idx", F.round("score", 6).alias("score"))
     full = docs.select("doc_idx", "title").join(total, "doc_idx", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     return ranked(full.orderBy(F.desc("score"), "doc_idx").limit(k), F.desc("score"))
 
 
+def _field_tokens(docs: DataFrame, fields: list[str], tokens) -> DataFrame:
+    each = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("t")) for f in fields])
+    return docs.select("doc_idx", F.explode(each).alias("f")).select("f.field", "doc_idx", F.size("f.t").alias("dl"), "f.t")
+
+
+def scan_stats(docs: DataFrame, fields: list[str], tokens=basic_tokens) -> DataFrame:
+    """index_stats() of a corpus without an index: words are counted once a document, and combined before the shuffle."""
+    rows = _field_tokens(docs, fields, tokens)
+    size = rows.groupBy("field").agg(F.count("*").alias("docs"), F.avg(F.greatest("dl", F.lit(0))).alias("avgdl"))
+    terms = rows.select("field", F.explode(F.array_distinct("t")).alias("term")).groupBy("field", "term").agg(F.count("*").alias("n"))
+    idf = terms.join(F.broadcast(size), "field").groupBy("field").agg(F.avg(_idf()).alias("mean_idf"), F.count("*").alias("terms"))  # a row for each field
+    return size.join(idf, "field", "left")
+
+
+def query_postings(docs: DataFrame, fields: list[str], words: list[str], tokens=basic_tokens) -> DataFrame:
+    """The rows of build_index() for some words only, counted within each document."""
+    def count(word: str) -> Column:
+        return F.struct(F.lit(word).alias("term"), F.size(F.filter("t", lambda x: x == word)).alias("tf"))
+
+    times = F.array(*[count(w) for w in dict.fromkeys(words)])
+    rows = _field_tokens(docs, fields, tokens).select("field", "doc_idx", "dl", F.explode(times).alias("x"))
+    return rows.select("field", "x.term", "doc_idx", "x.tf", "dl").filter("tf > 0")
+
+
 def clamp(top_k: int, least: int = 1, most: int = 50) -> int:
     return min(most, max(least, top_k))
 
