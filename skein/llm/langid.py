@@ -60,25 +60,29 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
     some = named.select("id", "lang", h.alias("h")).filter(F.col("h") < under[F.col("lang")]).withColumn("nth", nth).filter(F.col("nth") <= per_language)
 
+    number = {x: i for i, x in enumerate(langs)}
+
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
+        counts: dict[int, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                counts[lang] = counts.get(lang, 0) + np.bincount(trigrams(text, False), minlength=1 << BITS)
+                counts[number[lang]] = counts.get(number[lang], 0) + np.bincount(trigrams(text, False), minlength=1 << BITS)
         for lang, c in counts.items():
             at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int64()), pa.array(c[at], pa.int64())], ["lang", "g", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), lang, np.int32)), pa.array(at.astype(np.int32)), pa.array(c[at], pa.int64())], ["lang", "g", "n"])
 
-    counts = named.join(F.broadcast(some.select("id", "lang").distinct()), ["id", "lang"]).select("lang", "text").mapInArrow(run, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    counts = named.join(F.broadcast(some.select("id", "lang").distinct()), ["id", "lang"]).select("lang", "text").mapInArrow(run, "lang int, g int, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
     table = np.full((len(langs), 1 << BITS), 0.05)
-    for r in counts.collect():  # 2**16 rows per language at most
-        table[langs.index(r["lang"]), r["g"]] += r["n"]
+    found = counts.toArrow()  # numbers, 2**16 rows per language at most
+    lang, g, n = (found.column(c).to_numpy() for c in ("lang", "g", "n"))
+    table[lang, g] += n
     return langs, np.log(table / table.sum(1, keepdims=True))
 
 
 def likelihoods(records: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """records (kind, id, text, host, domain, declared, suffix; markup if kind is page) with ll, an array by language."""
+    """records (kind, id, text, host, domain, declared, suffix; markup if kind is page) with ll and p (what the text alone
+    says), arrays by language."""
     langs = model[0]
     shipped = records.sparkSession.sparkContext.broadcast(model[1].astype(np.float32))
 
@@ -86,15 +90,39 @@ def likelihoods(records: DataFrame, model: tuple[list[str], np.ndarray]) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shipped.value
         for batch in batches:
-            out = []
-            for kind, text in zip(batch.column(0).to_pylist(), utf8(batch.column(2))):
+            out = np.zeros((batch.num_rows, len(langs)))
+            for i, (kind, text) in enumerate(zip(batch.column(0).to_pylist(), utf8(batch.column(2)))):
                 g = trigrams(text, kind == "page")
-                mean = table[:, g].mean(1, dtype=np.float64) if len(g) > 1 else np.zeros(len(langs))
-                out.append((mean - mean.max()) * min(CAP, len(g)))
+                if len(g) > 1:
+                    mean = table[:, g].mean(1, dtype=np.float64)
+                    out[i] = (mean - mean.max()) * min(CAP, len(g))
+            p = np.exp(out)
             columns = [c for i, c in enumerate(batch.columns) if i != 2]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.list_(pa.float64()))], ["kind", "id", "host", "domain", "declared", "suffix", "ll"])
+            yield pa.RecordBatch.from_arrays([*columns, _lists(out), _lists(p / p.sum(1, keepdims=True))], ["kind", "id", "host", "domain", "declared", "suffix", "ll", "p"])
+
+    return records.select("kind", "id", "text", "host", "domain", "declared", "suffix").mapInArrow(run, "kind string, id long, host string, domain string, declared string, suffix string, ll array<double>, p array<double>")
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+def fused(ll: np.ndarray, p: np.ndarray, seen: dict[str, np.ndarray], everywhere: np.ndarray) -> np.ndarray:
+    """Scores of records (rows) by language: log-likelihood and the logarithms of prior and evidence.
 
-    return records.select("kind", "id", "text", "host", "domain", "declared", "suffix").mapInArrow(run, "kind string, id long, host string, domain string, declared string, suffix string, ll array<double>")
+    seen: host, domain, declared and suffix counts of each record's keys by language (0 without a key); a record's own part
+    is taken out.
+    """
+    own = {k: np.maximum(0, c - p) for k, c in seen.items()}
+    total = {k: c.sum(1, keepdims=True) for k, c in own.items()}
+    domain = (own["domain"] + DOMAIN * everywhere) / (total["domain"] + DOMAIN)
+    prior = (own["host"] + HOST * domain) / (total["host"] + HOST)
+    # P(evidence | language) / P(evidence), by Bayes from the evidence's own language counts
+    lift = [(own[k] + SEEN * everywhere) / (total[k] + SEEN) / everywhere for k in ("declared", "suffix")]
+    return ll + np.log(prior) + np.log(lift[0]) + np.log(lift[1])
+
+
+KEYS = ("host", "domain", "declared", "suffix")
 
 
 def identify(records: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
@@ -104,40 +132,38 @@ def identify(records: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFra
         return records.select("kind", "id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_lang"))
     n = len(langs)
     base = written(likelihoods(records, model), "langid")
-    each = [F.exp(F.col("ll")[i]) for i in range(n)]
-    base = base.select("*", F.array(*[e / sum(each[1:], each[0]) for e in each]).alias("p"))
-
-    def counts(*keys: str) -> DataFrame:
-        return base.filter(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(*[F.sum(F.col("p")[i]).alias(f"c{i}") for i in range(n)])
-
-    total = base.agg(*[F.coalesce(F.sum(F.col("p")[i]), F.lit(0.0)) for i in range(n)]).first()
-    everywhere = [(t + 1) / (sum(total) + n) for t in total]
+    total = np.zeros(n)
+    for r in base.select(F.posexplode("p").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():  # a row for each language
+        total[r["i"]] = r["x"]
+    everywhere = (total + 1) / (total.sum() + n)
     # a record without a key meets no counts; its salt spreads such records over all tasks
     salt = F.pmod(F.xxhash64("kind", "id"), F.lit(SALTS))
     joined = base
-    for name, key in (("h", "host"), ("d", "domain"), ("m", "declared"), ("s", "suffix")):
-        packed = counts(key).select(F.col(key).alias("k"), F.lit(0).cast("long").alias("z"), F.array(*[f"c{i}" for i in range(n)]).alias(name))
+    for key in KEYS:
+        sums = base.filter(F.col(key).isNotNull()).select(key, F.posexplode("p").alias("i", "x")).groupBy(key, "i").agg(F.sum("x").alias("x"))
+        packed = sums.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("c")).select(F.col(key).alias("k"), F.lit(0).cast("long").alias("z"), F.transform("c", lambda c: c["x"]).alias(f"n_{key}"))
         here = joined.withColumn("z_", F.when(F.col(key).isNull(), salt).otherwise(0))
         joined = here.join(packed, (F.col(key) == F.col("k")) & (F.col("z_") == F.col("z")), "left").drop("k", "z", "z_")
 
-    def own(name: str, i: int):
-        """The key's count of language i without the record's own."""
-        return F.greatest(F.lit(0.0), F.coalesce(F.col(name)[i] - F.col("p")[i], F.lit(0.0)))
-
-    def all_own(name: str):
-        return sum((own(name, i) for i in range(1, n)), own(name, 0))
-
-    scores = []
-    for i in range(n):
-        domain = (own("d", i) + DOMAIN * everywhere[i]) / (all_own("d") + DOMAIN)
-        prior = (own("h", i) + HOST * domain) / (all_own("h") + HOST)
-        # P(evidence | language) / P(evidence), by Bayes from the evidence's own language counts
-        lift = [(own(name, i) + SEEN * everywhere[i]) / (all_own(name) + SEEN) / everywhere[i] for name in ("m", "s")]
-        scores.append(F.col("ll")[i] + F.log(prior) + F.log(lift[0]) + F.log(lift[1]))
-    out = joined.select("kind", "id", "p", F.array(*scores).alias("score"))
-    top = F.array_max("score")
-    names = F.array(*[F.lit(x) for x in langs])
-    return out.select("kind", "id", names[F.array_position("score", top).cast("int") - 1].alias("lang"), (1 / F.aggregate(F.transform("score", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)).alias("confidence"), names[F.array_position("p", F.array_max("p")).cast("int") - 1].alias("text_lang"))
+    @trimmed
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(langs)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ll, p = (batch.column(c).flatten().to_numpy().reshape(-1, n) for c in ("ll", "p"))
+            seen = {}
+            for key in KEYS:
+                lists = batch.column(f"n_{key}")
+                seen[key] = np.zeros(ll.shape)
+                there = lists.is_valid().to_numpy(zero_copy_only=False)
+                seen[key][there] = lists.flatten().to_numpy().reshape(-1, n)
+            score = fused(ll, p, seen, everywhere)
+            top = score.max(1, keepdims=True)
+            lang, alone = (names.take(pa.array(x.argmax(1))) for x in (score, p))
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("id"), lang, pa.array(1 / np.exp(score - top).sum(1)), alone], ["kind", "id", "lang", "confidence", "text_lang"])
+
+    return joined.select("kind", "id", "ll", "p", *[f"n_{k}" for k in KEYS]).mapInArrow(told, "kind string, id long, lang string, confidence double, text_lang string")
 
 
 def page_records(pages: DataFrame) -> DataFrame:

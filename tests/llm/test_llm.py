@@ -416,6 +416,31 @@ def test_langid_on_documents_outside_the_fit(spark):
     assert len(langid.train(dirty, most_languages=4)[0]) == 4 and set(langid.train(dirty, most_languages=4)[0]) == set(model[0])
 
 
+def test_langid_fusion_equals_its_definition(spark):
+    """Forty languages on few records: the fusion by plain sums over all records."""
+    rng = random.Random(9)
+    docs = [(i, " ".join("".join(rng.choice("abcdefghij"[i % 5 :]) for _ in range(4)) for _ in range(12)), f"l{i % 40:02d}") for i in range(160)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    langs, table = model = langid.train(df)
+    assert len(langs) == 40
+    keys = [(f"h{i % 7}" if i % 3 else None, f"d{i % 3}" if i % 4 else None, f"l{i % 40:02d}" if i % 5 else None, f"s{i % 2}") for i in range(160)]
+    records = [("document", i, t, *k) for (i, t, _), k in zip(docs, keys)] + [("document", None, None, None, None, None, None)]
+    out = {r.id: r for r in langid.identify(spark.createDataFrame(records, "kind string, id long, text string, host string, domain string, declared string, suffix string"), model).collect()}
+    ll = np.zeros((161, 40))
+    for i, (_, t, _) in enumerate(docs):
+        g = langid.trigrams(t.encode(), False)
+        mean = table.astype(np.float32)[:, g].mean(1, dtype=np.float64)
+        ll[i] = (mean - mean.max()) * min(langid.CAP, len(g))
+    p = np.exp(ll) / np.exp(ll).sum(1, keepdims=True)
+    ev = (p.sum(0) + 1) / (p.sum() + 40)
+    for i, k in enumerate([*keys, (None,) * 4]):
+        own = [sum((p[j] for j in range(160) if j != i and keys[j][x] == k[x]), np.zeros(40)) if k[x] is not None else np.zeros(40) for x in range(4)]
+        domain = (own[1] + 16 * ev) / (own[1].sum() + 16)
+        score = ll[i] + np.log((own[0] + 4 * domain) / (own[0].sum() + 4)) + sum(np.log((own[x] + 8 * ev) / (own[x].sum() + 8) / ev) for x in (2, 3))
+        r = out[i if i < 160 else None]
+        assert r.lang == langs[int(score.argmax())] and abs(r.confidence - 1 / np.exp(score - score.max()).sum()) < 1e-9 and r.text_lang == langs[int(p[i].argmax())]
+
+
 def test_host_prior_decides_an_empty_page(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     fr = [r.text for r in docs.filter("lang = 'fr'").limit(8).collect()]
