@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, lean, remove, table, trimmed, utf8, written
+from .common import lean, remove, table, trimmed, utf8, written
 
 FILTERS = "ABCDE"
 SETS = range(1 << len(FILTERS))
 #: What is counted of the documents of a set.
 COUNTS = ("n", "good", "toxic")
-_ODD = b"#$%&*|"
+_ODD, _UPPER = b"#$%&*|", bytes(range(65, 91))
 #: Bytes that begin a code point.
 _POINTS = bytes(b for b in range(256) if b & 0xC0 != 0x80)
 
@@ -47,7 +47,7 @@ def flags(text: bytes) -> tuple[bool, bool, bool, bool]:
     """The failures A to D: too few words, too few distinct ones, too many capitals, odd symbols."""
     words = text.split()  # at the same six bytes
     points = len(text) - len(text.translate(None, _POINTS))
-    return len(words) < 50, 100 * len(set(words)) < 65 * len(words), 100 * (len(text) - len(text.translate(None, UPPER))) > 5 * points, len(text.translate(None, _ODD)) < len(text)
+    return len(words) < 50, 100 * len(set(words)) < 65 * len(words), 100 * (len(text) - len(text.translate(None, _UPPER))) > 5 * points, len(text.translate(None, _ODD)) < len(text)
 
 
 @trimmed
