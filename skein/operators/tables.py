@@ -1,8 +1,11 @@
-"""Tables as immutable frames: upsert, delete, pages, retention, logs, progress, exports."""
+"""Tables as immutable frames: upsert, delete, pages, retention, logs, progress, exports; groups of tables that are written together."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The share of each stage in the overall progress.
@@ -44,6 +47,58 @@ def healthy(spark) -> bool:
     return spark.sql("SELECT 1").first()[0] == 1
 
 
+class Group:
+    """Tables of a folder that change together: what is written within one `with` block is read after it, or none of it.
+
+    Each block writes its tables to a folder of its own; its commit is one file, <folder>/_commits/<number>, that names the
+    folder of every table. The file is created only if it isn't there, so of two blocks that began alike the second fails.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _fs(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _last(self) -> tuple[int, dict[str, str]]:
+        where, fs = self._fs(f"{self.folder}/_commits")
+        numbers = [int(f.getPath().getName()) for f in fs.listStatus(where) if f.getPath().getName().isdigit()] if fs.exists(where) else []
+        if not numbers:
+            return 0, {}
+        return max(numbers), json.loads(self.spark.read.option("wholetext", True).text(f"{self.folder}/_commits/{max(numbers)}").first()[0])
+
+    def read(self, name: str) -> DataFrame:
+        """The table as the last commit left it; KeyError if there is none."""
+        return self.spark.read.parquet(self._last()[1][name])
+
+    def __enter__(self) -> Group:
+        self.number, self.paths = self._last()
+        self.staged = f"{self.folder}/{uuid.uuid4().hex}"
+        return self
+
+    def write(self, name: str, df: DataFrame) -> None:
+        df.write.parquet(f"{self.staged}/{name}")
+        self.paths = self.paths | {name: f"{self.staged}/{name}"}
+
+    def __exit__(self, kind, *_) -> None:
+        try:
+            if kind is None:
+                where, fs = self._fs(f"{self.folder}/_commits/{self.number + 1}")
+                out = fs.create(where, False)
+                out.write(json.dumps(self.paths).encode())
+                out.close()
+                return
+        except Exception:
+            self._undo()
+            raise
+        self._undo()
+
+    def _undo(self) -> None:
+        where, fs = self._fs(self.staged)
+        fs.delete(where, True)
+
+
 def page(df: DataFrame, order: str, limit: int, offset: int = 0) -> DataFrame:
     return df.orderBy(order).offset(offset).limit(limit)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -73,6 +73,25 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
     return append(rows, target, checkpoint)
 
 
+def ingest_kept(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keep: Callable[[DataFrame], DataFrame], interval: int = 1000, per_trigger: int = 1000) -> StreamingQuery:
+    """New JSON-line files into <target>/articles/batch=<n>, only what keep() leaves of them, in files of `interval` articles
+    at most; and after each batch a row of <target>/checkpoints: batch, kept, total, and marks, the multiples of `interval`
+    that the total has passed. A batch that is tried again replaces its own rows, so a rerun goes on with the right total.
+    """
+    rows = spark.readStream.schema(schema).option("mode", "DROPMALFORMED").option("maxFilesPerTrigger", per_trigger).json(source)
+
+    def merge(batch: DataFrame, number: int) -> None:
+        own = batch.sparkSession
+        where = f"{target}/articles/batch={number}"
+        keep(batch).write.mode("overwrite").option("maxRecordsPerFile", interval).parquet(where)
+        kept = own.read.parquet(where).count()
+        before = own.read.parquet(f"{target}/checkpoints/{number - 1}").first()["total"] if number else 0
+        row = (number, kept, before + kept, (before + kept) // interval)
+        own.createDataFrame([row], "batch long, kept long, total long, marks long").coalesce(1).write.mode("overwrite").parquet(f"{target}/checkpoints/{number}")
+
+    return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
