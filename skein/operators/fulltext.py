@@ -56,9 +56,9 @@ def terms(text: str, stem: Callable[[str], str], stop: frozenset[str]) -> Iterat
         yield i, None if word in stop else stem(word)
 
 
-def build(docs: DataFrame, fields: tuple[str, ...] = ("title", "raw_text"), weights: tuple[float, ...] = (0.1, 0.1), stemmer: str = "porter", stop: list[str] = STOP, last: int = LAST, most: int = MOST) -> DataFrame:
-    """term, doc_idx, places and weights. A null field is empty."""
-    none = frozenset(stop)
+def build(docs: DataFrame, fields: tuple[str, ...] = ("title", "raw_text"), weights: tuple[float, ...] = (0.1, 0.1), stemmer: str = "porter", stop: list[str] = STOP, last: int = LAST, most: int = MOST, only: list[str] | None = None) -> DataFrame:
+    """term, doc_idx, places and weights (of some terms only, if these are given). A null field is empty."""
+    none, some = frozenset(stop), None if only is None else frozenset(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stem = lru_cache(1 << 16)(STEMMERS[stemmer])
@@ -69,7 +69,7 @@ def build(docs: DataFrame, fields: tuple[str, ...] = ("title", "raw_text"), weig
                 for f, w in enumerate(weights, 1):
                     i = 0
                     for i, term in terms(b.column(f)[row].as_py() or "", stem, none):
-                        if term is not None and len(hits := found.setdefault(term, [])) < most and (not hits or hits[-1][0] < last):
+                        if term is not None and (some is None or term in some) and len(hits := found.setdefault(term, [])) < most and (not hits or hits[-1][0] < last):
                             hits.append((min(at + i, last), w))
                     at += i
                 for term, hits in found.items():
@@ -130,7 +130,8 @@ def _best(hits: DataFrame, k: int, names: DataFrame | None) -> DataFrame:
 
 def search(docs: DataFrame, query: str, k: int = 10, stemmer: str = "porter", **options) -> DataFrame:
     """The k best documents (doc_idx, rank, title) of a corpus without an index; ties by doc_idx."""
-    return _best(ranked(build(docs, stemmer=stemmer, **options), query_terms(query, stemmer, options.get("stop", STOP))), k, docs.select("doc_idx", "title"))
+    wanted = query_terms(query, stemmer, options.get("stop", STOP))
+    return _best(ranked(build(docs, stemmer=stemmer, only=wanted, **options), wanted), k, docs.select("doc_idx", "title"))
 
 
 class Stored:
