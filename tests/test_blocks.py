@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import blocks, graph
+from skein.operators import blocks, graph, quality
 
 N = 260
 
@@ -81,3 +81,23 @@ def test_a_large_cluster_is_whole(made, block):
     edges = graph.build(nodes, links, 0.6)
     assert {tuple(r) for r in graph.cluster_nodes(nodes, edges, 3, None, None).collect()} == {tuple(r) for r in graph.cluster_reach(nodes, 3, 0.6, None, None).collect()}
     assert graph.cluster_nodes(nodes, edges, 3).filter("inside").count() == 100
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_silhouette_of_odd_rows(made, block):
+    """Copies, a zero vector and rows without a cluster; what is shuffled is one row of sums a block and part."""
+    x, cluster, nodes, _, _ = made
+    keep = [i for i in range(N) if i % 50 != 49]
+    some = [i for i in keep if cluster[i] is not None]
+    d = np.sqrt(((x[keep][:, None] - x[some][None]) ** 2).sum(2))
+    label, score = np.array([cluster[i] for i in some]), []
+    for at, i in enumerate(keep):
+        mean = {c: d[at][label == c].sum() / ((label == c).sum() - (c == cluster[i])) for c in range(4)}
+        a, b = mean.pop(cluster[i], 0), min(mean.values())
+        score.append(0 if cluster[i] is None else (b - a) / max(a, b))
+    got = quality.silhouette(nodes, None)
+    assert abs(got.first()[0] - np.mean(score)) < 1.5e-6 and shuffles(got) == 1
+    assert quality.silhouette(nodes.filter("cluster_id = 1"), None).first()[0] is None
