@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import blocks, graph, quality
+from skein.operators import blocks, cells, graph, quality
 
 N = 260
 
@@ -101,3 +101,18 @@ def test_silhouette_of_odd_rows(made, block):
     got = quality.silhouette(nodes, None)
     assert abs(got.first()[0] - np.mean(score)) < 1.5e-6 and shuffles(got) == 1
     assert quality.silhouette(nodes.filter("cluster_id = 1"), None).first()[0] is None
+
+
+def test_neighbors_of_many_blocks(made, monkeypatch):
+    """Between blocks too they equal brute force, and what a task hands on is shuffled alone."""
+    x, _, nodes, _, _ = made
+    monkeypatch.setattr(cells, "LEAST", 16)
+    keep = np.array([i for i in range(N) if i % 50 != 49])
+    u = x[keep] / np.where((n := np.linalg.norm(x[keep], axis=1, keepdims=True)) == 0, 1, n)
+    d = np.round(1 - u @ u.T, 9)
+    np.fill_diagonal(d, np.inf)
+    ids = 3 * keep - 50
+    want = {(int(ids[i]), int(ids[j]), k) for i in range(len(keep)) for k, j in enumerate(np.lexsort((ids, d[i]))[:5], 1)}
+    got = cells.neighbor_graph(nodes, 5, 16)
+    assert shuffles(got) == 1
+    assert {(r.doc_idx, r.other, r["rank"]) for r in got.collect()} == want
