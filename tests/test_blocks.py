@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import blocks, cells, graph, quality
+from skein.operators import blocks, cells, clustering, graph, quality
 
 N = 260
 
@@ -116,3 +116,21 @@ def test_neighbors_of_many_blocks(made, monkeypatch):
     got = cells.neighbor_graph(nodes, 5, 16)
     assert shuffles(got) == 1
     assert {(r.doc_idx, r.other, r["rank"]) for r in got.collect()} == want
+
+
+def test_many_starts_go_in_the_same_passes(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(30, 8)), 20, 0) + 0.05 * rng.normal(size=(600, 8))
+    df = spark.createDataFrame([(i, f"T{i}", [float(a) for a in r]) for i, r in enumerate(x)], "doc_idx long, title string, embedding array<double>").repartition(3)
+
+    def cost(labels):
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        of = np.array([r.cluster_id for r in labels.orderBy("doc_idx").collect()])
+        return sum(((u[of == c] - u[of == c].mean(0)) ** 2).sum() for c in range(30))
+
+    one = cost(clustering.kmeans(df, 30))
+    monkeypatch.setattr(clustering, "KMeans", None)  # no start has a fit of its own
+    many = clustering.kmeans(df, 30, starts=10)
+    assert many.columns == ["doc_idx", "title", "cluster_id"] and many.count() == 600
+    assert cost(many) <= one * 1.0001
+    assert clustering.kmeans(df.filter("doc_idx < 3"), 30, starts=10).select("cluster_id").distinct().count() == 3
