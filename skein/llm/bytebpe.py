@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -61,9 +61,7 @@ def ids_of(enc: tiktoken.Encoding, text: str, long: int = LONG) -> list[int]:
     return out + [x for p in parts(text[at:], long) for x in enc.encode_ordinary(p)]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", long: int = LONG) -> DataFrame:
-    """id and ids (array<int>) of each row's whole text."""
-
+def _encoder(path: str, pattern: str, long: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
@@ -79,8 +77,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                     out, size, first = [], 0, i + 1
             yield _lists(batch.column(0).slice(first), out)
 
+    return run
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", long: int = LONG) -> DataFrame:
+    """id and ids (array<int>) of each row's whole text."""
     lean(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_encoder(path, pattern, long), "id long, ids array<int>")
 
 
 def _lists(ids: pa.Array, lists: list[pa.Array]) -> pa.RecordBatch:
@@ -91,9 +94,7 @@ def _lists(ids: pa.Array, lists: list[pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["id", "ids"])
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """id, ids and bytes: the raw bytes that the ids stand for."""
-
+def _decoder(path: str, pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
@@ -107,16 +108,28 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                     raw, size, first = [], 0, i + 1
             yield pa.RecordBatch.from_arrays([*(c.slice(first) for c in batch.columns), pa.array(raw, pa.binary())], ["id", "ids", "bytes"])
 
-    return encoded.select("id", "ids").mapInArrow(run, "id long, ids array<int>, bytes binary")
+    return run
+
+
+def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+    """id, ids and bytes: the raw bytes that the ids stand for."""
+    return encoded.select("id", "ids").mapInArrow(_decoder(path, pattern), "id long, ids array<int>, bytes binary")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", long: int = LONG) -> DataFrame:
+    """decode() of encode(), by one worker a task: there is one copy of the ranks, and ids don't pass through Spark between."""
+    lean(docs.sparkSession)
+    to, back = _encoder(path, pattern, long), _decoder(path, pattern)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda batches: back(to(batches)), "id long, ids array<int>, bytes binary")
 
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """The digest columns of op7, derived from what encode() and decode() return."""
+    """The digest columns of op7, derived from what encode() and decode() make."""
     if path is None:
         import public_tokenizers
 
         path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    both = decode(encode(docs, path, pattern), path, pattern)
+    both = round_trip(docs, path, pattern)
     return both.select(
         F.col("id").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),

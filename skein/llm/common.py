@@ -47,9 +47,11 @@ BATCH_BYTES = "16m"
 LARGE = 400 << 20
 
 
-def lean(spark: SparkSession) -> SparkSession:
-    """The session, with Arrow batches bounded by bytes too."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+def lean(spark: SparkSession, most: str = BATCH_BYTES) -> SparkSession:
+    """The session, with Arrow batches bounded by bytes too; a smaller bound that it has already stays."""
+    key, size = "spark.sql.execution.arrow.maxBytesPerBatch", spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if not 0 < size(spark.conf.get(key)) <= size(most):
+        spark.conf.set(key, most)
     return spark
 
 

@@ -49,8 +49,8 @@ PASSES = 2
 FEW = 2
 #: Wanted lines up to which their documents' ids are broadcast.
 FEW_DOCS = 100_000
-#: Bytes of text from which array operations are shared, and after which blobs are dealt out.
-GROUP, FLUSH = 1 << 18, 8 << 20
+#: Bytes of text from which array operations are shared, and after which blobs are dealt out; bytes of blobs in a batch.
+GROUP, FLUSH, SENT = 1 << 18, 8 << 20, 2 << 20
 #: Classes in a blob, candidate pairs that a task holds, and the places of a bitmap (a power of two each way).
 CHUNK, HELD, PLACES = 1 << 14, 1 << 20, (16, 26)
 _SPAN = 1 << 16
@@ -98,6 +98,19 @@ def _batch(schema: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema)
 
 
+def _sent(schema: list[str], kinds: tuple[pa.DataType, ...], rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows with blobs, in batches of SENT bytes and one row more at most, so that neither side holds all of them at once."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if size >= SENT:
+            yield _batch(schema, *map(pa.array, zip(*held), kinds))
+            held, size = [], 0
+    if held:
+        yield _batch(schema, *map(pa.array, zip(*held), kinds))
+
+
 def _groups(column: pa.Array) -> Iterator[tuple[list[int], np.ndarray, bytes]]:
     """Rows, the number of each one's first line, and their texts joined by newlines: short texts share array operations."""
     rows, texts, size = [], [], 0
@@ -237,16 +250,23 @@ def _lines(docs: DataFrame, rarity: np.ndarray, percent: int, parts: int) -> Dat
     def deal(held: list[Arrays]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        first, later = _firsts(_join(held))
+        g = _join(held)
+        held.clear()
+        first, later = _firsts(g)
+        del g
         part = (_hash(first["hi"]) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         first, part = _some(first, order), part[order]
         cuts = np.append(np.flatnonzero(_new(part)), len(part))
         ends = np.concatenate(([0], np.cumsum(first["k"])))
-        out = [(int(part[a]), 0, _pack({c: first[c][a:b] for c in _LINE}, _LINE), first["pre"][ends[a] : ends[b]].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
-        if len(later["doc"]):
-            out.append((int(_hash(later["th"][:1])[0] % np.uint64(parts)), 1, _pack(later, _PLACE), b""))
-        yield _batch(["p", "kind", "rec", "pre"], *map(pa.array, zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary())))
+
+        def blobs() -> Iterator[tuple[int, int, bytes, bytes]]:
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                yield int(part[a]), 0, _pack({c: first[c][a:b] for c in _LINE}, _LINE), first["pre"][ends[a] : ends[b]].tobytes()
+            if len(later["doc"]):
+                yield int(_hash(later["th"][:1])[0] % np.uint64(parts)), 1, _pack(later, _PLACE), b""
+
+        yield from _sent(["p", "kind", "rec", "pre"], (pa.int32(), pa.int32(), pa.binary(), pa.binary()), blobs())
 
     return docs.select("doc", "th", "text").mapInArrow(run, "p int, kind int, rec binary, pre binary")
 
@@ -345,13 +365,14 @@ def _dealt(blobs: DataFrame, hot: tuple[np.ndarray, np.ndarray], part: int, pass
 
     def deal(held: list[Arrays]) -> Iterator[pa.RecordBatch]:
         g = _join(held)
+        held.clear()
         if g and len(g["token"]):
             to = (_hash(g["token"], g["ij"]) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(to.astype(np.uint16) if parts < 1 << 16 else to, kind="stable")
             to = to[order]
             cuts = np.append(np.flatnonzero(_new(to)), len(to))
-            blobs = [_pack({c: g[c][order[a:b]] for c in _AT}, _AT) for a, b in zip(cuts[:-1], cuts[1:])]
-            yield _batch(["p", "rec"], pa.array(to[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary()))
+            blobs = ((int(to[a]), _pack({c: g[c][order[a:b]] for c in _AT}, _AT)) for a, b in zip(cuts[:-1], cuts[1:]))
+            yield from _sent(["p", "rec"], (pa.int32(), pa.binary()), blobs)
 
     return blobs.mapInArrow(run, "p int, rec binary").repartitionById(parts, "p")
 

@@ -44,3 +44,25 @@ def test_stages_take_nulls_repeats_long_texts_and_empty_tables(spark):
                 assert sorted((r.doc_id is None, r.doc_id or 0) for r in docs.select("doc_id").collect())[-1] == (True, 0)
                 assert docs.filter("doc_id = 5").count() == 1
         assert docs.columns[:2] == ["doc_id", "n_tokens"] and (n > 0) == (docs.count() > 0)
+
+
+def test_stages_hand_small_batches_to_python(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "16m")
+        docs = P.table(spark, SF, "documents").limit(20)
+        for name, stage in P.STAGES[1:]:
+            out = stage(spark, docs, SF)
+            assert spark.conf.get(key) == "4m", name
+        # one worker a task encodes and decodes
+        assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_blobs_of_lines_are_sent_in_small_batches():
+    rows = [(i, bytes([i]) * 700_000) for i in range(10)]
+    batches = list(P.linededup._sent(["p", "rec"], (P.linededup.pa.int32(), P.linededup.pa.binary()), iter(rows)))
+    assert [b.num_rows for b in batches] == [3, 3, 3, 1]
+    assert [x for b in batches for x in zip(*(c.to_pylist() for c in b.columns))] == rows
