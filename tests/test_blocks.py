@@ -134,3 +134,21 @@ def test_many_starts_go_in_the_same_passes(spark, monkeypatch):
     assert many.columns == ["doc_idx", "title", "cluster_id"] and many.count() == 600
     assert cost(many) <= one * 1.0001
     assert clustering.kmeans(df.filter("doc_idx < 3"), 30, starts=10).select("cluster_id").distinct().count() == 3
+
+
+@pytest.mark.parametrize("block, copies", [(16, 64), (16, 3), (1024, 64)])
+def test_cluster_edges_of_blocks(made, spark, block, copies):
+    _, cluster, nodes, _, _ = made
+    odd = spark.createDataFrame([(None, "no number", None, 1), (-50, "again", None, 1), (5000, None, None, 2)], nodes.schema)
+    got = sorted((str(r.src), str(r.dst)) for r in graph.cluster_edges(nodes.unionByName(odd), block, copies).collect())
+    rows = [(3 * i - 50, f"T{i}", c) for i, c in enumerate(cluster)] + [(-50, "again", 1), (5000, "None", 2)]
+    assert got == sorted((s, t) for i, s, c in rows for j, t, d in rows if c is not None and c == d and i != j)
+
+
+def test_a_large_clusters_edges_are_made_by_many_tasks(spark):
+    nodes = spark.range(600).select(F.col("id").alias("doc_idx"), F.concat(F.lit("T"), "id").alias("title"), F.lit(1).alias("cluster_id"))
+    made = graph.cluster_edges(nodes).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(made) == 600 * 599
+    made = graph.cluster_edges(nodes, 60).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(made) == 600 * 599 and max(made) < 0.7 * sum(made)
+    assert graph.cluster_edges(nodes.limit(0)).count() == 0
