@@ -24,6 +24,7 @@ _UPPER = bytes(range(65, 91))
 LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(_SEPARATORS)] = True
+_GAPS = IS_SPACE.tobytes()
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -179,7 +180,7 @@ def words(text: bytes, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.n
     Words are hashed eight bytes at a time, all words of one step together; the few longer than 32 bytes one by one.
     """
     gap = np.ones(len(text) + 2, np.int8)
-    gap[1:-1] = IS_SPACE[np.frombuffer(text, np.uint8)]
+    gap[1:-1] = np.frombuffer(text.translate(_GAPS), np.int8)
     edges = np.flatnonzero(gap[1:] != gap[:-1])
     starts, ends = edges[::2], edges[1::2]
     seen = windows(text) if seen is None else seen

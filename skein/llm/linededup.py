@@ -4,9 +4,8 @@ A line is what stands between newlines; its set is its distinct words, A-Z lower
 line (smaller id, or an earlier line of the same document) has a set with 100 * |intersection| >= percent * |union|;
 lines are judged on the input, not on what is left. Lines without words stay.
 
-1. Order: words are ordered by how often their bucket of 2**19 occurs in all documents (in steps of a sixth of a binary
-   logarithm), then by hash. The table of buckets has one size whatever the corpus; words that share a bucket only come
-   later than they could.
+1. Order: words are ordered by the rank of their bucket of 2**19, the one that occurs least in all documents first, then by
+   hash. The table of buckets has one size whatever the corpus; words that share a bucket only come later than they could.
 2. Lines whose sets have the same 128-bit digest are one class; all but the first line of a class go at once. Tasks keep
    the first line of a class before they hand classes on, so a line that is everywhere is sent once per task and part.
 3. A class goes to the tokens of its prefix, the |x| - ceil(percent * |x| / 100) + 1 rarest. Classes that meet at a token
@@ -35,12 +34,13 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StructType
 
 from .common import LOWER, lean, mix, remove, signed, tidy, trimmed, utf8, words, written
 
 #: Buckets of words, and the parts in which tables are added up.
-BUCKETS, CHUNKS = 1 << 19, 64
+_BITS = 19
+BUCKETS, CHUNKS = 1 << _BITS, 64
 #: Classes in a token's block, the part of the classes that tells which tokens are larger, and the most of these tokens.
 BLOCK, SAMPLE, HOTS = 20_000, 64, 1 << 20
 #: Passes over the tokens.
@@ -55,6 +55,7 @@ GROUP, FLUSH, SENT = 1 << 18, 8 << 20, 2 << 20
 CHUNK, HELD, PLACES = 1 << 14, 1 << 20, (16, 26)
 _SPAN = 1 << 16
 _NONE = -(1 << 63)
+_MOST = np.uint64((1 << 64) - 1)
 #: Columns of 8 bytes in the blobs of lines, of places, of classes, and of classes at their tokens.
 _LINE = ("hi", "lo", "doc", "th", "line", "n", "k", "m0", "m1")
 _PLACE = ("doc", "th", "line")
@@ -123,23 +124,40 @@ def _groups(column: pa.Array) -> Iterator[tuple[list[int], np.ndarray, bytes]]:
             rows, texts, size = [], [], 0
 
 
-def _tokens(text: bytes, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _sorted(code: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """code with each line's part in rising order; the lines begin at `first` and have n words. Lines of about one length are
+    sorted together, as the rows of a matrix."""
+    out, width = np.empty_like(code), np.ceil(np.log2(n)).astype(np.int64)
+    for w in np.unique(width).tolist():
+        rows = np.flatnonzero(width == w)
+        column = np.arange(1 << w)
+        there = column < n[rows, None]
+        at = (first[rows, None] + column)[there]
+        m = np.full(there.shape, _MOST)  # what fills a row up stays behind its words
+        m[there] = code[at]
+        m.sort(axis=1)
+        out[at] = m[there]
+    return out
+
+
+def _tokens(text: bytes, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of the lines that have words, where each one's words begin, and all lines' distinct words in the order of
-    rarity: as 64-bit codes that sort that way, and by their hashes."""
+    rarity, as 64-bit codes that sort that way: one code for each hash."""
     text = text.translate(LOWER)
     starts, _, h = words(text)
     if not len(h):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), h, h
-    code = rarity[(h % np.uint64(BUCKETS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8)
-    line = np.searchsorted(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), starts)
-    order = np.argsort(code)
-    # 16-bit numbers are sorted by radix
-    order = order[np.argsort(line[order].astype(np.uint16) if line[-1] < 1 << 16 else line[order], kind="stable")]
-    code, line, h = code[order], line[order], h[order]
-    new = _new(code, line)
-    code, line, h = code[new], line[new], h[new]
-    first = np.flatnonzero(_new(line))
-    return line[first], first, code, h
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), h
+    code = rank[(h & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(64 - _BITS) | h >> np.uint64(_BITS)
+    ends = np.searchsorted(starts, np.flatnonzero(np.frombuffer(text, np.uint8) == 10))
+    n = np.diff(ends, prepend=0, append=len(starts))
+    line = np.flatnonzero(n)
+    n = n[line]
+    first = np.cumsum(n) - n
+    code = _sorted(code, first, n)
+    new = _new(code)
+    new[first] = True
+    n = np.add.reduceat(new, first, dtype=np.int64)
+    return line, np.cumsum(n) - n, code[new]
 
 
 def _table(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None], size: int, kind: type, add: Callable = np.add) -> np.ndarray:
@@ -172,13 +190,19 @@ def _table(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None], si
 
 
 def _rarity(docs: DataFrame) -> np.ndarray:
-    """The step of each bucket's count, 0 to 255."""
+    """The rank of each bucket by its count."""
 
     def fill(total: np.ndarray, batch: pa.RecordBatch) -> None:
         for _, _, text in _groups(batch.column(0)):
-            np.add.at(total, (words(text.translate(LOWER))[2] % np.uint64(BUCKETS)).astype(np.int64), 1)
+            np.add.at(total, (words(text.translate(LOWER))[2] & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
 
-    return np.minimum(6 * np.log2(np.maximum(_table(docs, fill, BUCKETS, np.int64), 1)), 255).astype(np.uint8)
+    return _ranked(_table(docs, fill, BUCKETS, np.int64))
+
+
+def _ranked(count: np.ndarray) -> np.ndarray:
+    rank = np.empty(len(count), np.uint32)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count), dtype=np.uint32)
+    return rank
 
 
 def _hash(*keys: np.ndarray) -> np.ndarray:
@@ -225,23 +249,23 @@ def _lines(docs: DataFrame, rarity: np.ndarray, percent: int, parts: int) -> Dat
         for batch in batches:
             doc, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for rows, starts, text in _groups(batch.column(2)):
-                line, first, code, h = _tokens(text, rarity)
+                line, first, code = _tokens(text, rarity)
                 if len(line):
                     at = np.searchsorted(starts, line, "right") - 1
                     who = np.array(rows)[at]
-                    held.append({"doc": doc[who], "th": th[who], "line": line - starts[at]} | describe(first, code, h))
+                    held.append({"doc": doc[who], "th": th[who], "line": line - starts[at]} | describe(first, code))
                 size += len(text)
                 if size > FLUSH:
                     yield from deal(held)
                     held, size = [], 0
         yield from deal(held)
 
-    def describe(first: np.ndarray, code: np.ndarray, h: np.ndarray) -> Arrays:
+    def describe(first: np.ndarray, code: np.ndarray) -> Arrays:
         n = np.diff(first, append=len(code))
         bit = mix(code) % np.uint64(126)
         one = np.uint64(1) << bit % np.uint64(63)
         m0, m1 = (np.bitwise_xor.reduceat(np.where(side, one, np.uint64(0)), first) for side in (bit < 63, bit >= 63))
-        raw = memoryview(h).cast("B")
+        raw = memoryview(code).cast("B")
         cls = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[8 * a : 8 * (a + k)]) for a, k in zip(first.tolist(), n.tolist())), np.int64)
         k = n + (-percent * n // 100) + 1
         head = np.arange(len(code)) - np.repeat(first, n) < np.repeat(k, n)
@@ -274,7 +298,7 @@ def _lines(docs: DataFrame, rarity: np.ndarray, percent: int, parts: int) -> Dat
 @trimmed
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a part's blobs: kind 0, each class's number and the place of its first line; kind 1, the places of all other
-    lines; kind 2, blobs of classes."""
+    lines; kind 2, blobs of classes; kind 3, the tokens of one class in SAMPLE, as numbers."""
     schema = ["kind", "id", "doc", "th", "line", "rec", "pre"]
 
     def places(kind: int, ids: np.ndarray | None, g: Arrays) -> Iterator[pa.RecordBatch]:
@@ -304,6 +328,10 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from places(0, first["id"], first)
     for a in range(0, len(first["n"]), CHUNK):
         g = _some(first, np.arange(a, min(a + CHUNK, len(first["n"]))))
+        token = g["pre"][np.repeat(_hash(g["id"]) % np.uint64(SAMPLE) == 0, g["k"])]
+        if len(token):
+            none, blob = pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.binary())
+            yield _batch(schema, pa.array(np.full(len(token), 3, np.int32)), token, none, none, none, blob, blob)
         none = pa.nulls(1, pa.int64())
         yield _batch(schema, pa.array([2], pa.int32()), none, none, none, none, pa.array([_pack(g, _CLASS)], pa.binary()), pa.array([g["pre"].tobytes()], pa.binary()))
 
@@ -317,15 +345,9 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Arrays, np.nda
             yield g, row, np.arange(len(row)) - np.repeat(np.cumsum(g["k"]) - g["k"], g["k"])
 
 
-def _hot(blobs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens (sorted) of more than BLOCK classes, by a sample of the classes, and their numbers of blocks."""
-
-    @trimmed
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, row, _ in _entries(batches):
-            yield _batch(["token"], g["pre"][(_hash(g["id"]) % np.uint64(SAMPLE) == 0)[row]])
-
-    many = blobs.mapInArrow(run, "token long").groupBy("token").count().filter(F.col("count") * SAMPLE > BLOCK)
+def _hot(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens (sorted) of more than BLOCK classes, by those (token) of a sample of the classes, and their numbers of blocks."""
+    many = sample.groupBy("token").count().filter(F.col("count") * SAMPLE > BLOCK)
     found = many.orderBy(F.desc("count"), "token").limit(HOTS).toArrow()
     token, count = (found.column(c).to_numpy() for c in ("token", "count"))
     order = np.argsort(token)
@@ -476,20 +498,21 @@ def _texts(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 def _verified(percent: int):
-    """Those classes (the later ones of pairs) whose lines' words do match."""
+    """Those classes (the later ones of pairs), and the places of their first lines, whose lines' words do match."""
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
             for a in range(0, batch.num_rows, 1000):
-                later, wa, wb = (c.slice(a, 1000).to_pylist() for c in batch.columns)
+                part = batch.slice(a, 1000)
+                wa, wb = (part.column(c).to_pylist() for c in ("wa", "wb"))
                 sets = {text: frozenset(text.split()) for text in {*wa, *wb}}  # at the bytes that part words
-                for i, x, y in zip(later, map(sets.__getitem__, wa), map(sets.__getitem__, wb)):
+                out = []
+                for i, (x, y) in enumerate(zip(map(sets.__getitem__, wa), map(sets.__getitem__, wb))):
                     both = len(x & y)
                     if 100 * both >= percent * (len(x) + len(y) - both):
                         out.append(i)
-            yield _batch(["id"], pa.array(out, pa.int64()))
+                yield part.select(["id", *_PLACE]).take(pa.array(out, pa.int64()))
 
     return run
 
@@ -505,22 +528,26 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     schema = "kind int, id long, doc long, th long, line long, rec binary, pre binary"
     base = written(_lines(docs, rarity, percent, parts).repartitionById(parts, "p").mapInArrow(_classes, schema), "lines")
     tidy(spark)
-    first, later, blobs = (base.filter(F.col("kind") == k) for k in range(3))
+    first, later, blobs, sample = (base.filter(F.col("kind") == k) for k in range(4))
     first, blobs = first.select("id", *_PLACE), blobs.select("rec", "pre")
-    hot, used = _hot(blobs), [base]
+    hot, used = _hot(sample.select(F.col("id").alias("token"))), [base]
 
     def search(again: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
         out = None
         # a pass for each part of the tokens bounds what the shuffle has on disk at once; bitmaps let few tokens through
         passes = PASSES if again is None or len(again[0]) == 1 << PLACES[1] - 3 else 1
         for k in range(passes):
-            part = written(_dealt(blobs, hot, k, passes, 2 * parts if again is None else parts, again).mapInArrow(_partners(percent, again is not None), "a long, b long, d long"), "lines-pairs")
+            part = _dealt(blobs, hot, k, passes, 2 * parts if again is None else parts, again).mapInArrow(_partners(percent, again is not None), "a long, b long, d long")
+            # each pair once: fewer rows, and few files to read again
+            part = written(part.select("a", "b", F.when(F.col("a") == F.col("b"), F.col("d")).alias("token")).distinct(), "lines-pairs")
             tidy(spark)
             out = part if out is None else out.unionByName(part)
             used.append(part)
         return out
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """Numbers and places of the classes that match an earlier one."""
+        pairs = written(pairs.select("a", "b").distinct(), "lines-distinct")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         wanted = written(first.join(ids, "id"), "lines-wanted")
         n = wanted.count()
@@ -530,37 +557,38 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         texts = _texts(some, wanted, n).join(wanted, list(_PLACE)).groupBy("id").agg(F.first("words").alias("words"), F.first(F.struct(*_PLACE)).alias("f"))
         texts = written(texts, "lines-texts")
         sides = [texts.select(F.col("id").alias(c), F.col("words").alias(f"w{c}"), F.col("f").alias(f"f{c}")) for c in "ab"]
-        later = F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b"))
-        full = pairs.join(sides[0], "a").join(sides[1], "b").select(later.alias("id"), "wa", "wb")
-        out = written(full.mapInArrow(_verified(percent), "id long").distinct(), "lines-matched")
-        remove(spark, wanted, texts)
+        later = F.when(F.col("fa") > F.col("fb"), F.struct(F.col("a").alias("id"), "fa.*")).otherwise(F.struct(F.col("b").alias("id"), "fb.*"))
+        full = pairs.join(sides[0], "a").join(sides[1], "b").select(later.alias("l"), "wa", "wb").select("l.*", "wa", "wb")
+        out = written(full.mapInArrow(_verified(percent), "id long, doc long, th long, line long").distinct(), "lines-matched")
+        remove(spark, pairs, wanted, texts)
         tidy(spark)
         used.append(out)
         return out
 
     found = search()
-    matched = verified(found.filter("a != b").select("a", "b").distinct())
-    again = written(found.filter("a = b").select(F.col("a").alias("id"), F.col("d").alias("token")).distinct().join(matched, "id", "left_anti"), "lines-again")
+    matched = verified(found.filter("a != b"))
+    again = written(found.filter("a = b").select(F.col("a").alias("id"), "token").distinct().join(matched, "id", "left_anti"), "lines-again")
     if n := again.count():
         more = search((_bitmap(again.select("token"), n), _bitmap(again.select("id", "token"), n)))
-        matched = matched.unionByName(verified(more.select("a", "b").distinct()))
-    lost = first.join(matched.distinct(), "id", "left_semi")
-    gone = later.select(*_PLACE).unionByName(lost.select(*_PLACE))
+        matched = matched.unionByName(verified(more))
+    gone = later.select(*_PLACE).unionByName(matched.select(*_PLACE))
     gone = written(gone.groupBy("doc", "th").agg(F.collect_set(F.col("line").cast("int")).alias("gone")), "lines-gone")
     remove(spark, again, *used)
     return gone
 
 
-@F.arrow_udf(StringType())
+@F.arrow_udf(StructType().add("text", "string").add("n_lines", "long"))
 def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
-    """Texts without their lines of these numbers, in time linear in both."""
-    out = []
+    """Texts without their lines of these numbers, in time linear in both, and how many lines they had."""
+    out, n = [], []
     for t, g in zip(utf8(text), gone):
+        lines = t.split(b"\n")
         if g.is_valid:
             lost = set(g.values.to_pylist())
-            t = b"\n".join(x for i, x in enumerate(t.split(b"\n")) if i not in lost)
+            t = b"\n".join(x for i, x in enumerate(lines) if i not in lost)
         out.append(t)
-    return pa.array(out, pa.binary()).view(pa.string())
+        n.append(len(lines))
+    return pa.StructArray.from_arrays([pa.array(out, pa.binary()).view(pa.string()), pa.array(n, pa.int64())], ["text", "n_lines"])
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -572,10 +600,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text, lost = F.col("__row")[text_col], F.col("gone")
     # the lists of lines are hashed, a part at a time, so that texts aren't sorted
     out = named.drop("__text").join(gone.hint("shuffle_hash"), (F.col("__doc") == F.col("doc")) & (F.col("__th") == F.col("th")), "left")
-    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n")))
-    n_lines = F.when(F.coalesce(F.length(text), F.lit(0)) > 0, breaks + 1).otherwise(0).cast("long")
     # only texts that lose lines go to Python
-    shorter = F.when(lost.isNull(), text).otherwise(_without(F.when(lost.isNotNull(), text), lost))
+    cut = _without(F.when(lost.isNotNull(), text), lost)
+    shorter = F.when(lost.isNull(), text).otherwise(cut["text"])
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n")))
+    n_lines = F.when(lost.isNotNull(), cut["n_lines"]).when(F.coalesce(F.octet_length(text), F.lit(0)) > 0, breaks + 1).otherwise(0).cast("long")
     made = [x for x in (n_lines.alias("n_lines"), F.coalesce(F.size(lost), F.lit(0)).cast("long").alias("n_removed"))]
     return out.select(*[shorter.alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in own], *made)
 

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import bytebpe, embedding, langid, linededup, media, minhash, mixing, suffix, tokenfile, toxicity
-from skein.llm.common import components, count_words, new_path
+from skein.llm.common import components, count_words, new_path, words
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -311,6 +311,46 @@ def test_lines_edge_cases(spark):
     assert linededup.dedup_lines(odd_docs(spark, True)).count() == 0
 
 
+def test_words_of_lines_have_one_code_each_in_rising_order():
+    rng = random.Random(6)
+    lines = [" ".join(str(rng.randrange(400)) for _ in range(n)) for n in (0, 1, 2, 3, 40, 0, 700, 16, 17, 0)]
+    rank = linededup._ranked(np.random.default_rng(1).integers(0, 9, linededup.BUCKETS))
+    line, first, code = linededup._tokens("\n".join(lines).encode(), rank)
+    assert line.tolist() == [i for i, t in enumerate(lines) if t]
+    parts = np.split(code, first[1:])
+    of = {}
+    for i, part in zip(line.tolist(), parts):
+        assert (part[1:] > part[:-1]).all() and len(part) == len({*lines[i].split()})
+        for w in {*lines[i].split()}:
+            h = words(w.encode())[2]
+            own = int(rank[int(h[0]) % linededup.BUCKETS]) << 45 | int(h[0]) >> 19
+            assert own in part and of.setdefault(own, w) == w
+    assert linededup._tokens(b"\n \n", rank)[0].tolist() == []
+
+
+def test_lines_pairs_are_stored_once_and_lines_are_counted(spark, monkeypatch):
+    """Pairs of classes that meet at several tokens are stored as one row."""
+    kept, written = [], linededup.written
+
+    def keep(df, name):
+        out = written(df, name)
+        if name == "lines-pairs":
+            kept.append([tuple(r) for r in out.collect()])
+        return out
+
+    monkeypatch.setattr(linededup, "written", keep)
+    rng = random.Random(9)
+    base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(30)) for _ in range(20)]
+    docs = [(i, "\n".join(b + f" x{i}y{k}" for k, b in enumerate(base)) + "\n" * (i % 3)) for i in range(6)]
+    out = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [(i, out[i].text) for i, _ in docs] == brute_lines(docs)
+    assert all(out[i].n_lines == t.count("\n") + 1 and out[i].n_removed == (20 if i else 0) for i, t in docs)
+    assert any(kept)
+    for rows in kept:
+        pairs = [r[:2] for r in rows if r[0] != r[1]]
+        assert len(pairs) == len(set(pairs))
+
+
 def test_label_model_recovers_planted_rates_and_correlations():
     rng = np.random.default_rng(11)
     y = rng.random(20000) < 0.1
