@@ -11,10 +11,12 @@ lines are judged on the input, not on what is left. Lines without words stay.
 3. A class goes to the tokens of its prefix, the |x| - ceil(percent * |x| / 100) + 1 rarest. Classes that meet at a token
    are compared there by length, position and a 126-bit parity map of their words (its differing bits are no more than
    the words that differ), all of them exact bounds. Each class hands on up to FEW possible partners of
-   a token, those first that the maps tell least apart; classes that have more and no match among those hand on all.
+   a token, those first that the maps tell least apart; classes that have more and no match among those look again.
 4. Tokens with very many classes are dealt out as pairs of blocks. Of these, the HOTS with the most classes are told to
    the tasks: a table of bounded size, beyond which a token has less than 1 / HOTS of all entries.
 5. Candidate pairs are verified on the words of the lines themselves, which are read from the documents again.
+6. Classes that look again come to their tokens by name, so that no other class does so. Their lines and those of possible
+   partners are compared where they meet: each line comes once for a token (and pair of blocks), no pair is made.
 
 Between the steps arrays travel in binary blobs, one for each task and target, so that shuffles handle few rows. What
 tells tasks which lines and tokens are wanted are bitmaps of at most 2**26 places, filled by hashes: a false hit costs
@@ -27,6 +29,8 @@ id are ordered by a hash of their text; equal rows share their lines' fate as on
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -56,11 +60,12 @@ CHUNK, HELD, PLACES = 1 << 14, 1 << 20, (16, 26)
 _SPAN = 1 << 16
 _NONE = -(1 << 63)
 _MOST = np.uint64((1 << 64) - 1)
-#: Columns of 8 bytes in the blobs of lines, of places, of classes, and of classes at their tokens.
+#: Columns of 8 bytes in the blobs of lines, of places, of classes, of classes at their tokens, and of those that look for partners.
 _LINE = ("hi", "lo", "doc", "th", "line", "n", "k", "m0", "m1")
 _PLACE = ("doc", "th", "line")
 _CLASS = ("id", "doc", "n", "k", "m0", "m1")
 _AT = ("token", "ij", "id", "doc", "n", "size", "m0", "m1")
+_ASK = ("token", "ij", "id")
 
 Arrays = dict[str, np.ndarray]
 
@@ -354,38 +359,55 @@ def _hot(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return token[order], -(-count[order] * SAMPLE // BLOCK)
 
 
-def _dealt(blobs: DataFrame, hot: tuple[np.ndarray, np.ndarray], part: int, passes: int, parts: int, again: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
-    """Blobs of the classes at their tokens, of which `part` takes one in `passes`; again: bitmaps of the tokens that are
-    looked at, and of the classes' numbers and tokens that look for partners."""
-    shipped = blobs.sparkSession.sparkContext.broadcast((hot, again))
+def _dealt(blobs: DataFrame, hot: tuple[np.ndarray, np.ndarray], part: int, passes: int, parts: int, again: tuple[np.ndarray, DataFrame] | None) -> DataFrame:
+    """Blobs of the classes at their tokens (kind 0), of which `part` takes one in `passes`; again: a bitmap of the tokens that
+    are looked at, and the numbers (id) and tokens of the classes that look for partners, which come as blobs too (kind 1)."""
+    shipped = blobs.sparkSession.sparkContext.broadcast((hot, None if again is None else again[0]))
+    schema = "p int, kind int, rec binary"
+
+    def mine(token: np.ndarray) -> np.ndarray:
+        return _hash(token) % np.uint64(passes) == part
+
+    def spread(id: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of classes at tokens, once for each block of the token; whose blocks meet, and whether the own one is the second."""
+        tokens, blocks = shipped.value[0]
+        times = np.ones(len(token), np.int64)
+        if len(tokens):
+            found = np.minimum(np.searchsorted(tokens, token), len(tokens) - 1)
+            times = np.where(tokens[found] == token, blocks[found], 1)
+        row = np.repeat(np.arange(len(token)), times)
+        own = (_hash(id, token) % times.astype(np.uint64)).astype(np.int64)[row]
+        other = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+        return row, np.minimum(own, other) << 32 | np.maximum(own, other), own > other
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (tokens, blocks), again = shipped.value
+        wanted = shipped.value[1]
         held, size = [], 0
         for g, row, pos in _entries(batches):
-            token = g["pre"]
-            some = _hash(token) % np.uint64(passes) == part
-            if again is not None:
-                some &= _hit(again[0], token)
-            token, row, pos = token[some], row[some], pos[some]
-            open_ = np.ones(len(token), np.int64) if again is None else _hit(again[1], g["id"][row], token).astype(np.int64)
-            times = np.ones(len(token), np.int64)
-            if len(tokens):
-                found = np.minimum(np.searchsorted(tokens, token), len(tokens) - 1)
-                times = np.where(tokens[found] == token, blocks[found], 1)
-            own = (_hash(g["id"][row], token) % times.astype(np.uint64)).astype(np.int64)
-            own, token, row, pos, open_ = (np.repeat(x, times) for x in (own, token, row, pos, open_))
-            other = np.arange(len(own)) - np.repeat(np.cumsum(times) - times, times)
-            out = {c: g[c][row] for c in ("id", "doc", "n", "m0", "m1")}
-            held.append(out | {"token": token, "ij": np.minimum(own, other) << 32 | np.maximum(own, other), "size": pos << 2 | (own > other).astype(np.int64) << 1 | open_})
-            size += len(token)
+            some = mine(g["pre"])
+            if wanted is not None:
+                some &= _hit(wanted, g["pre"])
+            token, row, pos = g["pre"][some], row[some], pos[some]
+            at, ij, second = spread(g["id"][row], token)
+            out = {c: g[c][row[at]] for c in ("id", "doc", "n", "m0", "m1")}
+            held.append(out | {"token": token[at], "ij": ij, "size": pos[at] << 1 | second.astype(np.int64)})
+            size += len(at)
             if size > HELD // 4:
                 yield from deal(held)
                 held, size = [], 0
         yield from deal(held)
 
-    def deal(held: list[Arrays]) -> Iterator[pa.RecordBatch]:
+    @trimmed
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            id, token = (c.to_numpy() for c in batch.columns)
+            some = mine(token)
+            id, token = id[some], token[some]
+            at, ij, _ = spread(id, token)
+            yield from deal([{"token": token[at], "ij": ij, "id": id[at]}], 1, _ASK)
+
+    def deal(held: list[Arrays], kind: int = 0, names: tuple[str, ...] = _AT) -> Iterator[pa.RecordBatch]:
         g = _join(held)
         held.clear()
         if g and len(g["token"]):
@@ -393,15 +415,29 @@ def _dealt(blobs: DataFrame, hot: tuple[np.ndarray, np.ndarray], part: int, pass
             order = np.argsort(to.astype(np.uint16) if parts < 1 << 16 else to, kind="stable")
             to = to[order]
             cuts = np.append(np.flatnonzero(_new(to)), len(to))
-            blobs = ((int(to[a]), _pack({c: g[c][order[a:b]] for c in _AT}, _AT)) for a, b in zip(cuts[:-1], cuts[1:]))
-            yield from _sent(["p", "rec"], (pa.int32(), pa.binary()), blobs)
+            blobs = ((int(to[a]), kind, _pack({c: g[c][order[a:b]] for c in names}, names)) for a, b in zip(cuts[:-1], cuts[1:]))
+            yield from _sent(["p", "kind", "rec"], (pa.int32(), pa.int32(), pa.binary()), blobs)
+
+    out = blobs.mapInArrow(run, schema)
+    if again is not None:
+        out = out.unionByName(again[1].select("id", "token").mapInArrow(asking, schema))
+    return out.repartitionById(parts, "p")
 
-    return blobs.mapInArrow(run, "p int, rec binary").repartitionById(parts, "p")
+
+def _asked(g: Arrays, asks: Arrays) -> np.ndarray:
+    """Which classes at tokens are among those that look for partners."""
+    keys = [np.concatenate((g[c], asks[c])) for c in _ASK]
+    order = np.lexsort(keys)
+    group = np.cumsum(_new(*(k[order] for k in keys))) - 1
+    out = np.zeros(len(order), bool)
+    out[order] = np.bincount(group, order >= len(g["id"]))[group] > 0
+    return out[: len(g["id"])]
 
 
 def _partners(percent: int, every: bool):
-    """Of a part's blobs of classes at tokens: possible partners of each class, and the maps' differing bits. Unless `every`,
-    a pair of a class with itself says that it has more partners, and has the token in place of bits."""
+    """Of a part's blobs of classes at tokens: possible partners of each class, and the maps' differing bits; a pair of a class
+    with itself says that it has more partners, and has the token in place of bits. If `every`: the classes at tokens that
+    look for partners and have any, and all those partners, no pairs."""
 
     def passing(g: Arrays, xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The pairs of rows that no bound rules out, the later class first, and the maps' differing bits."""
@@ -435,13 +471,14 @@ def _partners(percent: int, every: bool):
         """Pairs within groups of equal number, whose rows come by size."""
         rows = np.arange(len(group))
         first = np.maximum.accumulate(np.where(_new(group), rows, 0))
-        found, size, step, at, n = [], 0, 1, rows[rows > first], g["n"]
+        found, size, step, at, n, met = [], 0, 1, rows[rows > first], g["n"], np.zeros(len(rows), bool)
         while len(at):  # all rows against the row `step` before them, as long as that is in their group and not too short
             at = at[n[at - step] * 100 >= percent * n[at]]
-            for a in range(0, len(at), _SPAN):
-                xs, ys, differ = passing(g, at[a : a + _SPAN], at[a : a + _SPAN] - step)
+            look = at[g["open"][at] | g["open"][at - step]] if every else at
+            for a in range(0, len(look), _SPAN):
+                xs, ys, differ = passing(g, look[a : a + _SPAN], look[a : a + _SPAN] - step)
                 if every:
-                    yield g["id"][xs], g["id"][ys], differ
+                    met[xs] = met[ys] = True
                 elif len(xs):
                     found.append((xs, ys, differ))
                     size += len(xs)
@@ -453,24 +490,71 @@ def _partners(percent: int, every: bool):
         if found:
             xs, ys, differ, nth = best(found)
             few, more = nth < FEW, xs[nth == FEW]
-            yield g["id"][xs[few]], g["id"][ys[few]], differ[few]
+            yield g["id"][xs[few]], g["id"][ys[few]], differ[few].astype(np.int64)
             yield g["id"][more], g["id"][more], g["token"][more]
+        if every:
+            yield tuple(g[c][met] for c in (*_ASK, "open"))
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = _join([_unpack(rec.as_buffer(), _AT) for batch in batches for rec in batch.column(1)])
-        if not g:
+        held: tuple[list[Arrays], list[Arrays]] = ([], [])
+        for batch in batches:
+            for kind, rec in zip(batch.column(1).to_pylist(), batch.column(2)):
+                held[kind].append(_unpack(rec.as_buffer(), _ASK if kind else _AT))
+        g, asks = map(_join, held)
+        if not g or every and not asks:
             return
+        g["open"] = _asked(g, asks) if every else np.ones(len(g["id"]), bool)
         order = np.lexsort((g["id"], g["n"], g["ij"], g["token"]))
         group = np.cumsum(_new(g["token"][order], g["ij"][order]))
-        met = np.bincount(group)[group] > 1
+        met = ((np.bincount(group) > 1) & (np.bincount(group, g["open"][order]) > 0))[group]
         order, group = order[met], group[met]
         g = {c: v[order] for c, v in g.items()}
-        ij, size = g.pop("ij"), g.pop("size")
-        g |= {"own": ij >> 32 == ij & 0xFFFFFFFF, "side": size >> 1 & 1, "open": (size & 1).astype(bool), "pos": size >> 2}
-        for a, b, d in compare(g, group):
-            if len(a):
-                yield _batch(["a", "b", "d"], a, b, d.astype(np.int64))
+        ij, size = g["ij"], g.pop("size")
+        g |= {"own": ij >> 32 == ij & 0xFFFFFFFF, "side": size & 1, "pos": size >> 1}
+        for columns in compare(g, group):
+            if len(columns[0]):
+                yield _batch([*_ASK, "asks"] if every else ["a", "b", "d"], *columns)
+
+    return run
+
+
+def _met(percent: int):
+    """Of lines that meet at tokens, sorted by token and blocks, those that look for partners first: the numbers and places of
+    the latter whose words match an earlier line's. Only they are held, as numbers of words; the others pass by."""
+
+    def matching(group: Iterator[tuple]) -> np.ndarray:
+        """Number and place of each line of one token and pair of blocks that looks for partners and matches."""
+        number: dict[bytes, int] = {}
+        own, sets, other = [], [], []
+        for _, _, asks, *place, text in group:
+            if not asks:
+                other = [(place, text)]
+                break
+            own.append(place)
+            sets.append(np.array([number.setdefault(w, len(number)) for w in {*text.split()}], np.int64))
+        gone, there = np.zeros(len(own), bool), np.zeros(len(number), bool)
+        if own:
+            n = np.array([len(x) for x in sets])
+            flat, first, rows = np.concatenate(sets), np.cumsum(n) - n, np.array(own)
+            passing = ((place, {*text.split()}) for place, text in chain(other, ((row[3:7], row[7]) for row in group)))
+            among = ((place, np.array([number[w] for w in x if w in number], np.int64), len(x)) for place, x in passing)
+            for (_, doc, th, line), x, m in chain(zip(own, sets, n), among):
+                there[x] = True
+                both = np.add.reduceat(there[flat], first, dtype=np.int64)
+                there[x] = False
+                _, d, t, i = rows.T
+                later = (d > doc) | (d == doc) & ((t > th) | (t == th) & (i > line))
+                gone |= later & (100 * both >= percent * (n + m - both))
+        return np.array(own, np.int64).reshape(-1, 4)[gone]
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        for _, group in groupby(rows, itemgetter(0, 1)):
+            out = matching(group)
+            if len(out):
+                yield _batch(["id", *_PLACE], *out.T)
 
     return run
 
@@ -532,23 +616,25 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     first, blobs = first.select("id", *_PLACE), blobs.select("rec", "pre")
     hot, used = _hot(sample.select(F.col("id").alias("token"))), [base]
 
-    def search(again: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    def search(again: tuple[np.ndarray, DataFrame] | None = None) -> DataFrame:
         out = None
-        # a pass for each part of the tokens bounds what the shuffle has on disk at once; bitmaps let few tokens through
+        # a pass for each part of the tokens bounds what the shuffle has on disk at once; a bitmap lets few tokens through
         passes = PASSES if again is None or len(again[0]) == 1 << PLACES[1] - 3 else 1
         for k in range(passes):
-            part = _dealt(blobs, hot, k, passes, 2 * parts if again is None else parts, again).mapInArrow(_partners(percent, again is not None), "a long, b long, d long")
-            # each pair once: fewer rows, and few files to read again
-            part = written(part.select("a", "b", F.when(F.col("a") == F.col("b"), F.col("d")).alias("token")).distinct(), "lines-pairs")
+            dealt = _dealt(blobs, hot, k, passes, 2 * parts if again is None else parts, again)
+            if again is None:
+                # each pair once: fewer rows, and few files to read again
+                part = dealt.mapInArrow(_partners(percent, False), "a long, b long, d long")
+                part = written(part.select("a", "b", F.when(F.col("a") == F.col("b"), F.col("d")).alias("token")).distinct(), "lines-pairs")
+            else:
+                part = written(dealt.mapInArrow(_partners(percent, True), "token long, ij long, id long, asks boolean"), "lines-met")
             tidy(spark)
             out = part if out is None else out.unionByName(part)
             used.append(part)
         return out
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Numbers and places of the classes that match an earlier one."""
-        pairs = written(pairs.select("a", "b").distinct(), "lines-distinct")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    def read(ids: DataFrame) -> DataFrame:
+        """Numbers, words and places (f) of classes' first lines."""
         wanted = written(first.join(ids, "id"), "lines-wanted")
         n = wanted.count()
         # few lines: only their documents leave the scan
@@ -556,21 +642,35 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         # equal rows give the same line again
         texts = _texts(some, wanted, n).join(wanted, list(_PLACE)).groupBy("id").agg(F.first("words").alias("words"), F.first(F.struct(*_PLACE)).alias("f"))
         texts = written(texts, "lines-texts")
-        sides = [texts.select(F.col("id").alias(c), F.col("words").alias(f"w{c}"), F.col("f").alias(f"f{c}")) for c in "ab"]
-        later = F.when(F.col("fa") > F.col("fb"), F.struct(F.col("a").alias("id"), "fa.*")).otherwise(F.struct(F.col("b").alias("id"), "fb.*"))
-        full = pairs.join(sides[0], "a").join(sides[1], "b").select(later.alias("l"), "wa", "wb").select("l.*", "wa", "wb")
-        out = written(full.mapInArrow(_verified(percent), "id long, doc long, th long, line long").distinct(), "lines-matched")
-        remove(spark, pairs, wanted, texts)
+        remove(spark, wanted)
+        return texts
+
+    def verified(rows: DataFrame, run: Callable, *kept: DataFrame) -> DataFrame:
+        """Numbers and places of the classes that match an earlier one; the frames kept go."""
+        out = written(rows.mapInArrow(run, "id long, doc long, th long, line long").distinct(), "lines-matched")
+        remove(spark, *kept)
         tidy(spark)
         used.append(out)
         return out
 
+    def of_pairs(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs.select("a", "b").distinct(), "lines-distinct")
+        texts = read(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        sides = [texts.select(F.col("id").alias(c), F.col("words").alias(f"w{c}"), F.col("f").alias(f"f{c}")) for c in "ab"]
+        later = F.when(F.col("fa") > F.col("fb"), F.struct(F.col("a").alias("id"), "fa.*")).otherwise(F.struct(F.col("b").alias("id"), "fb.*"))
+        full = pairs.join(sides[0], "a").join(sides[1], "b").select(later.alias("l"), "wa", "wb").select("l.*", "wa", "wb")
+        return verified(full, _verified(percent), pairs, texts)
+
+    def of_meetings(met: DataFrame) -> DataFrame:
+        texts = read(met.select("id").distinct())
+        full = met.join(texts, "id").select("token", "ij", "asks", "id", "f.*", "words")
+        return verified(full.repartition("token", "ij").sortWithinPartitions("token", "ij", F.desc("asks")), _met(percent), texts)
+
     found = search()
-    matched = verified(found.filter("a != b"))
+    matched = of_pairs(found.filter("a != b"))
     again = written(found.filter("a = b").select(F.col("a").alias("id"), "token").distinct().join(matched, "id", "left_anti"), "lines-again")
     if n := again.count():
-        more = search((_bitmap(again.select("token"), n), _bitmap(again.select("id", "token"), n)))
-        matched = matched.unionByName(verified(more))
+        matched = matched.unionByName(of_meetings(search((_bitmap(again.select("token"), n), again))))
     gone = later.select(*_PLACE).unionByName(matched.select(*_PLACE))
     gone = written(gone.groupBy("doc", "th").agg(F.collect_set(F.col("line").cast("int")).alias("gone")), "lines-gone")
     remove(spark, again, *used)

@@ -351,6 +351,37 @@ def test_lines_pairs_are_stored_once_and_lines_are_counted(spark, monkeypatch):
         assert len(pairs) == len(set(pairs))
 
 
+@pytest.mark.parametrize("block", [20_000, 40])
+def test_only_lines_without_a_match_look_again_and_make_no_pairs(spark, monkeypatch, block):
+    """Lines of a family that hardly miss each other look at all their partners; lines that have a match don't."""
+    kept, written = {}, linededup.written
+
+    def keep(df, name):
+        out = written(df, name)
+        kept.setdefault(name, []).append([r.asDict() for r in out.collect()] if name in ("lines-pairs", "lines-met", "lines-again") else None)
+        return out
+
+    monkeypatch.setattr(linededup, "written", keep)
+    monkeypatch.setattr(linededup, "BLOCK", block)
+    rng = random.Random(12)
+    bases = [[f"w{b}v{i}" for i in range(80)] for b in range(3)]
+
+    def like(base, n):  # n of 80 words are replaced
+        at = set(rng.sample(range(80), n))
+        return " ".join(f"x{rng.randrange(10**9)}" if i in at else w for i, w in enumerate(base))
+
+    docs = [(i, "\n".join(like(b, 5) for b in bases)) for i in range(40)] + [(40 + i, "\n".join(like(b, 1) for b in bases)) for i in range(40)]
+    out = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "text").collect()
+    assert sorted(map(tuple, out)) == brute_lines(docs)
+    asked = {r["id"] for rows in kept["lines-again"] for r in rows}
+    assert 20 <= len(asked) <= 120
+    assert len(kept["lines-pairs"]) == linededup.PASSES  # looking again stores no pairs
+    met = [r for rows in kept["lines-met"] for r in rows]
+    assert len(met) == len({(r["token"], r["ij"], r["id"]) for r in met})
+    assert {r["id"] for r in met if r["asks"]} <= asked
+    assert block > 40 or any(r["ij"] for r in met)
+
+
 def test_label_model_recovers_planted_rates_and_correlations():
     rng = np.random.default_rng(11)
     y = rng.random(20000) < 0.1
